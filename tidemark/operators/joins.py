@@ -33,8 +33,8 @@ def missing(spine: DataFrame, landed: DataFrame, keys=(TIME,)) -> DataFrame:
 
 def missing_unexcused(spine, landed, absent, source: str, keys=(TIME,)) -> DataFrame:
     """Expected, not landed and not registered as absent for this source."""
-    excused = absent.where(F.col("source") == source).select(*keys)
-    return missing(spine, landed, keys).join(excused, list(keys), "left_anti")
+    excused = absent.where(F.col("source") == source).select(TIME)
+    return missing(spine, landed, keys).join(excused, TIME, "left_anti")
 
 
 def unscored(points: DataFrame, scores: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -23,18 +24,22 @@ def find_gaps(
     as_of: Column,
     lookback_days: int = 14,
     grace_hours: int = C.GAP_GRACE_HOURS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """G1: periods that should have landed by now and are not known to be absent."""
+    """G1: periods that should have landed by now and are not known to be absent.
+
+    With ``keys`` the spine carries one set of expected periods per key.
+    """
     since = as_of - F.expr(f"interval {lookback_days} days")
     until = as_of - F.expr(f"interval {grace_hours} hours")
-    due = spine.where((F.col(TIME) >= since) & (F.col(TIME) < until)).select(TIME)
+    due = spine.where((F.col(TIME) >= since) & (F.col(TIME) < until)).select(*keys, TIME)
     held = landing.where((F.col(TIME) >= since) & (F.col(TIME) < until))
-    return missing_unexcused(due, held, absent, source)
+    return missing_unexcused(due, held, absent, source, [*keys, TIME])
 
 
-def heal_plan(gaps: DataFrame, source: C.Source) -> DataFrame:
+def heal_plan(gaps: DataFrame, source: C.Source, keys: Sequence[str] = ()) -> DataFrame:
     """Contiguous windows to refetch, none longer than the feed accepts."""
-    windows = coalesce_periods(gaps)
+    windows = coalesce_periods(gaps, keys)
     return request_windows(windows, int(source.max_window.total_seconds())).withColumn(
         "source", F.lit(source.name)
     )

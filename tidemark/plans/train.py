@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,15 +46,13 @@ def chronological_split(df: DataFrame, share: float = 0.75) -> DataFrame:
     )
 
 
-def _pipeline(df: DataFrame, features: Sequence[str], **gbt) -> Pipeline:
-    """Nulls become a median and an indicator, since Spark's trees take no nulls."""
-    filled = [f"{c}__filled" for c in features]
+MISSING = -1.0e9  # below every real value, so one split sets missing rows apart
+
+
+def _pipeline(features: Sequence[str], **gbt) -> Pipeline:
     return Pipeline(
         stages=[
-            Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
-            VectorAssembler(
-                inputCols=[*filled, *[f"{c}__missing" for c in features]], outputCol="features"
-            ),
+            VectorAssembler(inputCols=list(features), outputCol="features"),
             GBTRegressor(
                 featuresCol="features", labelCol="y", predictionCol="pred", seed=17, **gbt
             ),
@@ -63,12 +61,11 @@ def _pipeline(df: DataFrame, features: Sequence[str], **gbt) -> Pipeline:
 
 
 def prepared(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Feature columns as doubles with their missing flags."""
+    """Feature columns as doubles; Spark's trees take no nulls, so those are marked."""
     outside = [c for c in df.columns if c not in features]
     return df.select(
         *outside,
-        *[F.col(c).cast("double").alias(c) for c in features],
-        *[F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in features],
+        *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in features],
     )
 
 
@@ -83,17 +80,14 @@ def fit_point(
     """gradient boosting; banned columns are refused."""
     assert_no_banned(train.select(*features))
     stage = _pipeline(
-        train, features, maxIter=max_iter, stepSize=learning_rate,
-        maxDepth=max_depth, minInstancesPerNode=min_leaf,
+        features, maxIter=max_iter, stepSize=learning_rate, maxDepth=max_depth,
+        minInstancesPerNode=min_leaf,
     )
     return stage.fit(prepared(train, features))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    scored = model.transform(prepared(df, features))
-    return scored.drop(
-        "features", *[f"{c}__filled" for c in features], *[f"{c}__missing" for c in features]
-    )
+    return model.transform(prepared(df, features)).drop("features")
 
 
 def residual_bands(fitted: DataFrame) -> DataFrame:

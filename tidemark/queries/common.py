@@ -190,6 +190,32 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (VALUES ('q025'),('q10'),('q90'),('q975')) l(quantile_name)
         GROUP BY q.series_key, b.band_low, b.band_high, l.quantile_name, q.lag""",
     ),
+    "matured": (("facts",), "SELECT * FROM facts WHERE is_matured"),
+    "matured_errors": (
+        ("matured",),
+        """SELECT series_key, 48 AS lag, actual - lag(actual, 48) OVER w AS e FROM matured
+        WINDOW w AS (PARTITION BY series_key ORDER BY sp_start_utc)
+        UNION ALL SELECT series_key, 96, actual - lag(actual, 96) OVER w FROM matured
+        WINDOW w AS (PARTITION BY series_key ORDER BY sp_start_utc)""",
+    ),
+    "matured_calibration": (
+        ("matured_errors", "panel"),
+        """SELECT q.series_key, b.band_low, b.band_high, l.quantile_name,
+        quantile_cont(CAST(e AS DOUBLE), 0.025) AS o1,
+        quantile_cont(CAST(e AS DOUBLE), 0.1) AS o2,
+        quantile_cont(CAST(e AS DOUBLE), 0.9) AS o3,
+        quantile_cont(CAST(e AS DOUBLE), 0.975) AS o4,
+        CASE l.quantile_name WHEN 'q025' THEN o1 WHEN 'q10' THEN o2
+          WHEN 'q90' THEN o3 ELSE o4 END AS "offset",
+        max(n.rows) - q.lag AS n_samples
+        FROM matured_errors q
+        JOIN (SELECT series_key, count(*) AS rows FROM matured GROUP BY 1) n
+          ON n.series_key = q.series_key AND n.rows > 384
+        JOIN (VALUES (1,6,48),(7,24,48),(25,48,48),(49,96,96)) b(band_low, band_high, lag)
+          ON b.lag = q.lag,
+        (VALUES ('q025'),('q10'),('q90'),('q975')) l(quantile_name)
+        GROUP BY q.series_key, b.band_low, b.band_high, l.quantile_name, q.lag""",
+    ),
     "bands": (
         ("calibration",),
         """SELECT series_key, band_low, band_high,
@@ -309,7 +335,11 @@ def using(names: str, select: str) -> str:
     for name in names.split():
         visit(name)
     body = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order)
-    return f"WITH {body}\n{select}" if order else select
+    if not order:
+        return select
+    if select.startswith("WITH "):
+        return f"WITH {body},\n{select[5:]}"
+    return f"WITH {body}\n{select}"
 
 
 def query(name: str, views: str = "", sql: str | None = None):
