@@ -14,7 +14,7 @@ from tidemark.plans.calibrate import error_quantiles
 from tidemark.plans.issue import issue_persistence, issue_published, issue_seasonal, issue_targets
 from tidemark.plans.marts import fct_intensity_period, mix_wide, weather_wide
 from tidemark.plans.register import score
-from tidemark.session import configure
+from tidemark.session import configure, scratch_dir
 from tidemark.sources.spine import spine_of
 
 UTC = timezone.utc
@@ -57,6 +57,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.dir = sf_dir
+        self._stored: dict[str, str] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -214,7 +215,22 @@ class Tables:
     def calibration(self) -> DataFrame:
         return error_quantiles(self.panel(), KEYS)
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A frame written once to the shared folder and read back.
+
+        The register is a stored table: what reads it must not issue it again,
+        and a lost executor must not either.
+        """
+        if name not in self._stored:
+            path = scratch_dir(self.spark, name)
+            build().write.parquet(path)
+            self._stored[name] = path
+        return self.spark.read.parquet(self._stored[name])
+
     def points(self) -> DataFrame:
+        return self.stored("points", self.issued)
+
+    def issued(self) -> DataFrame:
         """Three models issued daily on the panel; the third stops two horizons short."""
         panel = self.panel()
         targets = issue_targets(panel, GRID, KEYS)
@@ -231,6 +247,9 @@ class Tables:
         return naive_scale_time(self.panel(), KEYS, self.as_of)
 
     def scores(self) -> DataFrame:
+        return self.stored("scores", self.scored)
+
+    def scored(self) -> DataFrame:
         return score(self.points(), self.facts(), self.scale(), None, KEYS)
 
     def registry(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -98,17 +99,23 @@ def residual_bands(fitted: DataFrame) -> DataFrame:
     return exact_percentiles(rows, ["horizon_group"], "__e", C.QUANTILE_LEVELS)
 
 
-def raw_intervals(scored: DataFrame, bands: DataFrame) -> DataFrame:
+def raw_intervals(scored: DataFrame, bands: dict[str, dict[str, float]]) -> DataFrame:
     """Point plus band offsets, put in order so that quantiles never cross."""
-    names = list(C.QUANTILE_LEVELS)
-    four = bands.select("horizon_group", *[F.col(n).alias(f"__{n}") for n in names])
-    rows = scored.withColumn("horizon_group", horizon_group("horizon_periods")).join(
-        F.broadcast(four), "horizon_group", "left"  # four rows
-    )
-    rows = rows.withColumn("__q", sort4(*[F.col("pred") + F.col(f"__{n}") for n in names]))
-    for i, n in enumerate(names):
+    rows = scored.withColumn("horizon_group", horizon_group("horizon_periods"))
+    parts = []
+    for n in C.QUANTILE_LEVELS:
+        offset = F.lit(None).cast("double")
+        for group, offsets in bands.items():
+            offset = F.when(F.col("horizon_group") == group, F.lit(offsets[n])).otherwise(offset)
+        parts.append(F.col("pred") + offset)
+    return _in_order(rows, sort4(*parts)).drop("horizon_group")
+
+
+def _in_order(rows: DataFrame, four: Column) -> DataFrame:
+    rows = rows.withColumn("__q", four)
+    for i, n in enumerate(C.QUANTILE_LEVELS):
         rows = rows.withColumn(n, F.col("__q")[i])
-    return rows.drop("__q", *[f"__{n}" for n in names])
+    return rows.drop("__q")
 
 
 def conformal_widths(calibration: DataFrame) -> DataFrame:
@@ -122,20 +129,15 @@ def conformal_widths(calibration: DataFrame) -> DataFrame:
     return out
 
 
-def widened(rows: DataFrame, widths: DataFrame) -> DataFrame:
+def widened(rows: DataFrame, widths: dict[str, float]) -> DataFrame:
     """intervals moved out by the conformal widths, order re-asserted."""
-    w = widths.select(F.struct("widen_q10", "widen_q025")).scalar()
-    rows = rows.withColumn("__w", w)
-    parts = [
-        F.col("q025") - F.col("__w.widen_q025"),
-        F.col("q10") - F.col("__w.widen_q10"),
-        F.col("q90") + F.col("__w.widen_q10"),
-        F.col("q975") + F.col("__w.widen_q025"),
-    ]
-    rows = rows.withColumn("__q", F.array_sort(F.array(*parts)))
-    for i, n in enumerate(C.QUANTILE_LEVELS):
-        rows = rows.withColumn(n, F.col("__q")[i])
-    return rows.drop("__q", "__w")
+    w80, w95 = F.lit(widths["widen_q10"]), F.lit(widths["widen_q025"])
+    return _in_order(
+        rows,
+        sort4(
+            F.col("q025") - w95, F.col("q10") - w80, F.col("q90") + w80, F.col("q975") + w95
+        ),
+    )
 
 
 def interval_report(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -163,56 +165,74 @@ def holdout_summary(scored: DataFrame, scale: Column) -> DataFrame:
     )
 
 
-def train(
-    train_set: DataFrame, features: Sequence[str], **gbt
-) -> tuple[PipelineModel, PipelineModel, DataFrame, DataFrame]:
-    """The point model, the interval model, its bands and its widths.
+@dataclass
+class Model:
+    """Two fitted pipelines and the eighteen numbers of their intervals."""
 
-    The point model learns from the whole training set. The intervals come from
-    a model of the earlier part and are widened on the later part, which that
-    model never saw.
-    """
-    split = chronological_split(train_set).persist()
-    fit, cal = split.where("is_fit"), split.where(~F.col("is_fit"))
-    point = fit_point(split, features, **gbt)
-    early = fit_point(fit, features, **gbt)
-    bands = residual_bands(predict(early, fit, features))
-    widths = conformal_widths(raw_intervals(predict(early, cal, features), bands))
-    return point, early, bands, widths
+    point: PipelineModel
+    early: PipelineModel
+    features: list[str]
+    bands: dict[str, dict[str, float]]
+    widths: dict[str, float]
 
+    def forecast(self, rows: DataFrame) -> DataFrame:
+        """F16: point from one model, intervals from the other, for any feature rows."""
+        spread = raw_intervals(predict(self.early, rows, self.features), self.bands)
+        return predict(self.point, widened(spread, self.widths).drop("pred"), self.features)
 
-def forecast(point, early, bands, widths, rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Point from one model, intervals from the other, for any feature rows."""
-    spread = widened(raw_intervals(predict(early, rows, features), bands), widths)
-    spread = spread.drop("pred")
-    return predict(point, spread, features)
 
+def train(train_set: DataFrame, features: Sequence[str], **gbt) -> Model:
+    """the point model and the intervals around it.
 
-def issue_model(
-    models: tuple, rows: DataFrame, features: Sequence[str], keys: Sequence[str]
-) -> DataFrame:
+    The point model learns from the whole training set. The intervals come from
+    a model of the earlier part and are widened on the later part, which that
+    model never saw. What comes back to the driver is one row per horizon group
+    and one row of widths.
+    """
+    features = list(features)
+    split = chronological_split(train_set).persist()
+    try:
+        fit, cal = split.where("is_fit"), split.where(~F.col("is_fit"))
+        point = fit_point(split, features, **gbt)
+        early = fit_point(fit, features, **gbt)
+        bands = {
+            r["horizon_group"]: {n: r[n] for n in C.QUANTILE_LEVELS}
+            for r in residual_bands(predict(early, fit, features)).collect()
+        }
+        tried = raw_intervals(predict(early, cal, features), bands).persist()
+        widths = conformal_widths(tried).first().asDict()
+        tried.unpersist()
+    finally:
+        split.unpersist()
+    return Model(point, early, features, bands, widths)
+
+
+def issue_model(model: Model, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """F16: register rows from the trained model; ``rows`` also carry run_at_utc."""
-    out = (
-        forecast(*models, rows, features)
-        .withColumnRenamed("pred", "point")
-        .withColumnRenamed("horizon_periods", "horizon")
+    feature = text_key(
+        *[F.coalesce(F.col(f).cast("string"), F.lit("null")) for f in model.features]
+    )
+    out = model.forecast(rows.withColumn("__f", feature))
+    out = out.withColumnRenamed("pred", "point").withColumn(
+        "horizon", F.col("horizon_periods").cast("int")
     )
-    used = [f for f in features if f in out.columns]
-    feature = text_key(*[F.coalesce(F.col(f).cast("string"), F.lit("null")) for f in used])
-    return as_register(out, keys, GBT, feature)
+    return as_register(out, keys, GBT, F.col("__f"))
 
 
 def save_model(
-    spark: SparkSession, path: str, model: PipelineModel, card: dict, holdout: DataFrame | None = None
+    spark: SparkSession, path: str, model: Model, card: dict, holdout: DataFrame | None = None
 ) -> None:
-    """The fitted pipeline and its card, a few dozen numbers."""
-    model.write().overwrite().save(f"{path}/model")
-    full = dict(card)
+    """The fitted pipelines and a card with every number of the intervals."""
+    model.point.write().overwrite().save(f"{path}/point")
+    model.early.write().overwrite().save(f"{path}/early")
+    full = dict(card, features=model.features, bands=model.bands, widths=model.widths)
     if holdout is not None:  # at most four rows
         full["holdout"] = {r["horizon_group"]: r.asDict() for r in holdout.collect()}
-    line = spark.createDataFrame([(json.dumps(full, sort_keys=True, default=str),)], "value string")
-    line.write.mode("overwrite").text(f"{path}/card")
+    text = json.dumps(full, sort_keys=True, default=str)
+    spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{path}/card")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(f"{path}/model")
+def load_model(spark: SparkSession, path: str) -> tuple[Model, dict]:
+    card = json.loads(spark.read.text(f"{path}/card", wholetext=True).first()["value"])
+    point, early = (PipelineModel.load(f"{path}/{n}") for n in ("point", "early"))
+    return Model(point, early, card["features"], card["bands"], card["widths"]), card

@@ -14,6 +14,7 @@ from tidemark.plans import calibrate as CAL
 from tidemark.plans import features as FT
 from tidemark.plans import train as TR
 from tidemark.queries.common import AS_OF, GROUP, query
+from tidemark.session import scratch_dir
 
 FACT = ["series_key", "sp_start_utc"]
 
@@ -599,7 +600,7 @@ def a22(t):
 )
 def n35(t):
     rows = scored_intervals(t)
-    wide = TR.widened(rows, TR.conformal_widths(rows))
+    wide = TR.widened(rows, TR.conformal_widths(rows).first().asDict())
     parts = F.split("forecast_id", "[|]")
     return wide.select(
         parts.getItem(0).alias("series_key"),
@@ -609,15 +610,33 @@ def n35(t):
     )
 
 
-@query("f11_f12_f16_boosted_intervals")
-def f16(t):
-    """The boosted model trained on the panel's features, scored on its last issue times."""
-    rows = dataset(t).persist()
-    features = FT.feature_columns(rows)
+def trained(t):
+    """A small boosted model of the panel, and the feature rows it has not seen."""
+    rows = t.stored("features", lambda: dataset(t))
     cut = F.lit("2024-01-20").cast("timestamp")
-    models = TR.train(
-        rows.where(F.col("origin_utc") < cut), features,
+    model = TR.train(
+        rows.where(F.col("origin_utc") < cut), FT.feature_columns(rows),
         max_iter=8, max_depth=4, min_leaf=5, learning_rate=0.2,
     )
-    held = rows.where(F.col("origin_utc") >= cut).withColumn("run_at_utc", F.col("origin_utc"))
-    return TR.issue_model(models, held, features, KEYS)
+    return model, rows.where(F.col("origin_utc") >= cut)
+
+
+@query("f11_f12_f16_boosted_intervals")
+def f16(t):
+    """Register rows of the boosted model on the issue times after its training."""
+    model, held = trained(t)
+    return TR.issue_model(model, held.withColumn("run_at_utc", F.col("origin_utc")), KEYS)
+
+
+@query("s15_model_artefact")
+def s15(t):
+    """The model stored and read back, and its holdout accuracy from the stored copy."""
+    path = scratch_dir(t.spark, "model")
+    model, held = trained(t)
+    scale = F.lit(1.0)
+    TR.save_model(
+        t.spark, path, model, {"model_version": "G2_gbt_v1", "uses_benchmark": False},
+        TR.holdout_summary(model.forecast(held), scale),
+    )
+    again, _ = TR.load_model(t.spark, path)
+    return TR.holdout_summary(again.forecast(held), scale)

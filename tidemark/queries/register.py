@@ -27,7 +27,7 @@ CHAMPION = "model_version = 'B1_seasonal_naive_q_v1'"
     point, q025, q10, q90, q975 FROM points""",
 )
 def f14(t):
-    return t.points().drop("row_hash", "feature_hash")
+    return t.issued().drop("row_hash", "feature_hash")
 
 
 @query(
@@ -93,7 +93,7 @@ def f26(t):
     FROM scores""",
 )
 def f20(t):
-    rows = t.scores()
+    rows = t.scored()
     for c in ("pinball_10", "pinball_90"):
         rows = rows.withColumn(c, F.round(c, 6))
     return rows
@@ -361,11 +361,11 @@ _PLAN = (
     e.horizon AS min_horizon, e.last_horizon AS max_horizon,
     CASE WHEN e.horizon <= 6 THEN 'H1' WHEN e.horizon <= 24 THEN 'H2'
       WHEN e.horizon <= 48 THEN 'H3' WHEN e.horizon IS NOT NULL THEN 'H4' END AS horizon_group,
-    round(e.m, 3) AS best_mean, round(o.m - e.m, 3) AS now_saving,
-    round((o.m - e.m) * appliance_kwh, 3) AS now_saved_g,
-    round(o.m10 - e.m90, 3) AS now_saving_low, round(o.m90 - e.m10, 3) AS now_saving_high,
-    o.m10 - e.m90 < 0 AS now_could_be_worse, round(a.m - e.m, 3) AS average_saving,
-    round(l.m - e.m, 3) AS overnight_saving, round(f.m - e.m, 3) AS upper_bound_saving,
+    round(e.m, 9) AS best_mean, round(o.m - e.m, 9) AS now_saving,
+    round((o.m - e.m) * appliance_kwh, 9) AS now_saved_g,
+    round(o.m10 - e.m90, 9) AS now_saving_low, round(o.m90 - e.m10, 9) AS now_saving_high,
+    o.m10 - e.m90 < 0 AS now_could_be_worse, round(a.m - e.m, 9) AS average_saving,
+    round(l.m - e.m, 9) AS overnight_saving, round(f.m - e.m, 9) AS upper_bound_saving,
     CASE WHEN e.m IS NULL THEN 'not enough forecast periods' END AS detail
     FROM wish r LEFT JOIN best e USING (series_key, w, s)
     LEFT JOIN worst f USING (series_key, w, s)
@@ -376,7 +376,7 @@ _PLAN = (
 
 
 def plan_exact(t):
-    return P.plan(champion_now(t), t.requests(), digits=3)
+    return P.plan(champion_now(t), t.requests(), digits=9)
 
 
 @query("f22_plan", "points requests", _PLAN)
