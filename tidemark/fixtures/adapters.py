@@ -139,7 +139,10 @@ class Tables:
         return mart_absent_periods(self.absent_windows(), self.spine())
 
     def facts(self) -> DataFrame:
-        """The panel with its lifecycle flags."""
+        """The panel with its lifecycle flags: a stored mart."""
+        return self.stored("facts", self.built_facts)
+
+    def built_facts(self) -> DataFrame:
         return fct_intensity_period(self.panel(), self.absent(), self.as_of)
 
     def mix(self) -> DataFrame:
@@ -176,6 +179,9 @@ class Tables:
     def mix_wide(self) -> DataFrame:
         return mix_wide(self.mix())
 
+    def stored_mix(self) -> DataFrame:
+        return self.stored("mix_wide", self.mix_wide)
+
     def weather_hour(self) -> DataFrame:
         return (
             self.events()
@@ -200,6 +206,9 @@ class Tables:
     def weather_wide(self) -> DataFrame:
         return weather_wide(self.weather_period())
 
+    def stored_weather(self) -> DataFrame:
+        return self.stored("weather_wide", self.weather_wide)
+
     def vintage(self) -> DataFrame:
         return (
             self.events()
@@ -213,7 +222,7 @@ class Tables:
         )
 
     def calibration(self) -> DataFrame:
-        return error_quantiles(self.panel(), KEYS)
+        return error_quantiles(self.facts(), KEYS)
 
     def stored(self, name: str, build) -> DataFrame:
         """A frame written once to the shared folder and read back.
@@ -232,7 +241,7 @@ class Tables:
 
     def issued(self) -> DataFrame:
         """Three models issued daily on the panel; the third stops two horizons short."""
-        panel = self.panel()
+        panel = self.facts()
         targets = issue_targets(panel, GRID, KEYS)
         short = targets.where(F.col("horizon") <= C.HORIZONS - 2)
         return (
@@ -244,7 +253,7 @@ class Tables:
         )
 
     def scale(self) -> DataFrame:
-        return naive_scale_time(self.panel(), KEYS, self.as_of)
+        return naive_scale_time(self.facts(), KEYS, self.as_of)
 
     def scores(self) -> DataFrame:
         return self.stored("scores", self.scored)

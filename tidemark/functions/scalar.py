@@ -59,7 +59,8 @@ def add_seconds(ts, seconds) -> Column:
 
 
 def floor_to(ts, seconds: int = C.STEP_SECONDS) -> Column:
-    return F.timestamp_seconds(F.floor(epoch(ts) / F.lit(seconds)) * seconds)
+    at = epoch(ts)
+    return F.timestamp_seconds(at - F.pmod(at, F.lit(seconds)))
 
 
 def seconds_between(later, earlier) -> Column:
@@ -97,7 +98,9 @@ def is_dst(ts, tz: str = "Europe/London") -> Column:
 
 
 def parse_iso(text) -> Column:
-    return F.to_timestamp(col(text))
+    """ISO text to an instant. Feeds leave out the seconds, which Spark requires."""
+    full = F.regexp_replace(col(text), r"(T\d\d:\d\d)(Z|[+-]\d\d:\d\d)?$", "$1:00$2")
+    return F.to_timestamp(full)
 
 
 def iso_text(ts) -> Column:

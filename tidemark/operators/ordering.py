@@ -24,7 +24,9 @@ _CH = "__chunk"
 
 
 def _chunk(time: str, seconds: int) -> Column:
-    return F.floor(epoch(time) / F.lit(seconds)).cast("long")
+    """The start of the chunk in epoch seconds."""
+    at = epoch(time)
+    return at - F.pmod(at, F.lit(seconds))
 
 
 def explode_grid(df: DataFrame, start: str, end: str, step: int, out: str) -> DataFrame:
@@ -59,6 +61,12 @@ def explode_origins(
     """
     step, n = grid.step_seconds, grid.count
     start = int(grid.start.timestamp())
+    # Plain bounds first: they reach the scan, the arithmetic below does not.
+    near = F.col(time).between(
+        F.timestamp_seconds(F.lit(start + lo)),
+        F.timestamp_seconds(F.lit(start + (n - 1) * step + hi)),
+    )
+    df = df.where(near)
     since = epoch(time) - F.lit(start)
     first = F.greatest(F.ceil((since - hi) / F.lit(step)), F.lit(0).cast("long"))
     last = F.least(F.floor((since - lo) / F.lit(step)), F.lit(n - 1).cast("long"))
@@ -258,9 +266,8 @@ def rolling_stats(series, keys, value: str, hours: int, time=TIME) -> DataFrame:
     frame of its own rows and no chunk needs another.
     """
     span = hours * 3600
-    chunk = F.floor(epoch(time) / F.lit(span)).cast("long")
-    copied = series.withColumn("__home", chunk).withColumn(
-        _CH, F.explode(F.array(F.col("__home"), F.col("__home") + 1))
+    copied = series.withColumn("__home", _chunk(time, span)).withColumn(
+        _CH, F.explode(F.array(F.col("__home"), F.col("__home") + span))
     )
     frame = (
         Window.partitionBy(*keys, _CH).orderBy(epoch(time)).rangeBetween(-span + 1, 0)

@@ -106,6 +106,16 @@ def backtest_targets(
     )
 
 
+def reachable(series: DataFrame, grid: C.Grid, embargo_hours: int) -> DataFrame:
+    """The rows a seasonal walk back from the grid can land on; the bounds reach the scan."""
+    step, known = C.STEP_SECONDS, int(grid.start.timestamp()) - embargo_hours * 3600
+    last = known + (grid.count - 1) * grid.step_seconds
+    first = known - C.WALKBACK_STEPS * C.SEASON_WEEK * step
+    return series.where(
+        F.col(TIME).between(F.timestamp_seconds(F.lit(first)), F.timestamp_seconds(F.lit(last)))
+    )
+
+
 def persistence(series, targets, keys, out="b0") -> DataFrame:
     """the last known value, one look-up per issue time."""
     probes = targets.select(*keys, "origin_utc", "known_until_utc").distinct()
@@ -130,7 +140,10 @@ def backtest(
     slim = series.select(*keys, TIME, "actual", "benchmark", "is_comparable")
     rows = backtest_targets(slim, grid, embargo_hours).drop("is_comparable")
     rows = persistence(slim, rows, keys)
-    rows = seasonal_asof(slim, rows, keys, {"b1": C.SEASON_DAY, "b2": C.SEASON_WEEK})
+    rows = seasonal_asof(
+        reachable(slim, grid, embargo_hours), rows, keys,
+        {"b1": C.SEASON_DAY, "b2": C.SEASON_WEEK},
+    )
     rows = climatology(slim, rows, grid, keys, embargo_hours)
     if strict:
         rows = rows.dropna(subset=list(MODELS))

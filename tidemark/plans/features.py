@@ -19,6 +19,7 @@ from tidemark.functions.scalar import (
 )
 from tidemark.operators.asof import asof_last, trailing_rows_mean
 from tidemark.operators.ordering import TIME, explode_origins
+from tidemark.session import written
 
 KNOWN = "knowable_effective_utc"
 MIX = ("wind_perc", "solar_perc", "low_carbon_perc")
@@ -142,8 +143,10 @@ def issue_features(
     """Lags and rolling statistics at each issue time (W10, J14 of F8).
 
     Rows are sent to the issue times that can see them and aggregated there;
-    what each map task sees of an issue time is merged before the shuffle. Issue
-    times with nothing knowable are dropped, as they have no features.
+    what each map task sees of an issue time is merged before the shuffle. The
+    result, one row per key and issue time, is written once, as the far look-up
+    and the final join both read it. Issue times with nothing knowable are
+    dropped, as they have no features.
     """
     keys = list(keys)
     seen = with_effective_knowable(intensity).where(F.col(value).isNotNull())
@@ -162,7 +165,7 @@ def issue_features(
         aggs.append(mean(v).alias(f"intensity_mean_{h}h"))
         aggs.append(F.stddev_samp(v.cast("double")).alias(f"intensity_std_{h}h"))
     reached = near.groupBy(*keys, "origin_utc").agg(*aggs)
-    lined = issued.join(reached, [*keys, "origin_utc"], "left")
+    lined = written(issued.join(reached, [*keys, "origin_utc"], "left"), "issue-features")
     far = _distant_lags(seen, lined, keys, run_offset_seconds, value)
     out = lined.join(far, [*keys, "origin_utc"], "left")
     for h in C.LAG_HOURS:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as C
-from tidemark.functions.scalar import json_each, json_get, json_text
+from tidemark.functions.scalar import json_each, json_get, json_text, parse_iso
 from tidemark.operators.versions import latest_row, resolve
 
 
@@ -74,8 +74,8 @@ def stg_regional(landing: DataFrame) -> DataFrame:
 def stg_demand(landing: DataFrame) -> DataFrame:
     """Every vintage stays; nothing is deduplicated."""
     return landing.select(
-        json_text("payload", "startTime", "timestamp").alias("sp_start_utc"),
-        json_text("payload", "publishTime", "timestamp").alias("publish_time_utc"),
+        parse_iso(json_text("payload", "startTime")).alias("sp_start_utc"),
+        parse_iso(json_text("payload", "publishTime")).alias("publish_time_utc"),
         json_text("payload", "initialDemandOutturn", "int").alias("demand_indo_mw"),
         json_text("payload", "initialTransmissionSystemDemandOutturn", "int").alias(
             "demand_itsdo_mw"

@@ -360,7 +360,7 @@ def f13(t):
 def dataset(t, grid=TRAIN_GRID):
     intensity = t.facts().withColumn("knowable_is_reconstructed", F.col("revision_count") > 1)
     intensity = intensity.select(*FACT, "actual", "knowable_at_utc", "knowable_is_reconstructed")
-    return FT.build_dataset(grid, intensity, t.mix_wide(), t.weather_wide(), KEYS)
+    return FT.build_dataset(grid, intensity, t.stored_mix(), t.stored_weather(), KEYS)
 
 
 _ISSUE_VIEWS = """WITH org AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-08',

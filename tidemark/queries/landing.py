@@ -267,7 +267,7 @@ def t2(t):
     WHEN is_matured THEN 'matured' ELSE 'pending' END AS state FROM facts""",
 )
 def t3(t):
-    return V.lifecycle(t.facts()).select("series_key", "sp_start_utc", "state")
+    return V.lifecycle(t.built_facts()).select("series_key", "sp_start_utc", "state")
 
 
 @query(

@@ -317,7 +317,7 @@ def t5(t):
     is_comparable, is_known_absent_upstream FROM facts""",
 )
 def p7(t):
-    return t.facts().drop("first_seen_at_utc", "knowable_at_utc")
+    return t.built_facts().drop("first_seen_at_utc", "knowable_at_utc")
 
 
 @query(

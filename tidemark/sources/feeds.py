@@ -1,8 +1,9 @@
 """Captured feed responses to landing candidates.
 
-Each file is one response, whose size the feed's maximum window bounds. The
-response is held as VARIANT, so the payload keeps every field it came with and
-is written out in canonical form (sorted keys, nulls kept).
+A response is one line of a file or, with ``whole``, one file; the feed's maximum
+window bounds its size either way. It is held as VARIANT, so the payload keeps
+every field it came with and is written out in canonical form (sorted keys, nulls
+kept).
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from tidemark import config as C
 from tidemark.functions.scalar import all_null, parse_iso
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumn(
+def read_documents(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    return spark.read.text(path, wholetext=whole).withColumn(
         "fetched_at_utc", F.col("_metadata.file_modification_time")
     )
 
@@ -41,21 +42,21 @@ def _record(df: DataFrame, keys: dict[str, Column], payload: str = "e") -> DataF
     ).withColumn("payload_hash", F.sha2("payload", 256))
 
 
-def read_intensity(spark: SparkSession, path: str) -> DataFrame:
+def read_intensity(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """One record per period."""
     return _record(
-        _elements(read_documents(spark, path)), {"sp_start_utc": parse_iso(_text("$.from"))}
+        _elements(read_documents(spark, path, whole)), {"sp_start_utc": parse_iso(_text("$.from"))}
     )
 
 
-def read_genmix(spark: SparkSession, path: str) -> DataFrame:
+def read_genmix(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Same shape; the fuel array stays inside the payload."""
-    return read_intensity(spark, path)
+    return read_intensity(spark, path, whole)
 
 
-def read_regional(spark: SparkSession, path: str) -> DataFrame:
+def read_regional(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """S3: one record per period and region."""
-    regions = _elements(read_documents(spark, path)).select(
+    regions = _elements(read_documents(spark, path, whole)).select(
         "fetched_at_utc",
         parse_iso(_text("$.from")).alias("at"),
         F.explode(F.variant_get("e", "$.regions", "array<variant>")).alias("r"),
@@ -70,10 +71,10 @@ def read_regional(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_demand(spark: SparkSession, path: str) -> DataFrame:
+def read_demand(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Keyed by period and publication time."""
     return _record(
-        _elements(read_documents(spark, path)),
+        _elements(read_documents(spark, path, whole)),
         {
             "sp_start_utc": parse_iso(_text("$.startTime")),
             "publish_time_utc": parse_iso(_text("$.publishTime")),
@@ -81,10 +82,10 @@ def read_demand(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_price(spark: SparkSession, path: str) -> DataFrame:
+def read_price(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Keyed by period and provider."""
     return _record(
-        _elements(read_documents(spark, path)),
+        _elements(read_documents(spark, path, whole)),
         {
             "sp_start_utc": parse_iso(_text("$.startTime")),
             "data_provider": _text("$.dataProvider"),
@@ -97,13 +98,14 @@ def read_weather(
     path: str,
     locations: Sequence[str] = C.LOCATIONS,
     variables: Sequence[str] = C.WEATHER_VARIABLES,
+    whole: bool = False,
 ) -> DataFrame:
     """Parallel hourly arrays, one block per location by position.
 
     A response for one location may be a bare object. Hours whose variables are
     all null are dropped.
     """
-    docs = read_documents(spark, path)
+    docs = read_documents(spark, path, whole)
     text = F.trim("value")
     listed = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     hourly = "struct<time:array<string>," + ",".join(f"{v}:array<double>" for v in variables) + ">"
@@ -127,7 +129,7 @@ def read_weather(
     )
     return rows.select(
         "location_id",
-        F.to_timestamp(F.concat(F.col("h.time"), F.lit("Z"))).alias("hour_start_utc"),
+        parse_iso(F.concat(F.col("h.time"), F.lit("Z"))).alias("hour_start_utc"),
         F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"),
         "fetched_at_utc",
     ).withColumn("payload_hash", F.sha2("payload", 256))
