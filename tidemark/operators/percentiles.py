@@ -20,7 +20,8 @@ def exact_percentiles(
     A sketch with a guaranteed rank error brackets each wanted rank. The rows
     below a bracket are only counted; the rows inside, a share of about
     4/accuracy of the group, are counted per value and walked in order. The
-    brackets are wider than the sketch error, so the wanted ranks lie in them.
+    brackets are twice as wide as the sketch error; should one miss its rank all
+    the same, the job fails rather than answer wrongly.
     """
     keys = list(keys)
     names = list(levels)
@@ -80,9 +81,13 @@ def exact_percentiles(
     picked = ranked.groupBy(*keys, "__n", "level_name", "level").agg(
         F.min(F.when((F.col("__last") >= low) & F.col("__y").isNotNull(), F.col("__y"))).alias("a"),
         F.min(F.when((F.col("__last") >= high) & F.col("__y").isNotNull(), F.col("__y"))).alias("b"),
+        F.max(F.when(F.col("__y").isNull(), F.col("__last"))).alias("__below"),
+        F.max("__last").alias("__upto"),
+    )
+    held = (F.coalesce("__below", F.lit(-1)) < F.floor(at)) & (F.col("__upto") >= F.ceil(at))
+    exact = F.when(held, F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).otherwise(
+        F.raise_error(F.lit("a bracket missed its rank")).cast("double")
     )
-    at = F.col("level") * (F.col("__n") - 1)
-    exact = F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))
     return (
         picked.withColumn("__p", exact)
         .groupBy(*keys)
