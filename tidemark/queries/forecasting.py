@@ -142,7 +142,8 @@ _BT = f"""WITH prof AS ({_PROFILE}),
 @query(
     "f4_f5_backtest_points",
     "facts origins panel",
-    _BT + " SELECT series_key, origin_utc, target_utc, horizon, actual, model, pred FROM bt",
+    _BT + """ SELECT series_key, origin_utc, target_utc, horizon,
+    CAST(actual AS DECIMAL(18,3)) AS actual, model, pred FROM bt""",
 )
 def f5(t):
     return B.backtest(comparable_panel(t), GRID, KEYS)

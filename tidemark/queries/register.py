@@ -148,7 +148,7 @@ def f21(t):
     "f21_p16_accuracy_report",
     "accuracy",
     """SELECT model_version, horizon_group, n, mae, n >= 200 AS publishable,
-    sum(n) OVER () AS total_scored_points, bool_or(n >= 200) OVER () AS any_publishable
+    CAST(sum(n) OVER () AS BIGINT) AS total_scored_points, bool_or(n >= 200) OVER () AS any_publishable
     FROM accuracy WHERE model_version = 'B0_persistence_v1'""",
 )
 def p16(t):
