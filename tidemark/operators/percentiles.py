@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SALTS = 32
+
 
 def exact_percentiles(
     df: DataFrame,
@@ -55,20 +57,28 @@ def exact_percentiles(
         for i, n in enumerate(names)
     ]
     brackets = brackets.select(*keys, F.struct("__n", F.array(*picks).alias("__b")).alias("__g"))
-    joined = rows.select(*keys, "__x")
     if keys:
-        joined = joined.join(brackets, keys)
+        # Counted per value and salted, so a group that holds most rows still
+        # meets its bracket in many tasks.
+        salt = F.pmod(F.xxhash64("__x"), F.lit(SALTS))
+        counts = rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt")
+        joined = counts.withColumn("__salt", salt).join(
+            brackets.select("*", salts), [*keys, "__salt"]
+        )
     else:
-        joined = joined.withColumn("__g", brackets.scalar())
-    joined = joined.select(*keys, "__x", "__g.*")
-    tagged = joined.select(*keys, "__n", "__x", F.explode("__b").alias("b")).where(
+        joined = rows.select("__x", F.lit(1).cast("long").alias("__c")).withColumn(
+            "__g", brackets.scalar()
+        )
+    joined = joined.select(*keys, "__x", "__c", "__g.*")
+    tagged = joined.select(*keys, "__n", "__x", "__c", F.explode("__b").alias("b")).where(
         F.col("__x") <= F.col("b.hi")
     )
     below = F.col("__x") < F.col("b.lo")
     counted = (
         tagged.withColumn("__y", F.when(~below, F.col("__x")))
         .groupBy(*keys, "__n", "b.level_name", "b.level", "__y")
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.sum("__c").alias("c"))
     )
     upto = (
         Window.partitionBy(*keys, "level_name")

@@ -53,9 +53,16 @@ def resolve(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER) ->
 
 
 def bounded_by(df: DataFrame, batch: DataFrame, time: str) -> DataFrame:
-    """Rows within the batch's time span; two scalar subqueries reach the scan."""
+    """Rows within the batch's time span; scalar subqueries reach the scan.
+
+    Where the table is partitioned by ``day``, whole days are skipped unread.
+    """
     lo = batch.agg(F.min(time)).scalar()
     hi = batch.agg(F.max(time)).scalar()
+    if "day" in df.columns:
+        first = batch.agg(F.to_date(F.min(time))).scalar()
+        last = batch.agg(F.to_date(F.max(time))).scalar()
+        df = df.where(F.col("day").between(first, last))
     return df.where(F.col(time).between(lo, hi))
 
 

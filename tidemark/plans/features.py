@@ -192,6 +192,14 @@ def mix_features(mix: DataFrame, issued: DataFrame, grid: C.Grid) -> DataFrame:
     )
 
 
+def _if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
+    """Broadcast a side whose row count the grid bounds; a plain join beyond the limit.
+
+    Many series share few issue times, so a shuffle on those would be lopsided.
+    """
+    return F.broadcast(df) if rows <= limit else df
+
+
 def build_features(
     targets: DataFrame,
     grid: C.Grid,
@@ -212,16 +220,26 @@ def build_features(
     issued = targets.select(*keys, "origin_utc").distinct()
     shared = targets.select("origin_utc").distinct()
     base = issue_features(intensity, issued, grid, keys, run_offset_seconds)
-    base = base.join(mix_features(mix, shared, grid), "origin_utc", "left")
+    base = base.join(
+        _if_small(mix_features(mix, shared, grid), grid.count), "origin_utc", "left"
+    )
     measures = [c for c in weather.columns if c != TIME]
     winds = [c for c in measures if c.startswith("wind_speed_100m_kmh__")]
     trail = trailing_rows_mean(weather, shared, winds)
-    base = base.join(trail, "origin_utc", "left")
-    at_target = weather.select(
+    base = base.join(_if_small(trail, grid.count), "origin_utc", "left")
+    first = int(grid.start.timestamp())
+    span = (grid.count - 1) * grid.step_seconds + C.HORIZONS * C.STEP_SECONDS
+    at_target = weather.where(
+        F.col(TIME).between(
+            F.timestamp_seconds(F.lit(first)), F.timestamp_seconds(F.lit(first + span))
+        )
+    ).select(
         F.col(TIME).alias("target_utc"), *[F.col(c).cast("double").alias(c) for c in measures]
     )
     rows = calendar_features(targets).withColumnRenamed("horizon", "horizon_periods")
-    rows = rows.join(base, [*keys, "origin_utc"]).join(at_target, "target_utc", "left")
+    rows = rows.join(base, [*keys, "origin_utc"]).join(
+        _if_small(at_target, span // C.STEP_SECONDS + 1), "target_utc", "left"
+    )
     for c in winds:
         rows = rows.withColumn(f"ramp_{c}", F.col(c) - F.col(f"trailing_{c}")).drop(
             f"trailing_{c}"

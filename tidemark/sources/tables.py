@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.marts import merged
-from tidemark.session import configure
+from tidemark.session import configure, written
+
+MAX_LISTED = 10_000  # partition values named in a filter; beyond it a semi join
 
 
 def load_history(
@@ -83,8 +85,14 @@ def upsert(
     if not exists(spark, path):
         updates.write.mode("overwrite").partitionBy(partition).parquet(path)
         return
+    updates = written(updates, "updates")  # read three times below
     stored = spark.read.parquet(path)
-    touched = stored.join(updates.select(partition).distinct(), partition, "left_semi")
+    values = updates.select(partition).distinct()
+    listed = [r[0] for r in values.limit(MAX_LISTED + 1).collect()]
+    if len(listed) <= MAX_LISTED:  # a list prunes the partitions before they are scanned
+        touched = stored.where(F.col(partition).isin(listed))
+    else:
+        touched = stored.join(values, partition, "left_semi")
     result = merged(touched.select(*updates.columns), updates, keys)
     (
         result.write.mode("overwrite")

@@ -21,20 +21,24 @@ def land_batch(
 ) -> None:
     """Append the changed rows of one micro-batch.
 
-    Each batch owns a folder, written in overwrite mode, and looks only at the
-    folders of earlier batches; a batch that is replayed after a failure
+    Each batch owns a folder of days, written in overwrite mode, and looks only
+    at the folders of earlier batches; a batch that is replayed after a failure
     rewrites the same rows.
     """
-    target = f"{path}/batch_id={batch_id}"
     stored = None
-    if exists(spark, path):
-        held = spark.read.option("basePath", path).parquet(path) if _any(spark, path, batch_id) else None
-        stored = held.where(F.col("batch_id") < batch_id).drop("batch_id") if held is not None else None
+    if exists(spark, path) and _any(spark, path, batch_id):
+        held = spark.read.option("basePath", path).parquet(path)
+        stored = held.where(F.col("batch_id") < batch_id).drop("batch_id")
     fresh = batch if stored is None else insert_if_changed(stored, batch, keys, time)
     if "landing_id" not in batch.columns:
         empty = batch.limit(0).withColumn("landing_id", F.lit(0).cast("long"))
         fresh = with_landing_ids(fresh, stored if stored is not None else empty, keys)
-    fresh.write.mode("overwrite").parquet(target)
+    target = f"{path}/batch_id={batch_id}"
+    dated = fresh.withColumn("day", F.to_date(time))
+    # Replace the whole folder: a replay may have fewer days than the failed try.
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        "day"
+    ).parquet(target)
 
 
 def _any(spark: SparkSession, path: str, batch_id: int) -> bool:
@@ -71,4 +75,4 @@ def land_stream(
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).drop("batch_id")
+    return spark.read.option("basePath", path).parquet(path).drop("batch_id", "day")
