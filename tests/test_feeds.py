@@ -6,7 +6,7 @@ import pytest
 from conftest import UTC, at
 from pyspark.sql import functions as F
 
-from tidemark.operators.audits import band_drift, band_ranges, conflicts, _banded
+from tidemark.operators.audits import band_drift, band_ranges, conflicts, banded
 from tidemark.plans import staging
 from tidemark.plans.marts import dim_region, mix_wide
 from tidemark.session import scratch_dir
@@ -116,7 +116,7 @@ def test_band_audits_and_conflicts(spark):
     landing = spark.createDataFrame(
         data, "landing_id long, sp_start_utc timestamp, payload string, payload_hash string, "
         "fetched_at_utc timestamp")
-    rows = _banded(landing, ["sp_start_utc"])
+    rows = banded(landing, ["sp_start_utc"])
     low = {r["band"]: (r["min_actual"], r["max_actual"]) for r in band_ranges(rows).collect()}
     assert low == {"low": (11, 15), "moderate": (20, 20), "high": (30, 30)}
     assert band_drift(rows).first()["lowest_high"] == 30

@@ -106,7 +106,7 @@ def conflicts(landing: DataFrame, keys: Sequence[str] = (TIME,)) -> DataFrame:
     return conflicting_versions(typed, keys, ["actual", "forecast"])
 
 
-def _banded(landing: DataFrame, keys: Sequence[str]) -> DataFrame:
+def banded(landing: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         latest_row(landing, keys)
         .withColumn("actual", json_text("payload", "intensity.actual", "int"))

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark import config as C
-from tidemark.functions.scalar import epoch
 from tidemark.operators.ordering import next_row, ordinal, previous_row
 
 FETCHED = "fetched_at_utc"
@@ -210,7 +208,3 @@ def lifecycle(facts: DataFrame) -> DataFrame:
         .when(F.col("is_matured"), "matured")
         .otherwise("pending"),
     )
-
-
-def hours_old(time: str, as_of: Column) -> Column:
-    return (epoch(as_of) - epoch(time)) / C.STEP_SECONDS / 2

@@ -24,7 +24,6 @@ from tidemark.functions.scalar import (
 )
 from tidemark.operators.joins import align_hourly, flag_absent
 from tidemark.operators.ordering import TIME, period_numbers
-from tidemark.operators.versions import latest_row
 
 
 def dim_settlement_period(spine: DataFrame, tz: str = "Europe/London") -> DataFrame:
@@ -116,11 +115,6 @@ def fct_demand_period(demand: DataFrame) -> DataFrame:
     ).withColumn("publish_lag_minutes", lag_minutes("publish_time_utc", TIME))
 
 
-def fct_demand_current(demand: DataFrame, keys: Sequence[str] = (TIME,)) -> DataFrame:
-    """Never a feature source."""
-    tie = [c for c in ("landing_id",) if c in demand.columns]
-    return latest_row(demand, list(keys), ["publish_time_utc", *tie])
-
 
 def fct_weather_hour(weather: DataFrame) -> DataFrame:
     """Typed hourly weather with its text key; stored by accumulate-only upserts."""

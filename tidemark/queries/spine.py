@@ -487,6 +487,21 @@ def a7(t):
     return A.source_spans(tables, t.spine(), t.as_of)
 
 
+@query(
+    "a02_structural_gaps",
+    "spine user_panel",
+    f"""SELECT min(sp_start_utc) AS gap_start_utc, max(sp_start_utc) AS gap_end_utc,
+    count(*) AS periods, round(count(*) / 2.0, 1) AS hours FROM (
+      SELECT *, sp_start_utc - row_number() OVER (ORDER BY sp_start_utc)
+        * INTERVAL '30 minutes' AS island FROM spine
+      ANTI JOIN (SELECT DISTINCT sp_start_utc FROM user_panel WHERE revision_count > 1)
+        USING (sp_start_utc) WHERE sp_start_utc < {AS_OF}) GROUP BY island""",
+)
+def a02(t):
+    busy = t.user_panel().where(F.col("revision_count") > 1)
+    return A.structural_gaps(t.spine(), busy, t.as_of)
+
+
 @query(
     "a8_unscoreable_by_year",
     "landing",

@@ -56,10 +56,3 @@ def run_logged(
         )
         spark.createDataFrame([row], SCHEMA).write.mode("append").parquet(path)
     return run
-
-
-def log_state(log: DataFrame) -> DataFrame:
-    """Runs per job and status."""
-    return log.groupBy("job", "status").agg(
-        F.count(F.lit(1)).alias("runs"), F.sum("rows_written").alias("rows_written")
-    )

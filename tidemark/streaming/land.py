@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.versions import insert_if_changed, with_landing_ids
@@ -18,40 +19,43 @@ def land_batch(
     keys: Sequence[str],
     batch_id: int,
     time: str = "sp_start_utc",
-) -> None:
-    """Append the changed rows of one micro-batch.
+) -> int:
+    """Append the changed rows of one micro-batch; returns how many there were.
 
     Each batch owns a folder of days, written in overwrite mode, and looks only
     at the folders of earlier batches; a batch that is replayed after a failure
     rewrites the same rows.
     """
+    shape = batch.withColumn("day", F.to_date(time)).withColumn("batch_id", F.lit(0).cast("long"))
+    if "landing_id" not in batch.columns:
+        shape = shape.withColumn("landing_id", F.lit(0).cast("long"))
     stored = None
-    if exists(spark, path) and _any(spark, path, batch_id):
-        held = spark.read.option("basePath", path).parquet(path)
+    if exists(spark, path) and any(i < batch_id for i in _batch_ids(spark, path)):
+        held = spark.read.schema(shape.schema).option("basePath", path).parquet(path)
         stored = held.where(F.col("batch_id") < batch_id).drop("batch_id")
     fresh = batch if stored is None else insert_if_changed(stored, batch, keys, time)
     if "landing_id" not in batch.columns:
-        empty = batch.limit(0).withColumn("landing_id", F.lit(0).cast("long"))
-        fresh = with_landing_ids(fresh, stored if stored is not None else empty, keys)
-    target = f"{path}/batch_id={batch_id}"
-    dated = fresh.withColumn("day", F.to_date(time))
+        fresh = with_landing_ids(fresh, shape.limit(0) if stored is None else stored, keys)
+    target, seen = f"{path}/batch_id={batch_id}", Observation(f"landed-{uuid.uuid4().hex}")
+    dated = fresh.withColumn("day", F.to_date(time)).observe(seen, F.count(F.lit(1)).alias("n"))
     # Replace the whole folder: a replay may have fewer days than the failed try.
     dated.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
         "day"
     ).parquet(target)
+    return seen.get["n"]
 
 
-def _any(spark: SparkSession, path: str, batch_id: int) -> bool:
-    """Whether a batch before this one has stored anything."""
+def _batch_ids(spark: SparkSession, path: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    ids = [
-        int(f.getPath().getName().split("=")[1])
-        for f in fs.listStatus(p)
-        if f.getPath().getName().startswith("batch_id=")
-    ]
-    return any(i < batch_id for i in ids)
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return [int(n.split("=")[1]) for n in names if n.startswith("batch_id=")]
+
+
+def next_batch_id(spark: SparkSession, path: str) -> int:
+    """The number after the last batch that was stored."""
+    return max(_batch_ids(spark, path), default=-1) + 1 if exists(spark, path) else 0
 
 
 def land_stream(
@@ -65,7 +69,7 @@ def land_stream(
     """Drain what has arrived, one ordered micro-batch after another."""
     query = (
         stream.writeStream.foreachBatch(
-            lambda df, i: land_batch(spark, path, df, keys, i, time)
+            lambda df, i: land_batch(spark, path, df, keys, i, time) and None
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
