@@ -11,7 +11,7 @@ from tidemark.operators import versions as V
 from tidemark.plans import marts
 from tidemark.session import scratch_dir
 from tidemark.sources import tables as S
-from tidemark.streaming import land
+from tidemark.streaming import buckets, land
 
 SCHEMA = (
     "landing_id long, sp_start_utc timestamp, payload string, payload_hash string, "
@@ -130,7 +130,7 @@ def test_replayed_batch_rewrites_the_same_rows(spark):
 def test_ids_continue_after_the_stored_maximum(spark):
     stored = rows(spark, [(7, 0, "A", 1)])
     batch = rows(spark, [(0, 2, "C", 3), (0, 1, "B", 2)]).drop("landing_id")
-    got = V.with_landing_ids(batch, stored, KEYS).orderBy("landing_id").collect()
+    got = V.with_landing_ids(batch, V.last_landing_id(stored), KEYS).orderBy("landing_id").collect()
     assert [(r["landing_id"], r["payload"]) for r in got] == [(8, "B"), (9, "C")]
 
 
@@ -175,3 +175,32 @@ def test_prune_refuses_without_its_mart(spark):
 def test_summary_with_missing_rows_is_refused(spark):
     with pytest.raises(ValueError, match="expected 16"):
         S.append_counted(spark.range(15), scratch_dir(spark, "cal"), 16)
+
+
+# ---- streams ----------------------------------------------------------------
+def drained(spark, stream, mode, name):
+    query = (
+        stream.writeStream.format("memory").queryName(name).outputMode(mode)
+        .option("checkpointLocation", scratch_dir(spark, name))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def test_buckets_and_sessions_stream_like_the_batch(spark):
+    """Closed windows appear once the watermark passes them."""
+    src = scratch_dir(spark, "events")
+    rows(spark, [(i, p, "x", 1) for i, p in enumerate([0, 1, 2, 10, 11, 400])]).write.json(src)
+    stream = spark.readStream.schema(SCHEMA).json(src)
+    count = [F.count(F.lit(1)).alias("n")]
+    live = drained(spark, buckets.bucket(stream, count, "sp_start_utc", width="1 hour", late="1 hour"),
+                   "append", "hours")
+    batch = buckets.bucket(spark.read.schema(SCHEMA).json(src), count, "sp_start_utc", width="1 hour")
+    closed = batch.where(F.col("sp_start_utc") < F.lit(at(300)))
+    assert sorted(live.collect()) == sorted(closed.collect()) and live.count() == 3
+    # A streaming session needs a key besides its window.
+    keyed = stream.withColumn("k", F.lit("a"))
+    out = drained(spark, buckets.sessions(keyed, keys=["k"], late="1 hour"), "append", "outages")
+    got = sorted((r["periods"], r["window_to_utc"].replace(tzinfo=UTC)) for r in out.collect())
+    assert got == [(2, at(12)), (3, at(3))]

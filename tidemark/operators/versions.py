@@ -77,11 +77,15 @@ def insert_if_changed(
     return batch.join(latest, [*keys, "payload_hash"], "left_anti")
 
 
-def with_landing_ids(batch: DataFrame, landing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ids that continue after the stored maximum, in (fetched, keys, hash) order."""
-    top = landing.agg(F.coalesce(F.max("landing_id"), F.lit(0))).scalar()
+def last_landing_id(landing: DataFrame) -> Column:
+    """The stored maximum, zero for an empty table, as a scalar subquery."""
+    return landing.agg(F.coalesce(F.max("landing_id"), F.lit(0))).scalar()
+
+
+def with_landing_ids(batch: DataFrame, after: Column, keys: Sequence[str]) -> DataFrame:
+    """Ids that continue after a given one, in (fetched, keys, hash) order."""
     numbered = ordinal(batch, [], "landing_id", FETCHED, [*keys, "payload_hash"], 3600)
-    return numbered.withColumn("landing_id", F.col("landing_id") + top)
+    return numbered.withColumn("landing_id", F.col("landing_id") + after)
 
 
 def demand_current(vintages: DataFrame, keys=("sp_start_utc",), publish="publish_time_utc"):
@@ -107,13 +111,13 @@ def _changed(df, keys, check, chunk_seconds) -> DataFrame:
 
 
 def scd2(
-    df: DataFrame, keys: Sequence[str], check: Sequence[str], chunk_seconds: int = 3600
+    df: DataFrame, keys: Sequence[str], check: Sequence[str], chunk_seconds: int = 6 * 3600
 ) -> DataFrame:
     """Validity intervals of each distinct run of the checked columns.
 
     ``valid_to`` is null on the open row. Versions of one key are compared in
-    hourly chunks with a carried neighbour, so a key with many versions is not
-    sorted by one task.
+    chunks of a few hours with a carried neighbour, so a key with many versions
+    is not sorted by one task.
     """
     changes = _changed(df, keys, check, chunk_seconds)
     closed = next_row(
@@ -165,11 +169,12 @@ def conflicting_versions(
             "ordering_is_ambiguous", F.col("versions") > F.col("distinct_fetch_times")
         )
     )
-    # Position in landing order: landing ids split into blocks bound every window.
+    # Position in landing order. Ids stand in for microseconds, so that a chunk of
+    # one second holds at most a million of them.
     by_id = df.select(
-        *keys, "landing_id", *fields, F.timestamp_seconds("landing_id").alias("__at")
+        *keys, "landing_id", *fields, F.timestamp_micros("landing_id").alias("__at")
     )
-    numbered = ordinal(by_id, keys, "__n", "__at", chunk_seconds=1_000_000)
+    numbered = ordinal(by_id, keys, "__n", "__at", chunk_seconds=1)
     parts = (
         numbered.withColumn("part", F.floor((F.col("__n") - 1) / F.lit(part_rows)))
         .groupBy(*keys, "part")

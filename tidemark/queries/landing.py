@@ -310,5 +310,5 @@ def t4(t):
 )
 def x1(t):
     first, second = halves(t)
-    ided = V.with_landing_ids(second.drop("landing_id"), first, LAND_KEYS)
+    ided = V.with_landing_ids(second.drop("landing_id"), V.last_landing_id(first), LAND_KEYS)
     return ided.select(*LAND_KEYS, "payload_hash", "fetched_at_utc", "landing_id")

@@ -726,6 +726,20 @@ def q9(t):
     return Q.clock_changes(M.dim_settlement_period(t.long_spine()))
 
 
+@query(
+    "q10_feature_lineage",
+    "mix_wide weather_wide",
+    """SELECT m.sp_start_utc, wind_perc, wind_speed_100m_kmh__north_sea FROM mix_wide m
+    LEFT JOIN weather_wide w ON w.sp_start_utc = m.sp_start_utc""",
+)
+def q10(t):
+    """Feature inputs, refused when a banned table stands anywhere behind them."""
+    rows = t.mix_wide().join(t.weather_wide(), "sp_start_utc", "left").select(
+        "sp_start_utc", "wind_perc", "wind_speed_100m_kmh__north_sea"
+    )
+    return Q.check_lineage(rows, ["lnd_om_archive", "stg_om_archive", "fct_demand_current"])
+
+
 @query(
     "q11_x22_mart_is_current",
     "panel",

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.versions import insert_if_changed, with_landing_ids
 from tidemark.sources.tables import exists
 
+ID_BITS = 40  # of a landing id, for the rows of one batch; the batch number stands above
+
 
 def land_batch(
     spark: SparkSession,
@@ -35,7 +37,7 @@ def land_batch(
         stored = held.where(F.col("batch_id") < batch_id).drop("batch_id")
     fresh = batch if stored is None else insert_if_changed(stored, batch, keys, time)
     if "landing_id" not in batch.columns:
-        fresh = with_landing_ids(fresh, shape.limit(0) if stored is None else stored, keys)
+        fresh = with_landing_ids(fresh, F.lit(batch_id << ID_BITS), keys)
     target, seen = f"{path}/batch_id={batch_id}", Observation(f"landed-{uuid.uuid4().hex}")
     dated = fresh.withColumn("day", F.to_date(time)).observe(seen, F.count(F.lit(1)).alias("n"))
     # Replace the whole folder: a replay may have fewer days than the failed try.
