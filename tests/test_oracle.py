@@ -7,14 +7,13 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from tidemark.queries import ORACLE, QUERIES
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLE = queries(), oracle_sql()
 # At the smallest scale these have nothing to report, or too few rows to calibrate from.
 MAY_BE_EMPTY = {
     "a19_error_quantiles", "f18_calibrate", "k1_newest_calibration", "f19_load_calibration",
