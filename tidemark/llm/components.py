@@ -16,7 +16,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         both.join(least, "u")
         .where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
     )
 
 
@@ -48,10 +47,12 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
         "links",
     )
     while True:
-        # a star forest: no node is both a member and a root, and no node has two roots
-        middle = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        several = edges.groupBy("u").count().where("count > 1")
-        if middle.isEmpty() and several.isEmpty():
+        # a star forest: no node has two roots, or is a root and has one
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            edges.select("v", F.lit(0), F.lit(1))
+        )
+        odd = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if odd.where("up + down > 1").isEmpty():
             break
         after = ws.write(_small_star(_large_star(edges)), "star")
         ws.drop(edges)

@@ -29,7 +29,11 @@ RATE = 20.0
 TOP = 65_535
 #: Log-likelihood by which a similarity below the threshold must win before a pair is dismissed.
 DOUBT = 18.0
-STAR_ROUNDS = 4
+LEADERS = 3
+#: Documents on either side of a block of a bucket that leaders did not settle.
+BLOCK = 512
+#: Fewer equal registers than this have probability below 1e-9 at similarity 0.8 or more.
+FEWEST_EQUAL = 73
 
 _SEED = np.random.default_rng(7)
 _MULTIPLY = (_SEED.integers(0, 2**31, REGISTERS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -168,11 +172,12 @@ def near_duplicates(
     component's are null. Other columns are not read. No rows give no rows.
 
     Documents with equal sets are one node from the start, so a group of copies
-    costs one candidate. Inside a bucket each node is compared with one leader;
-    confirmed links merge nodes, and only nodes of a bucket that are still in
-    different components are compared again, with other leaders and at last
-    with each other. So every pair that shares a band is either confirmed,
-    refuted or already connected.
+    costs one candidate. Inside a bucket each node is compared with a few
+    leaders, and confirmed links merge nodes. Buckets whose nodes are then still
+    in several components are settled in blocks: the nodes outside the largest
+    component against all, counting common shingles, and reporting one link of a
+    node to a component. So every pair that shares a band is confirmed, refuted
+    or already connected, and no list of all pairs of a group is made.
     """
     ws = Workspace(docs.sparkSession, "near")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string"))
@@ -200,7 +205,15 @@ def near_duplicates(
             )
         ).alias("bucket"),
     )
-    shared = bands.groupBy("bucket").count().where("count > 1").select("bucket")
+    leaders = [
+        F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node"))["node"]
+        for i in range(LEADERS)
+    ]
+    shared = (
+        bands.groupBy("bucket")
+        .agg(F.count("*").alias("size"), F.array_distinct(F.array(*leaders)).alias("leaders"))
+        .where("size > 1")
+    )
     members = ws.write(bands.join(shared, "bucket"), "members")
     pool = ws.write(
         texts.mapInArrow(_keyed(shingle_words), "node binary, text string")
@@ -235,52 +248,115 @@ def _linked(
     members: DataFrame, sets: DataFrame, pool: DataFrame, k: int, percent: int, ws: Workspace
 ) -> DataFrame:
     """(node, root) of the nodes that confirmed links connect."""
-    spark = members.sparkSession
-    roots = spark.createDataFrame([], "node binary, root binary")
-    tested = None
-    n_members = members.count()
-    for turn in range(STAR_ROUNDS + 1):
-        tagged = members.join(roots, "node", "left").select(
-            "bucket", "node", F.coalesce("root", "node").alias("root")
+    stars = (
+        members.select("node", F.explode("leaders").alias("leader"))
+        .where("node != leader")
+        .select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
+        .distinct()
+    )
+    roots = components(ws.write(_verified(stars, sets, pool, k, percent), "verified"), ws)
+    # where at most one node is no leader, every pair is tested
+    tagged = ws.write(
+        members.where(F.col("size") > F.size("leaders") + 1)
+        .join(roots, "node", "left")
+        .select("bucket", "node", F.coalesce("root", "node").alias("root")),
+        "tagged",
+    )
+    split = (
+        tagged.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+        .groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"))
+        .where("size > top.c")
+    )
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    other_blocks = F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int")
+    rows = ws.write(
+        tagged.join(split, "bucket").select(
+            "bucket", "node", "root", (F.col("root") != F.col("top.root")).alias("outside"),
+            blocks.alias("blocks"), other_blocks.alias("other_blocks"),
+        ),
+        "unsettled",
+    )
+    if rows.isEmpty():
+        return roots
+    own = F.xxhash64(F.lit(99), "node")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = rows.join(sets, "node").join(pool, "node")
+    grid = (
+        rows.withColumn("j", F.pmod(own, F.col("blocks")).cast("int"))
+        .withColumn("i", all_of("other_blocks")).withColumn("asks", F.lit(False))
+        .unionByName(
+            rows.where("outside").withColumn("i", F.pmod(own, F.col("other_blocks")).cast("int"))
+            .withColumn("j", all_of("blocks")).withColumn("asks", F.lit(True))
         )
-        open_ = (
-            tagged.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-            .groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("n2"))
-            .where("n * n > n2")
-        )
-        open_ = ws.write(open_, "open")
-        left = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0] or 0
-        if not left:
-            break
-        last = turn == STAR_ROUNDS or (turn and left <= 4 * n_members)
-        tagged = ws.write(tagged.join(open_.select("bucket"), "bucket"), "tagged")
-        if last:
-            other = tagged.select(
-                "bucket", F.col("node").alias("node_b"), F.col("root").alias("root_b")
-            )
-            pairs = tagged.join(other, "bucket").where("root != root_b and node < node_b")
-            pairs = pairs.select(F.col("node").alias("u"), F.col("node_b").alias("v"))
-        else:
-            order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root")
-            leaders = tagged.groupBy("bucket").agg(F.min(order).alias("l"))
-            pairs = (
-                tagged.join(leaders, "bucket")
-                .where("root != l.root")
-                .select(F.least("node", "l.node").alias("u"), F.greatest("node", "l.node").alias("v"))
+    )
+    links = (
+        grid.select("bucket", "i", "j", "asks", "node", "root", "n", "registers", "text")
+        .groupBy("bucket", "i", "j")
+        .applyInArrow(_settled(k, percent), "u binary, v binary")
+    )
+    links = ws.write(links.distinct(), "links")
+    found = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return components(links.union(found), ws)
+
+
+def _settled(k: int, percent: int):
+    """Links between a block of nodes outside a bucket's largest component and a block of all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asks = table.column("asks").to_numpy()
+        sides = []
+        for flag in (True, False):
+            part = table.filter(pa.array(asks == flag))
+            text = part.column("text").combine_chunks()
+            regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), ">u2")
+            sides.append(
+                (
+                    part.column("node").to_pylist(), part.column("root").to_pylist(),
+                    textkit.shingle_sets(text, k) if len(part) else [], regs.reshape(-1, REGISTERS),
+                )
+            )
+        (nodes_a, roots_a, sets_a, regs_a), (nodes_b, roots_b, sets_b, regs_b) = sides
+        u, v = [], []
+        if nodes_a and nodes_b:
+            size_a, size_b = (np.array([len(s) for s in x]) for x in (sets_a, sets_b))
+            equal = np.stack([(regs_b == r).sum(axis=1) for r in regs_a])
+            likely = (equal >= FEWEST_EQUAL) & (
+                100 * np.minimum(size_a[:, None], size_b) >= percent * np.maximum(size_a[:, None], size_b)
             )
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = ws.write(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = ws.write(_verified(pairs, sets, pool, k, percent), "verified")
-        ws.drop(open_, tagged)
-        roots = components(
-            links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), ws
-        )
-        if last:
-            break
-    return roots
+            likely &= np.array([[x != y for y in roots_b] for x in roots_a])
+            common = _common(sets_a, sets_b, likely)
+            linked = likely & (100 * common >= percent * (size_a[:, None] + size_b - common))
+            for a in np.flatnonzero(linked.any(axis=1)):
+                # one link to each component is enough
+                for b in {roots_b[b]: b for b in np.flatnonzero(linked[a])}.values():
+                    u.append(max(nodes_a[a], nodes_b[b]))
+                    v.append(min(nodes_a[a], nodes_b[b]))
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return run
+
+
+def _common(sets_a: list, sets_b: list, wanted: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections, where wanted."""
+    out = np.zeros(wanted.shape, np.int64)
+    pairs = np.argwhere(wanted)
+    if len(pairs) <= 2000:
+        for a, b in pairs:
+            out[a, b] = len(np.intersect1d(sets_a[a], sets_b[b], assume_unique=True))
+        return out
+    both = np.intersect1d(np.unique(np.concatenate(sets_a)), np.unique(np.concatenate(sets_b)))
+    for at in range(0, len(both), 2048):
+        few = both[at : at + 2048]
+        dense = []
+        for sets in (sets_a, sets_b):
+            has = np.zeros((len(sets), len(few)), np.float32)
+            for row, s in enumerate(sets):
+                inside = np.intersect1d(few, s, assume_unique=True)
+                has[row, np.searchsorted(few, inside)] = 1
+            dense.append(has)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, pool: DataFrame, k: int, percent: int) -> DataFrame:
