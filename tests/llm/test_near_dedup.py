@@ -111,7 +111,7 @@ def test_empty_null_short_and_repeated(spark):
         "doc_id long, text string, registers int",
     )
     got = sorted(
-        (tuple(r) for r in nd.near_duplicates(docs, shingle_words=2).collect()),
+        (tuple(r)[:4] for r in nd.near_duplicates(docs, shingle_words=2).collect()),
         key=lambda r: (r[0] is None, r[0] or 0, r[2] is None),
     )
     assert got == [
@@ -121,6 +121,13 @@ def test_empty_null_short_and_repeated(spark):
     ]
 
 
+def test_one_of_several_texts_with_one_id_or_none_is_kept(spark):
+    rows = [(None, "a b c"), (None, "A b c"), (7, "d e f"), (7, "D e f"), (7, "d  e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nd.near_duplicates(docs, shingle_words=2).collect()
+    assert sorted(str(r.doc_id) for r in got if r.kept) == ["7", "None"]
+
+
 def test_no_rows(spark):
     assert judged(spark, []) == {}
 

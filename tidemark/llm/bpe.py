@@ -425,11 +425,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decoded rows."""
+def digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decoded rows, with columns to keep."""
     ids = F.coalesce("ids", F.array().cast("array<int>"))
     return decoded.select(
         "doc_id",
+        *keep,
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("text"), 256).alias("decoded_sha256"),

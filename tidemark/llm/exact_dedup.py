@@ -40,6 +40,20 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", prefix: int = PREFIX) -> Dat
     )
 
 
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", prefix: int = PREFIX) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group of equal texts.
+
+    The row with the largest doc_id stays. Of rows repeated with that id one
+    stays; which one is not defined if they differ in other columns.
+    """
+    digest, kept = "_text_sha256", "_keep_id"
+    groups = copies(docs, doc_id, prefix).select(F.col("text_sha256").alias(digest), F.col("keep_id").alias(kept), F.lit(True).alias("_copied"))
+    rows = docs.withColumn(digest, F.sha2(normalised(), 256)).join(groups, digest, "left")
+    alone = rows.where("_copied is null")
+    stay = rows.where(F.col("_copied") & F.col(doc_id).cast("long").eqNullSafe(F.col(kept)))
+    return alone.union(stay.dropDuplicates([digest])).select(*docs.columns)
+
+
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", prefix: int = PREFIX) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row, dropped ones too.
 

@@ -156,7 +156,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     languages = sorted({r[0] for r in rows})
     if not rows:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0, int), np.zeros(0))
-    parts = [counts(pa.array([r[2]]))for r in rows]
+    parts = [counts(pa.array([r[2]])) for r in rows]
     usable = [i for i, (_, has) in enumerate(parts) if has[0]]
     tf = np.concatenate([parts[i][0] for i in usable]) if usable else np.zeros((0, DIMENSIONS), np.float32)
     names = np.array([languages.index(rows[i][0]) for i in usable], int)
@@ -175,8 +175,13 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Model(languages, idf, np.concatenate(centroids), np.array(of), np.array(floor))
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of the rows, with lang_pred, score and rejected.
+RESULT = ("lang_pred", "score", "rejected")
+
+
+def classify(
+    docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = RESULT
+) -> DataFrame:
+    """All columns of the rows, with lang_pred, score and rejected, or as ``names`` has it.
 
     lang_pred is a language of the model, or ``und`` if the text is null or has
     no letter, or if the model knows no language; those are rejected, with score
@@ -184,13 +189,11 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at a time or several, with the same result. Columns of the input that bear a
     name of the result are replaced. No rows give no rows.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = docs.drop(*names)
     schema = T.StructType(
         [
             *docs.schema.fields,
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("rejected", T.BooleanType()),
+            *map(T.StructField, names, (T.StringType(), T.DoubleType(), T.BooleanType())),
         ]
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -201,8 +204,8 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for part in textkit.groups(batch, text, _BLOCK):
                 for at in range(0, part.num_rows, 512):
                     rows = part.slice(at, 512)
-                    names, score, rejected = known.judge(rows.column(text))
-                    found = [pa.array(names, pa.string()), pa.array(score), pa.array(rejected)]
+                    languages, score, rejected = known.judge(rows.column(text))
+                    found = [pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)]
                     yield pa.RecordBatch.from_arrays([*rows.columns, *found], names=schema.names)
 
     return docs.mapInArrow(run, schema)

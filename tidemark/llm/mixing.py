@@ -24,6 +24,7 @@ EXACT = 1e-10
 CHUNK = 20_000  # documents of one cell that are numbered in one task
 UNIT = 10**9  # rates are rounded to this fraction, so that their sums have no order
 
+RESULT = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 _INFINITY = float("inf")
 
 
@@ -181,7 +182,7 @@ def mix(
     """The rows with mix_size, mix_source_size, mix_target, mix_copies and mix_taken.
 
     ``columns`` are the columns of ``docs`` to carry, by default the id and the
-    source. A null text has size 0; a null source is a source of its own, the
+    source; those that bear a name of the result are replaced. A null text has size 0; a null source is a source of its own, the
     last one. A text without words is taken once and gives no words. Within a
     cell the copies are dealt evenly, the odd ones by the hash of the doc_id, so
     reruns agree; equal rows are interchangeable, and so are rows of a cell
@@ -192,7 +193,7 @@ def mix(
     ten thousand rows each.
     """
     ws = Workspace(docs.sparkSession, "mix")
-    columns = [doc_id, source] if columns is None else columns
+    columns = [doc_id, source] if columns is None else [c for c in columns if c not in RESULT]
     order = F.xxhash64(F.lit(1), F.col(doc_id).cast("string"))
     named = {c: f"_{i}" for i, c in enumerate(columns)}
     rows = docs.select(

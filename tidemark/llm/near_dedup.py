@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit
@@ -60,6 +60,7 @@ def _signed(k: int):
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id"),
+                        "mark": part.column("mark"),
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                         "set_key": pa.array([_key(s) for s in sets], pa.binary()),
                         "registers": pa.array(
@@ -161,15 +162,17 @@ def _confirmed(k: int, percent: int):
 def near_duplicates(
     docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_id: str = "doc_id"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """(doc_id, n_shingles, component_id, kept, mark) of every row.
 
     Two documents are linked if 100 * shared shingles >= percent * all shingles
-    of both. component_id is the least doc_id that links reach, kept whether it
-    is the row's own. A text of fewer words than a shingle is one shingle; a
-    null, empty or blank text has none, is linked with nothing and is its own
-    component. Rows with one doc_id are judged each by its text. A null doc_id
-    links like any other row, but names no component unless all of its
-    component's are null. Other columns are not read. No rows give no rows.
+    of both. component_id is the least doc_id that links reach; kept is the one
+    document that bears it. A text of fewer words than a shingle is one shingle;
+    a null, empty or blank text has none, is linked with nothing and is its own
+    component. A null doc_id links like any other row, but names no component
+    unless all of its component's are null. Of different texts with one doc_id,
+    or none, in one component the one with the least ``mark``, a hash of the
+    text, is kept; rows equal in both are the same document and stay or go
+    together. Other columns are not read. No rows give no rows.
 
     Documents with equal sets are one node from the start, so a group of copies
     costs one candidate. Inside a bucket each node is compared with a few
@@ -180,11 +183,13 @@ def near_duplicates(
     or already connected, and no list of all pairs of a group is made.
     """
     ws = Workspace(docs.sparkSession, "near")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string"))
+    texts = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string"), mark().alias("mark")
+    )
     signed = ws.write(
         texts.mapInArrow(
             _signed(shingle_words),
-            "doc_id long, n_shingles long, set_key binary, registers binary",
+            "doc_id long, mark long, n_shingles long, set_key binary, registers binary",
         ),
         "signed",
     )
@@ -225,25 +230,29 @@ def near_duplicates(
     roots = _linked(members, sets, pool, shingle_words, percent, ws)
     ws.drop(members, sets, pool)
     owned = ws.write(
-        signed.select("doc_id", "n_shingles", F.col("set_key").alias("node"))
+        signed.select("doc_id", "mark", "n_shingles", F.col("set_key").alias("node"))
         .join(roots, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")),
+        .select("doc_id", "mark", "n_shingles", F.coalesce("root", "node").alias("root")),
         "owned",
     )
     ws.drop(signed)
-    least = (
-        owned.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    )
-    return (
-        owned.join(least, "root", "left")
-        .withColumn("component_id", F.when(F.isnull("root"), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select(
-            "doc_id", "n_shingles", "component_id",
-            F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        )
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    least = owned.where("root is not null").groupBy("root").agg(F.min(first).alias("first"))
+    alone = F.col("root").isNull()
+    return owned.join(least, "root", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))).alias("kept"),
+        "mark",
     )
 
 
+def mark() -> Column:
+    """Tells the texts of rows with one doc_id, or none, apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _linked(
     members: DataFrame, sets: DataFrame, pool: DataFrame, k: int, percent: int, ws: Workspace
 ) -> DataFrame:

@@ -95,7 +95,8 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_near_dedup_setsketch")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    docs = _table(spark, sf_dir, "documents")
+    return near_duplicates(docs, shingle_words=2, percent=80).drop("mark")
 
 
 @_query("op9_bpe_tree")
