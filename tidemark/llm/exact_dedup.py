@@ -17,24 +17,24 @@ def normalised(text: str = "text") -> Column:
 def copies(docs: DataFrame, doc_id: str = "doc_id", prefix: int = PREFIX) -> DataFrame:
     """(text_sha256, keep_id, group_size) of every text that several rows share.
 
-    Each step counts the rows of a key and lets only rows of a repeated key go
-    on: first the length, then the length and the hash of the first ``prefix``
-    characters, then the digest of the whole text. Counts are partial
-    aggregates and a step's repeated keys are joined back as a semi join, so a
-    key with a third of all rows is one row of the small side; only what
-    survives two steps is read whole. keep_id is the largest doc_id of a group,
-    null if all are.
+    Each step counts the rows of a key and lets only keys of several rows go on:
+    first the length, then the length and the hash of the first ``prefix``
+    characters, then the digest of the whole text. The first two steps share one
+    aggregate over (length, hash), so a key with a third of all rows is one row
+    before anything is joined; only rows that survive both are sent and read
+    whole. keep_id is the largest doc_id of a group, null if all are.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised().alias("t"))
-    rows = rows.withColumn("size", F.octet_length("t"))
-    sizes = rows.groupBy("size").count().where("count > 1").select("size")
-    rows = rows.join(sizes, "size", "left_semi").withColumn(
-        "head", F.xxhash64(F.substring("t", 1, prefix))
+    rows = rows.withColumns(
+        {"size": F.octet_length("t"), "head": F.xxhash64(F.substring("t", 1, prefix))}
     )
-    heads = rows.groupBy("size", "head").count().where("count > 1").select("size", "head")
+    counts = rows.groupBy("size", "head").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("size").agg(F.sum("c").alias("of_size")).where("of_size > 1")
+    heads = counts.where("c > 1").join(sizes, "size", "left_semi").select("size", "head")
     return (
         rows.join(heads, ["size", "head"], "left_semi")
-        .groupBy(F.sha2(F.col("t"), 256).alias("text_sha256"))
+        # never null, and said so: else the digest of every row is tested before the join
+        .groupBy(F.coalesce(F.sha2(F.col("t"), 256), F.lit("")).alias("text_sha256"))
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
     )
