@@ -12,6 +12,7 @@ is confirmed on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit
-from tidemark.llm.components import components
+from tidemark.llm.linking import linked
 from tidemark.llm.workspace import Workspace
 
 REGISTERS = 128
@@ -30,8 +31,6 @@ TOP = 65_535
 #: Log-likelihood by which a similarity below the threshold must win before a pair is dismissed.
 DOUBT = 18.0
 LEADERS = 3
-#: Documents on either side of a block of a bucket that leaders did not settle.
-BLOCK = 512
 #: Fewer equal registers than this have probability below 1e-9 at similarity 0.8 or more.
 FEWEST_EQUAL = 73
 
@@ -122,6 +121,12 @@ def joint_estimate(
     return at[np.arange(len(best)), best], fit.max(axis=1) - allowed
 
 
+def _alike(first: list[bytes], second: list[bytes]) -> np.ndarray:
+    """Which pairs have so many equal registers that the threshold is conceivable."""
+    a, b = (np.frombuffer(b"".join(x), ">u2").reshape(-1, REGISTERS) for x in (first, second))
+    return np.stack([(b == row).sum(axis=1) for row in a]) >= FEWEST_EQUAL
+
+
 def _conceivable(threshold: float):
     def matrix(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, REGISTERS)
@@ -140,25 +145,6 @@ def _conceivable(threshold: float):
     return run
 
 
-def _confirmed(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textkit.groups(batch, "text_a"):
-                first = textkit.shingle_sets(part.column("text_a"), k)
-                second = textkit.shingle_sets(part.column("text_b"), k)
-                common = np.array(
-                    [
-                        len(np.intersect1d(a, b, assume_unique=True))
-                        for a, b in zip(first, second, strict=True)
-                    ]
-                )
-                sizes = np.array([len(a) + len(b) for a, b in zip(first, second, strict=True)])
-                kept = 100 * common >= percent * (sizes - common)
-                yield part.select(["u", "v"]).filter(pa.array(kept))
-
-    return run
-
-
 def near_duplicates(
     docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_id: str = "doc_id"
 ) -> DataFrame:
@@ -227,7 +213,12 @@ def near_duplicates(
         .agg(F.min("text").alias("text")),
         "pool",
     )
-    roots = _linked(members, sets, pool, shingle_words, percent, ws)
+    likely = lambda rows: rows.mapInArrow(
+        _conceivable(percent / 100), "u binary, v binary"
+    )
+    roots = linked(
+        members, sets, pool, partial(textkit.shingle_sets, k=shingle_words), percent, ws, likely, _alike
+    )
     ws.drop(members, sets, pool)
     owned = ws.write(
         signed.select("doc_id", "mark", "n_shingles", F.col("set_key").alias("node"))
@@ -251,139 +242,3 @@ def near_duplicates(
 def mark() -> Column:
     """Tells the texts of rows with one doc_id, or none, apart."""
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-def _linked(
-    members: DataFrame, sets: DataFrame, pool: DataFrame, k: int, percent: int, ws: Workspace
-) -> DataFrame:
-    """(node, root) of the nodes that confirmed links connect."""
-    stars = (
-        members.select("node", F.explode("leaders").alias("leader"))
-        .where("node != leader")
-        .select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
-        .distinct()
-    )
-    roots = components(ws.write(_verified(stars, sets, pool, k, percent), "verified"), ws)
-    # where at most one node is no leader, every pair is tested
-    tagged = ws.write(
-        members.where(F.col("size") > F.size("leaders") + 1)
-        .join(roots, "node", "left")
-        .select("bucket", "node", F.coalesce("root", "node").alias("root")),
-        "tagged",
-    )
-    split = (
-        tagged.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        .groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"))
-        .where("size > top.c")
-    )
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    other_blocks = F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int")
-    rows = ws.write(
-        tagged.join(split, "bucket").select(
-            "bucket", "node", "root", (F.col("root") != F.col("top.root")).alias("outside"),
-            blocks.alias("blocks"), other_blocks.alias("other_blocks"),
-        ),
-        "unsettled",
-    )
-    if rows.isEmpty():
-        return roots
-    own = F.xxhash64(F.lit(99), "node")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = rows.join(sets, "node").join(pool, "node")
-    grid = (
-        rows.withColumn("j", F.pmod(own, F.col("blocks")).cast("int"))
-        .withColumn("i", all_of("other_blocks")).withColumn("asks", F.lit(False))
-        .unionByName(
-            rows.where("outside").withColumn("i", F.pmod(own, F.col("other_blocks")).cast("int"))
-            .withColumn("j", all_of("blocks")).withColumn("asks", F.lit(True))
-        )
-    )
-    links = (
-        grid.select("bucket", "i", "j", "asks", "node", "root", "n", "registers", "text")
-        .groupBy("bucket", "i", "j")
-        .applyInArrow(_settled(k, percent), "u binary, v binary")
-    )
-    links = ws.write(links.distinct(), "links")
-    found = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return components(links.union(found), ws)
-
-
-def _settled(k: int, percent: int):
-    """Links between a block of nodes outside a bucket's largest component and a block of all."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        asks = table.column("asks").to_numpy()
-        sides = []
-        for flag in (True, False):
-            part = table.filter(pa.array(asks == flag))
-            text = part.column("text").combine_chunks()
-            regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), ">u2")
-            sides.append(
-                (
-                    part.column("node").to_pylist(), part.column("root").to_pylist(),
-                    textkit.shingle_sets(text, k) if len(part) else [], regs.reshape(-1, REGISTERS),
-                )
-            )
-        (nodes_a, roots_a, sets_a, regs_a), (nodes_b, roots_b, sets_b, regs_b) = sides
-        u, v = [], []
-        if nodes_a and nodes_b:
-            size_a, size_b = (np.array([len(s) for s in x]) for x in (sets_a, sets_b))
-            equal = np.stack([(regs_b == r).sum(axis=1) for r in regs_a])
-            likely = (equal >= FEWEST_EQUAL) & (
-                100 * np.minimum(size_a[:, None], size_b) >= percent * np.maximum(size_a[:, None], size_b)
-            )
-            likely &= np.array([[x != y for y in roots_b] for x in roots_a])
-            common = _common(sets_a, sets_b, likely)
-            linked = likely & (100 * common >= percent * (size_a[:, None] + size_b - common))
-            for a in np.flatnonzero(linked.any(axis=1)):
-                # one link to each component is enough
-                for b in {roots_b[b]: b for b in np.flatnonzero(linked[a])}.values():
-                    u.append(max(nodes_a[a], nodes_b[b]))
-                    v.append(min(nodes_a[a], nodes_b[b]))
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
-
-    return run
-
-
-def _common(sets_a: list, sets_b: list, wanted: np.ndarray) -> np.ndarray:
-    """The sizes of the intersections, where wanted."""
-    out = np.zeros(wanted.shape, np.int64)
-    pairs = np.argwhere(wanted)
-    if len(pairs) <= 2000:
-        for a, b in pairs:
-            out[a, b] = len(np.intersect1d(sets_a[a], sets_b[b], assume_unique=True))
-        return out
-    both = np.intersect1d(np.unique(np.concatenate(sets_a)), np.unique(np.concatenate(sets_b)))
-    for at in range(0, len(both), 2048):
-        few = both[at : at + 2048]
-        dense = []
-        for sets in (sets_a, sets_b):
-            has = np.zeros((len(sets), len(few)), np.float32)
-            for row, s in enumerate(sets):
-                inside = np.intersect1d(few, s, assume_unique=True)
-                has[row, np.searchsorted(few, inside)] = 1
-            dense.append(has)
-        out += (dense[0] @ dense[1].T).astype(np.int64)
-    return out
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, pool: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-
-    def side(table: DataFrame, node: str, tag: str) -> DataFrame:
-        return table.select(
-            F.col("node").alias(node), *(F.col(c).alias(f"{c}_{tag}") for c in table.columns[1:])
-        )
-
-    likely = (
-        pairs.join(side(sets, "u", "a"), "u").join(side(sets, "v", "b"), "v")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .select("u", "v", "n_a", "n_b", "registers_a", "registers_b")
-        .mapInArrow(_conceivable(percent / 100), "u binary, v binary")
-    )
-    return (
-        likely.join(side(pool, "u", "a"), "u").join(side(pool, "v", "b"), "v")
-        .select("u", "v", "text_a", "text_b")
-        .mapInArrow(_confirmed(k, percent), "u binary, v binary")
-    )
