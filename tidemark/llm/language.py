@@ -4,8 +4,8 @@ Letters are lower-cased, everything else counts as one space. Each text is a
 vector of its 1- to 3-grams hashed to ``DIMENSIONS``, weighted (1 + log tf) * idf
 and normalised. Spherical k-means splits each language of a bounded sample into
 ``CLUSTERS`` centroids; a text gets the language of the centroid with the largest
-cosine, and is rejected if it is farther from it than nearly all of the sample
-was from its own.
+cosine, and is rejected if it is much farther from it than nearly all of the
+sample was from its own.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ SAMPLE = 300  # labelled rows a language is learnt from
 ROUNDS = 12
 #: A text is rejected below this fraction of the cosine that 1 % of the sample stays below.
 LENIENCE = 0.3
+FULL = 100  # different n-grams from which on a text is held to the whole floor
 UNDETERMINED = "und"
 
 _SPACE = 32
@@ -115,7 +116,9 @@ class Model:
         best = cosine.argmax(axis=1)
         score = np.where(has, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
         names = [self.languages[self.of[b]] if h else UNDETERMINED for b, h in zip(best, has, strict=True)]
-        return names, score.astype(float), ~has | (score < self.floor[best])
+        # a text of few n-grams cannot come near a centroid of thousands
+        reach = np.sqrt(np.minimum(1, (tf > 0).sum(axis=1) / FULL))
+        return names, score.astype(float), ~has | (score < self.floor[best] * reach)
 
 
 def _clusters(x: np.ndarray) -> np.ndarray:
@@ -139,9 +142,11 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """A model of the ``SAMPLE`` labelled rows of each language with the least hashes of their ids.
 
     Rows with crc32(doc_id) mod 4 = 2, and rows without id, text or label, are
-    never learnt from. The limit within a language acts before the shuffle.
+    never learnt from. The rows are chosen by hashes alone, so texts of the
+    sample only are read to the driver; the number of languages and ``SAMPLE``
+    bound it.
     """
-    chosen = (
+    labelled = (
         docs.select(
             F.col(doc_id).cast("string").alias("id"),
             F.col(text).cast("string").alias("text"),
@@ -149,9 +154,15 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         )
         .where("id is not null and text is not null and lang is not null")
         .where(F.crc32("id") % 4 != 2)
+        .withColumn("h", F.xxhash64("id", "text"))
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    sample = chosen.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE)
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = (
+        labelled.select("lang", "h").distinct()
+        .withColumn("r", F.row_number().over(order))
+        .where(F.col("r") <= SAMPLE)
+    )
+    sample = labelled.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
     rows = sorted((r.lang, r.r, r.text) for r in sample.collect())
     languages = sorted({r[0] for r in rows})
     if not rows:
