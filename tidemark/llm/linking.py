@@ -28,23 +28,25 @@ Sets = Callable[[pa.Array], list[np.ndarray]]
 
 def linked(
     members: DataFrame,
-    sets: DataFrame,
+    sets: DataFrame | None,
     pool: DataFrame,
     sets_of: Sets,
     percent: int,
     ws: Workspace,
     likely: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None,
+    kind: str = "binary",
 ) -> DataFrame:
-    """(node, root) of the nodes that confirmed links connect; nodes are binary.
+    """(node, root) of the nodes that confirmed links connect; ``kind`` is the type of nodes.
 
-    ``members`` has (bucket, node, size, leaders), the bucket's number of nodes
-    and an array of some of them. ``sets`` has (node, n, registers), the size of
+    ``members`` has (bucket, node, leaders, open): an array of nodes of the
+    bucket to compare with, and whether that leaves pairs of the bucket
+    untested. ``sets`` has (node, n, registers), the size of
     a node's set and a sketch; ``pool`` has (node, text), from which
     ``sets_of`` makes the sorted hashes of the whole sets. Two nodes are linked
     if 100 * common >= percent * all elements. ``likely`` may dismiss pairs
     (u, v, n_a, n_b, registers_a, registers_b) and ``alike`` pairs of sketches
-    that cannot be linked.
+    that cannot be linked; without ``sets`` there are no sketches.
     """
     stars = (
         members.select("node", F.explode("leaders").alias("leader"))
@@ -52,12 +54,11 @@ def linked(
         .select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
         .distinct()
     )
-    found = ws.write(_verified(stars, sets, pool, sets_of, percent, likely), "verified")
+    found = ws.write(_verified(stars, sets, pool, sets_of, percent, likely, kind), "verified")
     roots = components(found, ws)
     ws.drop(found)
-    # where at most one node is no leader, every pair is tested
     tagged = ws.write(
-        members.where(F.col("size") > F.size("leaders") + 1)
+        members.where("open")
         .join(roots, "node", "left")
         .select("bucket", "node", F.coalesce("root", "node").alias("root")),
         "tagged",
@@ -80,7 +81,8 @@ def linked(
         return roots
     own = F.xxhash64(F.lit(99), "node")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = rows.join(sets, "node").join(pool, "node")
+    rows = rows.join(pool, "node")
+    rows = rows.join(sets, "node") if sets else rows.withColumn("registers", F.lit(None).cast("binary"))
     grid = (
         rows.withColumn("j", F.pmod(own, F.col("blocks")).cast("int"))
         .withColumn("i", all_of("other_blocks")).withColumn("asks", F.lit(False))
@@ -92,7 +94,7 @@ def linked(
     links = (
         grid.select("bucket", "i", "j", "asks", "node", "root", "registers", "text")
         .groupBy("bucket", "i", "j")
-        .applyInArrow(_settled(sets_of, percent, alike), "u binary, v binary")
+        .applyInArrow(_settled(sets_of, percent, alike), f"u {kind}, v {kind}")
     )
     links = ws.write(links.distinct(), "links")
     found = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -100,7 +102,7 @@ def linked(
 
 
 def _verified(
-    pairs: DataFrame, sets: DataFrame, pool: DataFrame, sets_of: Sets, percent: int, likely
+    pairs: DataFrame, sets: DataFrame | None, pool: DataFrame, sets_of: Sets, percent: int, likely, kind: str
 ) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
@@ -108,15 +110,16 @@ def _verified(
         rest = [c for c in table.columns if c != "node"]
         return table.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}_{tag}") for c in rest))
 
-    near = (
-        pairs.join(side(sets, "u", "a"), "u").join(side(sets, "v", "b"), "v")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    )
-    near = likely(near.select("u", "v", "n_a", "n_b", "registers_a", "registers_b")) if likely else near
+    if sets:
+        pairs = likely(
+            pairs.join(side(sets, "u", "a"), "u").join(side(sets, "v", "b"), "v")
+            .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+            .select("u", "v", "n_a", "n_b", "registers_a", "registers_b")
+        )
     return (
-        near.select("u", "v").join(side(pool, "u", "a"), "u").join(side(pool, "v", "b"), "v")
+        pairs.join(side(pool, "u", "a"), "u").join(side(pool, "v", "b"), "v")
         .select("u", "v", "text_a", "text_b")
-        .mapInArrow(_confirmed(sets_of, percent), "u binary, v binary")
+        .mapInArrow(_confirmed(sets_of, percent), f"u {kind}, v {kind}")
     )
 
 
@@ -164,7 +167,8 @@ def _settled(sets_of: Sets, percent: int, alike):
                 for b in {roots_b[b]: b for b in np.flatnonzero(found[a])}.values():
                     u.append(nodes_a[a])
                     v.append(nodes_b[b])
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+        kind = table.schema.field("node").type
+        return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind)})
 
     return run
 

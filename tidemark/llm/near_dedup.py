@@ -205,7 +205,10 @@ def near_duplicates(
         .agg(F.count("*").alias("size"), F.array_distinct(F.array(*leaders)).alias("leaders"))
         .where("size > 1")
     )
-    members = ws.write(bands.join(shared, "bucket"), "members")
+    # where at most one node is no leader, every pair is tested
+    untested = (F.col("size") > F.size("leaders") + 1).alias("open")
+    members = bands.join(shared, "bucket").select("bucket", "node", "leaders", untested)
+    members = ws.write(members, "members")
     pool = ws.write(
         texts.mapInArrow(_keyed(shingle_words), "node binary, text string")
         .join(members.select("node").distinct(), "node", "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import language, url_filter
 from tidemark.llm.bpe import decode, digests, encode
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.line_dedup import repeated_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.substring_dedup import repeated_passages
@@ -33,6 +34,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op7_line_dedup_minhash")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(_table(spark, sf_dir, "documents")).drop("mark", "keep_mark")
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 #: (verdict, host, path)
 URL_RULES = [
