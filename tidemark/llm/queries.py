@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, url_filter
+from tidemark.llm import html_extract, language, url_filter
 from tidemark.llm.bpe import decode, digests, encode
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.line_dedup import repeated_lines
@@ -54,6 +54,12 @@ def substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+@_query("op2_html_blocks")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.learn(pages))
+
+
 @_query("op4_mix_entropy")
 def mix_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select(
