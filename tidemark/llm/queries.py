@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, language, url_filter
+from tidemark.llm import hnsw, html_extract, language, url_filter
 from tidemark.llm.bpe import decode, digests, encode
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.line_dedup import repeated_lines
@@ -60,6 +60,11 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.learn(pages))
 
 
+@_query("op3_ann_hnsw")
+def ann_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @_query("op4_mix_entropy")
 def mix_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select(
