@@ -16,6 +16,8 @@ def _streamed(columns: list[str]):
         carried = None  # the first and the last row of the bucket that is still open
         begun = False
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             if carried is not None:
                 table = pa.concat_tables([carried, table])
@@ -29,24 +31,25 @@ def _streamed(columns: list[str]):
             sizes = np.diff(np.append(starts, len(bucket)))
             first = np.repeat(starts, sizes)
             emit = np.repeat(sizes > 1, sizes)
-            if not begun:
-                emit[0] = begun = True  # the bucket may have begun in another task
+            border = np.zeros(len(bucket), bool)
+            if not begun:  # the bucket may have begun in another task
+                emit[0] = border[0] = begun = True
             at = np.flatnonzero(emit)
-            yield _pairs(table, columns, at, first[at], np.maximum(at - 1, first[at]))
+            yield _pairs(table, columns, at, first[at], np.maximum(at - 1, first[at]), border[at])
             last = [starts[-1], len(bucket) - 1] if sizes[-1] > 1 else [starts[-1]]
             carried = table.take(last)
         if carried is not None:  # and may go on in another one
-            n = len(carried)
-            yield _pairs(carried.combine_chunks(), columns, np.array([n - 1]), np.array([0]), np.array([0]))
+            end, none = np.array([len(carried) - 1]), np.array([0])
+            yield _pairs(carried.combine_chunks(), columns, end, none, none, np.array([True]))
 
     return run
 
 
-def _pairs(table: pa.Table, columns: list[str], at, first, before) -> pa.RecordBatch:
+def _pairs(table: pa.Table, columns: list[str], at, first, before, border) -> pa.RecordBatch:
     out = {c: table.column(c).take(at) for c in columns}
     out |= {f"first_{c}": table.column(c).take(first) for c in columns if c != "bucket"}
     out |= {f"before_{c}": table.column(c).take(before) for c in columns if c != "bucket"}
-    table = pa.table(out).combine_chunks()
+    table = pa.table(out | {"border": pa.array(border)}).combine_chunks()
     return pa.RecordBatch.from_arrays([c.chunk(0) for c in table.columns], names=table.column_names)
 
 
@@ -60,14 +63,16 @@ def stars(rows: DataFrame) -> DataFrame:
     bucket of a third of all rows is spread over tasks, each of which streams
     its part with two rows in memory. Where a bucket crosses a border its parts
     have first rows of their own; a part's first row is then paired with the
-    bucket's first row. A bucket at a border of a task may appear although it
-    has one node. The input is read twice, once to find the ranges.
+    bucket's first row. ``border`` marks the first and the last row of a task;
+    their bucket may have one node only. A row may appear twice. The input is
+    read twice, once to find the ranges.
     """
     columns = ["bucket", "node", *(c for c in rows.columns if c not in ("bucket", "node"))]
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType(
         [T.StructField(c, kinds[c]) for c in columns]
         + [T.StructField(f"{p}_{c}", kinds[c]) for p in ("first", "before") for c in columns if c != "bucket"]
+        + [T.StructField("border", T.BooleanType())]
     )
     return (
         rows.select(*columns)
@@ -78,8 +83,15 @@ def stars(rows: DataFrame) -> DataFrame:
 
 
 def joined_parts(found: DataFrame) -> DataFrame:
-    """Rows that pair the first rows of a bucket's parts with the first of all; few, one a border."""
-    columns = [c for c in found.columns if not c.startswith(("first_", "before_")) and c != "bucket"]
+    """Rows that pair the first rows of a bucket's parts with the first of all.
+
+    Every part of a bucket that crosses a border has a row at it, so two rows a
+    task are all that is read.
+    """
+    columns = [
+        c for c in found.columns if not c.startswith(("first_", "before_")) and c not in ("bucket", "border")
+    ]
+    found = found.where("border")
     heads = found.groupBy("bucket").agg(
         F.min_by(F.struct(*(f"first_{c}" for c in columns)), "first_node").alias("head"),
         F.max("first_node").alias("last"),
@@ -93,5 +105,6 @@ def joined_parts(found: DataFrame) -> DataFrame:
             "bucket", *columns,
             *(F.col(f"head.first_{c}") for c in columns),
             *(F.col(f"head.first_{c}").alias(f"before_{c}") for c in columns),
+            F.lit(True).alias("border"),
         )
     )
