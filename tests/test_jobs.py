@@ -99,7 +99,7 @@ def test_scores_seals_and_payloads(spark, built):
 
 def test_audits_name_what_is_missing(built):
     house, _, _, _ = built
-    report = run_audit(house.audit_pack(NOW))
+    report = run_audit(house.audit_pack(NOW), house.path("audits", "now"))
     assert len(report) == 11
     assert report["A02_structural_gaps"]["rows"][0]["periods"] == 3
     assert report["B01_unscoreable_periods"]["ok"] and report["B02_conflicting_versions"]["ok"]

@@ -98,11 +98,12 @@ def test_scd2_treats_null_as_a_value(spark):
     assert V.scd2(df, KEYS, ["payload"]).count() == 2
 
 
-def test_conflicting_versions_come_in_parts(spark):
+def test_conflicting_versions_come_one_a_row(spark):
     df = rows(spark, [(i, 0, str(i), i // 4) for i in range(25)] + [(99, 1, "one", 1)])
-    got = V.conflicting_versions(df, KEYS, ["payload"], part_rows=10).orderBy("part").collect()
-    assert [len(r["payloads"]) for r in got] == [10, 10, 5]
-    assert [x for r in got for x in r["payloads"]] == [str(i) for i in range(25)]
+    got = V.conflicting_versions(df, KEYS, ["payload"]).orderBy("position").collect()
+    assert [(r["position"], r["landing_id"], r["payload"]) for r in got] == [
+        (i + 1, i, str(i)) for i in range(25)
+    ]
     assert {(r["versions"], r["distinct_fetch_times"]) for r in got} == {(25, 7)}
 
 

@@ -109,8 +109,9 @@ def test_audits_run_by_prefix_and_survive_failures(spark):
         raise RuntimeError("no table")
 
     pack = {"A01_rows": lambda: spark.range(50), "A02_broken": broken, "B01_more": lambda: spark.range(2)}
-    report = run_audit(pack, "a0", show=5)
-    assert set(report) == {"A01_rows", "A02_broken"}
+    report = run_audit(pack, scratch_dir(spark, "audits"), "a0", show=5)
+    assert set(report) == {"A01_rows", "A02_broken"} and report["A01_rows"]["n_rows"] == 50
+    assert spark.read.parquet(report["A01_rows"]["path"]).count() == 50
     assert len(report["A01_rows"]["rows"]) == 5 and not report["A02_broken"]["ok"]
 
 
@@ -210,6 +211,6 @@ def test_a_failed_payload_leaves_the_previous_one(spark):
     now = datetime(2024, 1, 1, tzinfo=UTC)
     payloads.publish_payloads(spark, {"a": lambda: spark.range(2)}, out, now)
     result = payloads.publish_payloads(spark, {"a": broken, "b": lambda: spark.range(1)}, out, now)
-    assert result == {"a": "ValueError", "b": "ok"}
+    assert result == {"a": "ValueError: no", "b": "ok"}
     assert spark.read.json(f"{out}/a").count() == 2
-    assert {r["outcome"] for r in spark.read.json(f"{out}/manifest").collect()} == {"ValueError", "ok"}
+    assert {r["outcome"] for r in spark.read.json(f"{out}/manifest").collect()} == {"ValueError: no", "ok"}

@@ -153,15 +153,17 @@ def test_flat_seal_is_the_hash_of_all_row_hashes(spark):
     import hashlib
 
     want = hashlib.sha256("".join(f"{i:064x}" for i in range(40)).encode()).hexdigest()
-    row = R.month_seals(january(spark).repartition(5)).first()
+    row = R.month_seals(january(spark).repartition(5), algorithm="flat").first()
     assert (row["seal_hash"], row["row_count"], row["algorithm"]) == (want, 40, "flat")
 
 
-def test_large_months_are_sealed_as_a_tree(spark):
-    a = R.month_seals(january(spark).repartition(5), flat_limit=10).first()
-    b = R.month_seals(january(spark).repartition(2), flat_limit=10).first()
+def test_months_of_any_size_are_sealed_as_a_tree(spark):
+    a = R.month_seals(january(spark).repartition(5)).first()
+    b = R.month_seals(january(spark).repartition(2)).first()
     assert a == b and a["algorithm"] == "tree"
-    assert R.month_seals(january(spark, 39), flat_limit=10).first()["seal_hash"] != a["seal_hash"]
+    assert R.month_seals(january(spark, 39)).first()["seal_hash"] != a["seal_hash"]
+    with pytest.raises(ValueError, match="unknown seal"):
+        R.month_seals(january(spark), algorithm="round")
 
 
 def test_only_closed_unsealed_months_are_sealed(spark):
@@ -172,16 +174,19 @@ def test_only_closed_unsealed_months_are_sealed(spark):
     assert R.seal_new_months(reg, seals, instant(datetime(2024, 2, 1, tzinfo=UTC))).isEmpty()
 
 
-@pytest.mark.parametrize("limit", [5, 1000])
-def test_audit_finds_any_change(spark, limit):
+@pytest.mark.parametrize("algorithm", ["flat", "tree"])
+def test_audit_repeats_the_stored_algorithm_and_finds_any_change(spark, algorithm):
     reg = january(spark)
-    seals = R.month_seals(reg, flat_limit=limit)
-    assert R.audit_seals(reg, seals, limit).first()["passed"]
+    seals = R.month_seals(reg, algorithm=algorithm)
+    assert R.audit_seals(reg, seals).first()["passed"]
+    other = seals.withColumn("algorithm", F.lit("tree" if algorithm == "flat" else "flat"))
+    assert not R.audit_seals(reg, other).first()["passed"]
+    assert not R.audit_seals(reg, seals.withColumn("algorithm", F.lit("round"))).first()["passed"]
     edited = reg.withColumn(
         "row_hash", F.when(F.col("horizon") + F.col("point") > 0, F.reverse("row_hash")))
-    assert not R.audit_seals(edited, seals, limit).first()["passed"]
-    assert not R.audit_seals(reg.limit(39), seals, limit).first()["passed"]
-    assert not R.audit_seals(reg.limit(0), seals, limit).first()["passed"]
+    assert not R.audit_seals(edited, seals).first()["passed"]
+    assert not R.audit_seals(reg.limit(39), seals).first()["passed"]
+    assert not R.audit_seals(reg.limit(0), seals).first()["passed"]
 
 
 # ---- planner ----------------------------------------------------------------

@@ -211,19 +211,25 @@ def location_corr(weather: DataFrame, mix: DataFrame) -> DataFrame:
 
 
 def run_audit(
-    pack: dict[str, Callable[[], DataFrame]], prefix: str | None = None, show: int = 20
+    pack: dict[str, Callable[[], DataFrame]], out: str, prefix: str | None = None, show: int = 20
 ) -> dict[str, dict]:
     """Q11: the audits whose name starts with ``prefix``; one failure stops no other.
 
-    ``show`` limits what is printed of each result, not what is computed.
+    Every result is stored whole under ``out``; ``n_rows`` is its true count and
+    ``rows`` its first ``show`` rows, for printing.
     """
     report = {}
     for name, build in sorted(pack.items()):
         if prefix and not name.lower().startswith(prefix.lower()):
             continue
         try:
-            rows = build()
-            report[name] = {"ok": True, "columns": rows.columns, "rows": rows.take(show)}
+            rows, path = build(), f"{out.rstrip('/')}/{name}"
+            rows.write.mode("overwrite").parquet(path)
+            stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+            report[name] = {
+                "ok": True, "columns": rows.columns, "n_rows": stored.count(),
+                "rows": stored.take(show), "path": path,
+            }
         except Exception as exc:  # noqa: BLE001 - the others must still run
             report[name] = {"ok": False, "error": type(exc).__name__, "detail": str(exc)[:500]}
     return report

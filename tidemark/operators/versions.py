@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import next_row, ordinal, previous_row
+from tidemark.session import written
 
 FETCHED = "fetched_at_utc"
 ORDER = (FETCHED, "landing_id")
@@ -83,9 +84,34 @@ def last_landing_id(landing: DataFrame) -> Column:
 
 
 def with_landing_ids(batch: DataFrame, after: Column, keys: Sequence[str]) -> DataFrame:
-    """Ids that continue after a given one, in (fetched, keys, hash) order."""
-    numbered = ordinal(batch, [], "landing_id", FETCHED, [*keys, "payload_hash"], 3600)
-    return numbered.withColumn("landing_id", F.col("landing_id") + after)
+    """Ids that continue after a given one, in (fetched, keys, hash) order.
+
+    Rows are dealt to tasks in ranges of that order and written once; a row's id
+    is its place in its task plus the counts of the tasks before, one number a
+    task. So a batch of one fetch time is numbered by many tasks. Rows equal in
+    the whole order are interchangeable.
+    """
+    order = [FETCHED, *keys, "payload_hash"]
+    placed = written(
+        batch.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("__place", F.monotonically_increasing_id()),
+        "numbered",
+    )
+    # the task stands above bit 33, the place in it below
+    task = F.shiftright("__place", 33)
+    counts = placed.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
+    )
+    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.withColumn("__task", task)
+        .join(F.broadcast(offsets), "__task")  # one row a task
+        .withColumn("landing_id", place + F.col("__before") + 1 + after)
+        .drop("__place", "__task", "__before")
+    )
 
 
 def demand_current(vintages: DataFrame, keys=("sp_start_utc",), publish="publish_time_utc"):
@@ -150,12 +176,12 @@ def scd2_apply(
 
 
 def conflicting_versions(
-    df: DataFrame, keys: Sequence[str], fields: Sequence[str], part_rows: int = 10_000
+    df: DataFrame, keys: Sequence[str], fields: Sequence[str]
 ) -> DataFrame:
-    """Keys reported more than once, with their versions in landing order.
+    """Every version of the keys reported more than once, one row each.
 
-    A key with more than ``part_rows`` versions comes as several numbered parts,
-    which keeps each array small and every version in the result.
+    ``position`` counts the key's versions in landing order. Counts of the key
+    stand on each of its rows; nothing is gathered.
     """
     facts = (
         df.groupBy(*keys)
@@ -169,19 +195,13 @@ def conflicting_versions(
             "ordering_is_ambiguous", F.col("versions") > F.col("distinct_fetch_times")
         )
     )
-    # Position in landing order. Ids stand in for microseconds, so that a chunk of
-    # one second holds at most a million of them.
+    # Ids stand in for microseconds, so that a chunk of one second holds at most a
+    # million of them.
     by_id = df.select(
         *keys, "landing_id", *fields, F.timestamp_micros("landing_id").alias("__at")
     )
-    numbered = ordinal(by_id, keys, "__n", "__at", chunk_seconds=1)
-    parts = (
-        numbered.withColumn("part", F.floor((F.col("__n") - 1) / F.lit(part_rows)))
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("landing_id", *fields))).alias("__v"))
-        .select(*keys, "part", *[F.col(f"__v.{f}").alias(f"{f}s") for f in fields])
-    )
-    return facts.join(parts, list(keys))
+    numbered = ordinal(by_id, keys, "position", "__at", chunk_seconds=1).drop("__at")
+    return facts.join(numbered, list(keys))
 
 
 def retention_report(df: DataFrame, time: str, keep_days: int, as_of: Column) -> DataFrame:

@@ -23,6 +23,7 @@ from tidemark.plans import status
 from tidemark.sources import feeds, payloads, runlog
 from tidemark.sources import tables as S
 from tidemark.sources.spine import spine
+from tidemark.session import written
 from tidemark.streaming import land
 
 KEYS = ["series_key"]
@@ -160,27 +161,39 @@ class Warehouse:
     def register(self, rows: DataFrame) -> int:
         """Append rows that keep the contract; refuse the run otherwise."""
         grain = [*KEYS, *R.GRAIN]
+        rows = written(rows, "issued")  # checked, compared and stored: computed once
         checked = R.validate_register(rows, grain)
         broken = checked.where(F.col("violation").isNotNull()).groupBy("violation").count()
         found = {r["violation"]: r["count"] for r in broken.collect()}  # at most four rows
         if found:
             raise RegisterError(f"rows that break the register's contract: {found}")
         path = self.path("register", "reg_forecast_point")
-        before = self.spark.read.parquet(path).count() if S.exists(self.spark, path) else 0
         month = F.date_format("run_at_utc", "yyyy-MM")
-        S.append_new(self.spark, rows.withColumn("issue_month", month), path, grain, ["issue_month"])
-        return self.spark.read.parquet(path).count() - before
+        return S.append_new(
+            self.spark, rows.withColumn("issue_month", month), path, grain, ["issue_month"]
+        )
 
     def points(self) -> DataFrame:
         return self.table("register", "reg_forecast_point")
 
-    def score(self, as_of: datetime) -> int:
-        """Forecasts whose targets have matured, once each."""
+    def score(self, as_of: datetime, back_days: int | None = 62) -> int:
+        """Forecasts whose targets have matured, once each.
+
+        Only the issue months of the last ``back_days`` are read, of forecasts as
+        of scores; None reads all, for an actual that came later than that.
+        """
         scale = naive_scale_time(self.facts(), KEYS, instant(as_of))
-        rows = R.score(
-            self.points(), self.facts(), scale, self.table("register", "reg_forecast_score"), KEYS
+        points, scores = self.points(), self.table("register", "reg_forecast_score")
+        if back_days is not None:
+            first = F.lit((as_of - timedelta(days=back_days)).strftime("%Y-%m"))
+            points = points.where(F.col("issue_month") >= first)
+            scores = None if scores is None else scores.where(F.col("issue_month") >= first)
+        rows = R.score(points, self.facts(), scale, scores, KEYS).join(
+            points.select("forecast_id", "issue_month"), "forecast_id"
+        )
+        return S.append_counted(
+            rows, self.path("register", "reg_forecast_score"), partition_by=["issue_month"]
         )
-        return S.append_counted(rows, self.path("register", "reg_forecast_score"))
 
     def seal(self, as_of: datetime) -> int:
         """seals of months that have closed since."""
@@ -204,7 +217,8 @@ class Warehouse:
 
     # ---- reports ------------------------------------------------------------
     def accuracy(self) -> DataFrame:
-        return R.live_accuracy(self.points(), self.table("register", "reg_forecast_score"), KEYS)
+        scores = self.table("register", "reg_forecast_score").drop("issue_month")
+        return R.live_accuracy(self.points(), scores, KEYS)
 
     def publish(self, out: str, as_of: datetime, commit: str) -> dict[str, str]:
         """The payloads a page reads."""

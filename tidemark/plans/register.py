@@ -194,48 +194,49 @@ def newest(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 # ---- seals (A25, F25) -------------------------------------------------------
+ALGORITHMS = ("tree", "flat")
+
+
 def month_seals(
-    points: DataFrame,
-    period: Column | None = None,
-    flat_limit: int = 2_000_000,
+    points: DataFrame, period: Column | None = None, algorithm: str = "tree"
 ) -> DataFrame:
-    """One hash over every row hash of a UTC month, ordered by forecast id.
-
-    A month of up to ``flat_limit`` rows is one string. A larger one is sealed as
-    a tree: the rows split by day and id into parts, and the part hashes are
-    sealed in order. ``algorithm`` says which, so that an audit repeats it.
+    """One hash over every row hash of a UTC month.
+
+    "tree" splits the rows by day and by sixteen bits of the id's digest; the
+    hashes of a day's parts, in order, make the day's, and the days' the month's.
+    No task holds more than a part, a day's part hashes or a month's day hashes,
+    at any size. "flat" hashes one string of all row hashes in the order of
+    forecast ids, in one task; it exists to check seals made that way. The seal
+    row names its algorithm, and the audit repeats that one.
     """
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown seal algorithm {algorithm!r}")
     period = period if period is not None else F.date_trunc("month", "run_at_utc")
     rows = points.select(
         F.to_date(period).alias("period_month"),
+        F.to_date("run_at_utc").alias("day"),
+        F.substring(F.sha2("forecast_id", 256), 1, 4).alias("part"),
         "forecast_id",
         F.lower("row_hash").alias("h"),
-        F.to_date("run_at_utc").alias("__day"),
-    )
-    sizes = rows.groupBy("period_month").agg(F.count(F.lit(1)).alias("row_count"))
-    big = F.col("row_count") > flat_limit
-    part = F.when(
-        big, F.concat("__day", F.lit("/"), F.substring(F.sha2("forecast_id", 256), 1, 2))
-    ).otherwise("")
-    parts = (
-        rows.join(sizes, "period_month")
-        .withColumn("part", part)
-        .groupBy("period_month", "row_count", "part")
-        .agg(F.expr("sha2(listagg(h, '') within group (order by forecast_id), 256)").alias("p"))
-    )
-    whole = parts.groupBy("period_month", "row_count").agg(
-        F.max("p").alias("one"),
-        F.expr("sha2(listagg(p, '') within group (order by part), 256)").alias("tree"),
-    )
-    return whole.select(
-        "period_month",
-        "row_count",
-        F.when(big, F.col("tree")).otherwise(F.col("one")).alias("seal_hash"),
-        F.when(big, "tree").otherwise("flat").alias("algorithm"),
     )
+    n = F.count(F.lit(1)).alias("row_count")
 
+    def joined(hashes: str, order: str) -> Column:
+        return F.expr(f"sha2(listagg({hashes}, '') within group (order by {order}), 256)")
 
-def seal_new_months(points: DataFrame, seals: DataFrame | None, as_of: Column) -> DataFrame:
+    if algorithm == "flat":
+        seals = rows.groupBy("period_month").agg(n, joined("h", "forecast_id").alias("seal_hash"))
+    else:
+        total = F.sum("row_count").alias("row_count")
+        parts = rows.groupBy("period_month", "day", "part").agg(n, joined("h", "forecast_id").alias("h"))
+        days = parts.groupBy("period_month", "day").agg(total, joined("h", "part").alias("h"))
+        seals = days.groupBy("period_month").agg(total, joined("h", "day").alias("seal_hash"))
+    return seals.withColumn("algorithm", F.lit(algorithm))
+
+
+def seal_new_months(
+    points: DataFrame, seals: DataFrame | None, as_of: Column, algorithm: str = "tree"
+) -> DataFrame:
     """seals of closed months that have none yet."""
     closed = points.where(F.col("run_at_utc") < F.date_trunc("month", as_of))
     if seals is not None:
@@ -243,23 +244,37 @@ def seal_new_months(points: DataFrame, seals: DataFrame | None, as_of: Column) -
         closed = closed.withColumn("period_month", month).join(
             seals.select("period_month"), "period_month", "left_anti"
         )
-    return month_seals(closed).withColumn("sealed_at_utc", as_of)
+    return month_seals(closed, algorithm=algorithm).withColumn("sealed_at_utc", as_of)
+
 
+def audit_seals(points: DataFrame, seals: DataFrame, period: Column | None = None) -> DataFrame:
+    """every stored seal recomputed by its own algorithm.
 
-def audit_seals(points: DataFrame, seals: DataFrame, flat_limit: int = 2_000_000) -> DataFrame:
-    """every stored seal recomputed; a differing hash or count fails."""
-    fresh = month_seals(points, flat_limit=flat_limit).select(
+    A differing hash or count fails, and so does a seal of an unknown algorithm.
+    """
+    period = period if period is not None else F.date_trunc("month", "run_at_utc")
+    rows = points.withColumn("period_month", F.to_date(period))
+    fresh = None
+    for algorithm in ALGORITHMS:
+        mine = seals.where(F.col("algorithm") == algorithm).select("period_month")
+        again = month_seals(
+            rows.join(mine, "period_month", "left_semi"), F.col("period_month"), algorithm
+        )
+        fresh = again if fresh is None else fresh.unionByName(again)
+    fresh = fresh.select(
         "period_month",
+        "algorithm",
         F.col("seal_hash").alias("observed_hash"),
         F.col("row_count").alias("observed_count"),
     )
     return (
         seals.select(
             "period_month",
+            "algorithm",
             F.col("seal_hash").alias("expected_hash"),
             F.col("row_count").alias("expected_count"),
         )
-        .join(fresh, "period_month", "left")
+        .join(fresh, ["period_month", "algorithm"], "left")
         .withColumn("observed_count", F.coalesce("observed_count", F.lit(0).cast("long")))
         .withColumn(
             "passed",

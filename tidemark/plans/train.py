@@ -18,6 +18,7 @@ from tidemark.functions.scalar import horizon_group, sort4, text_key
 from tidemark.operators.percentiles import exact_percentiles
 from tidemark.plans.features import assert_no_banned
 from tidemark.plans.issue import GBT, as_register
+from tidemark.session import written
 
 INTERVALS = (("q10", "q90", 0.80), ("q025", "q975", 0.95))
 
@@ -190,20 +191,16 @@ def train(train_set: DataFrame, features: Sequence[str], **gbt) -> Model:
     and one row of widths.
     """
     features = list(features)
-    split = chronological_split(train_set).persist()
-    try:
-        fit, cal = split.where("is_fit"), split.where(~F.col("is_fit"))
-        point = fit_point(split, features, **gbt)
-        early = fit_point(fit, features, **gbt)
-        bands = {
-            r["horizon_group"]: {n: r[n] for n in C.QUANTILE_LEVELS}
-            for r in residual_bands(predict(early, fit, features)).collect()
-        }
-        tried = raw_intervals(predict(early, cal, features), bands).persist()
-        widths = conformal_widths(tried).first().asDict()
-        tried.unpersist()
-    finally:
-        split.unpersist()
+    # written, not cached: many passes read it, and a lost executor costs no recomputation
+    split = written(chronological_split(train_set), "split")
+    fit, cal = split.where("is_fit"), split.where(~F.col("is_fit"))
+    point = fit_point(split, features, **gbt)
+    early = fit_point(fit, features, **gbt)
+    bands = {
+        r["horizon_group"]: {n: r[n] for n in C.QUANTILE_LEVELS}
+        for r in residual_bands(predict(early, fit, features)).collect()
+    }
+    widths = conformal_widths(raw_intervals(predict(early, cal, features), bands)).first().asDict()
     return Model(point, early, features, bands, widths)
 
 

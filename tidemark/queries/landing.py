@@ -196,13 +196,14 @@ def p1(t):
     count(DISTINCT fetched_at_utc) AS distinct_fetch_times,
     count(DISTINCT payload_hash) AS distinct_payloads,
     count(*) > count(DISTINCT fetched_at_utc) AS ordering_is_ambiguous,
-    string_agg(json_extract_string(payload, '$.k'), ',' ORDER BY landing_id) AS ks
+    unnest(list(landing_id ORDER BY landing_id)) AS landing_id,
+    unnest(list(json_extract_string(payload, '$.k') ORDER BY landing_id)) AS k,
+    unnest(range(1, count(*) + 1)) AS position
     FROM landing GROUP BY 1, 2 HAVING count(*) > 1""",
 )
 def a9(t):
     rows = t.landing().withColumn("k", F.get_json_object("payload", "$.k"))
-    found = V.conflicting_versions(rows, LAND_KEYS, ["k"])
-    return found.withColumn("ks", F.concat_ws(",", "ks")).drop("part")
+    return V.conflicting_versions(rows, LAND_KEYS, ["k"])
 
 
 @query(

@@ -232,30 +232,33 @@ def sealed_rows(t):
 
 @query("a25_period_seals", "landing", _DAY_SEAL)
 def a25(t):
-    return R.month_seals(sealed_rows(t), F.date_trunc("day", "run_at_utc"))
+    return R.month_seals(sealed_rows(t), F.date_trunc("day", "run_at_utc"), "flat")
 
 
-@query(
-    "a25_tree_seals",
-    "landing",
-    """SELECT period_month, CAST(sum(n) AS BIGINT) AS row_count,
-    sha256(string_agg(p, '' ORDER BY part)) AS seal_hash, 'tree' AS algorithm FROM (
-      SELECT CAST(fetched_at_utc AS DATE) AS period_month,
-        strftime(fetched_at_utc, '%Y-%m-%d') || '/' || substring(sha256(id), 1, 2) AS part,
-        count(*) AS n, sha256(string_agg(payload_hash, '' ORDER BY id)) AS p
-      FROM (SELECT *, lpad(CAST(landing_id AS VARCHAR), 12, '0') AS id FROM landing)
-      GROUP BY 1, 2) GROUP BY 1""",
-)
+def _tree_sql(rows: str, period: str) -> str:
+    """Seals of rows (id, run_at, h), by parts, days and periods."""
+    return f"""SELECT period_month, CAST(sum(n) AS BIGINT) AS row_count,
+      sha256(string_agg(h, '' ORDER BY day)) AS seal_hash, 'tree' AS algorithm FROM (
+        SELECT period_month, day, sum(n) AS n, sha256(string_agg(h, '' ORDER BY part)) AS h FROM (
+          SELECT CAST(date_trunc('{period}', run_at) AS DATE) AS period_month,
+            CAST(run_at AS DATE) AS day, substring(sha256(id), 1, 4) AS part, count(*) AS n,
+            sha256(string_agg(h, '' ORDER BY id)) AS h FROM ({rows}) GROUP BY 1, 2, 3)
+        GROUP BY 1, 2) GROUP BY 1"""
+
+
+_LANDED = """SELECT lpad(CAST(landing_id AS VARCHAR), 12, '0') AS id, fetched_at_utc AS run_at,
+      payload_hash AS h FROM landing"""
+
+
+@query("a25_tree_seals", "landing", _tree_sql(_LANDED, "day"))
 def a25_tree(t):
-    return R.month_seals(sealed_rows(t), F.date_trunc("day", "run_at_utc"), flat_limit=0)
+    return R.month_seals(sealed_rows(t), F.date_trunc("day", "run_at_utc"))
 
 
 @query(
     "f25_seal_register",
     "points",
-    f"""SELECT CAST(date_trunc('month', run_at_utc) AS DATE) AS period_month,
-    count(*) AS row_count, sha256(string_agg(h, '' ORDER BY id)) AS seal_hash,
-    'flat' AS algorithm FROM (SELECT *, {_ID} AS id, {_ROW_HASH} AS h FROM points) GROUP BY 1""",
+    _tree_sql(f"SELECT {_ID} AS id, run_at_utc AS run_at, {_ROW_HASH} AS h FROM points", "month"),
 )
 def f25(t):
     after = F.lit("2024-02-05").cast("timestamp")
@@ -264,17 +267,23 @@ def f25(t):
 
 @query(
     "f25_audit_seals",
-    "points",
-    """SELECT CAST(date_trunc('month', run_at_utc) AS DATE) AS period_month,
-    count(*) AS expected_count, count(*) FILTER (WHERE NOT (series_key = 'view' AND horizon = 5))
-      AS observed_count, false AS passed FROM points GROUP BY 1""",
+    "landing",
+    """SELECT CAST(fetched_at_utc AS DATE) AS period_month,
+      CASE WHEN day(fetched_at_utc) % 2 = 0 THEN 'flat' ELSE 'tree' END AS algorithm,
+      count(*) AS expected_count,
+      count(*) FILTER (WHERE NOT (day(fetched_at_utc) % 5 = 0 AND landing_id % 7 = 0)) AS observed_count,
+      count(*) FILTER (WHERE day(fetched_at_utc) % 5 = 0 AND landing_id % 7 = 0) = 0 AS passed
+    FROM landing GROUP BY ALL""",
 )
 def f25_audit(t):
-    """An audit of a register that lost rows after it was sealed."""
-    points = t.points()
-    seals = R.month_seals(points)
-    tampered = points.where(~((F.col("series_key") == "view") & (F.col("horizon") == 5)))
-    return R.audit_seals(tampered, seals).drop("expected_hash", "observed_hash")
+    """Seals of both kinds, over rows of which some were lost after sealing."""
+    rows, day = sealed_rows(t), F.date_trunc("day", "run_at_utc")
+    even = F.dayofmonth("period_month") % 2 == 0
+    seals = R.month_seals(rows, day, "flat").where(even).unionByName(
+        R.month_seals(rows, day, "tree").where(~even)
+    )
+    lost = (F.dayofmonth("run_at_utc") % 5 == 0) & (F.col("forecast_id").cast("long") % 7 == 0)
+    return R.audit_seals(rows.where(~lost), seals, day).drop("expected_hash", "observed_hash")
 
 
 # ---- planner ----------------------------------------------------------------

@@ -31,6 +31,26 @@ def payload_lines(df: DataFrame, name: str, captured_at: datetime, commit: str,
     )
 
 
+def _swap(spark: SparkSession, fresh: str, target: str) -> None:
+    """Put a complete folder in the place of another.
+
+    The old one is moved aside before and deleted after, so that at every moment
+    one of them is whole; a failed move puts it back.
+    """
+    fs, to = _fs(spark, target)
+    old = _fs(spark, f"{target}.old")[1]
+    held = fs.exists(to)
+    if held:
+        fs.delete(old, True)
+        if not fs.rename(to, old):
+            raise OSError(f"could not move {target} aside")
+    if not fs.rename(_fs(spark, fresh)[1], to):
+        if held:
+            fs.rename(old, to)
+        raise OSError(f"could not move {fresh}")
+    fs.delete(old, True)
+
+
 def publish_payloads(
     spark: SparkSession,
     builders: dict[str, Callable[[], DataFrame]],
@@ -42,8 +62,8 @@ def publish_payloads(
     """Write each payload as JSON lines under ``out``; returns what became of each.
 
     A payload is written beside its target and swapped in when complete, so one
-    that fails leaves the previous files as they were. The outcomes are stored
-    as a manifest.
+    that fails leaves the previous files as they were. The outcomes, with what an
+    error said, are stored as a manifest.
     """
     results: dict[str, str] = {}
     for name, build in builders.items():
@@ -51,13 +71,10 @@ def publish_payloads(
         try:
             lines = payload_lines(build(), name, captured_at, commit, (params or {}).get(name))
             lines.write.mode("overwrite").text(fresh)
-            fs, to = _fs(spark, target)
-            fs.delete(to, True)
-            if not fs.rename(_fs(spark, fresh)[1], to):
-                raise OSError(f"could not move {fresh}")
+            _swap(spark, fresh, target)
             results[name] = "ok"
         except Exception as exc:  # noqa: BLE001 - one payload must not stop the others
-            results[name] = type(exc).__name__
+            results[name] = f"{type(exc).__name__}: {str(exc)[:300]}"
     rows = [(n, r, captured_at) for n, r in results.items()]
     spark.createDataFrame(
         rows, "name string, outcome string, captured_at_utc timestamp"

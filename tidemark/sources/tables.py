@@ -35,11 +35,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def one_per_grain(df: DataFrame, grain: Sequence[str]) -> DataFrame:
+    """The least row of each grain, by all other columns in order."""
+    rest = [c for c in df.columns if c not in grain]
+    if not rest:
+        return df.distinct()
+    least = df.groupBy(*grain).agg(F.min(F.struct(*rest)).alias("__r"))
+    return least.select(*grain, "__r.*").select(*df.columns)
+
+
 def new_rows(df: DataFrame, stored: DataFrame, grain: Sequence[str]) -> DataFrame:
     """One row per grain that the stored table does not hold."""
-    return df.dropDuplicates(list(grain)).join(
-        stored.select(*grain), list(grain), "left_anti"
-    )
+    return one_per_grain(df, grain).join(stored.select(*grain), list(grain), "left_anti")
+
+
+def listed_values(df: DataFrame, column: str) -> list | None:
+    """The distinct values of a partition column, or None beyond ``MAX_LISTED``."""
+    values = [r[0] for r in df.select(column).distinct().limit(MAX_LISTED + 1).collect()]
+    return values if len(values) <= MAX_LISTED else None
+
+
+def within(stored: DataFrame, df: DataFrame, partition: str) -> DataFrame:
+    """The stored rows in the partitions that ``df`` touches, named in the scan if they are few."""
+    listed = listed_values(df, partition)
+    if listed is not None:
+        return stored.where(F.col(partition).isin(listed))
+    return stored.join(df.select(partition).distinct(), partition, "left_semi")
 
 
 def append_new(
@@ -48,22 +69,34 @@ def append_new(
     path: str,
     grain: Sequence[str],
     partition_by: Sequence[str] = (),
-) -> None:
-    """Append with on-conflict-do-nothing on the grain."""
-    fresh = df
+) -> int:
+    """Append with on-conflict-do-nothing on the grain; returns how many rows were new.
+
+    Of the stored table only the partitions of the first partition column that
+    the rows touch are read, so that column must derive from the grain.
+    """
+    df = written(df, "offered")
     if exists(spark, path):
-        fresh = new_rows(df, spark.read.schema(df.schema).parquet(path), grain)
+        stored = spark.read.schema(df.schema).parquet(path)
+        fresh = new_rows(df, within(stored, df, partition_by[0]) if partition_by else stored, grain)
     else:
-        fresh = df.dropDuplicates(list(grain))
-    fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
+        fresh = one_per_grain(df, grain)
+    return append_counted(fresh, path, partition_by=partition_by)
 
 
-def append_counted(df: DataFrame, path: str, expected: int | None = None) -> int:
-    """Append a summary, and refuse one with an unexpected row count."""
-    rows = df.count()
+def append_counted(
+    df: DataFrame, path: str, expected: int | None = None, partition_by: Sequence[str] = ()
+) -> int:
+    """Append a summary, and refuse one with an unexpected row count.
+
+    The rows are computed once, beside the table, counted there and then appended.
+    """
+    ready = written(df, "counted")
+    rows = ready.count()
     if expected is not None and rows != expected:
         raise ValueError(f"{rows} rows to store, expected {expected}")
-    df.write.mode("append").parquet(path)
+    if rows or not exists(df.sparkSession, path):
+        ready.write.mode("append").partitionBy(*partition_by).parquet(path)
     return rows
 
 
@@ -87,12 +120,7 @@ def upsert(
         return
     updates = written(updates, "updates")  # read three times below
     stored = spark.read.parquet(path)
-    values = updates.select(partition).distinct()
-    listed = [r[0] for r in values.limit(MAX_LISTED + 1).collect()]
-    if len(listed) <= MAX_LISTED:  # a list prunes the partitions before they are scanned
-        touched = stored.where(F.col(partition).isin(listed))
-    else:
-        touched = stored.join(values, partition, "left_semi")
+    touched = within(stored, updates, partition)
     result = merged(touched.select(*updates.columns), updates, keys)
     (
         result.write.mode("overwrite")
