@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
@@ -87,11 +87,14 @@ def calendar_features(targets: DataFrame, target: str = "target_utc") -> DataFra
 def _distant_lags(series, issued, keys, run_offset: int, value: str) -> DataFrame:
     """Lags the bounded reach did not find, looked up at any distance.
 
-    Only issue times with a null lag and with older data come here. Days are
-    compared by their earliest knowable instant; the rows of one day follow.
+    A day may serve a lag of h hours from the instant on at which its first row
+    is knowable and the day lies wholly h hours before the anchor. So the newest
+    day an issue time may use is the greatest of all days admitted up to it: a
+    running maximum, taken inside calendar chunks with one carried row a chunk.
+    No issue time meets more than its own chunk, however long a series is silent.
+    The rows of that day follow.
     """
     keys = list(keys)
-    born = series.groupBy(*keys).agg(F.min(TIME).alias("__born"))
     open_lags = F.filter(
         F.array(
             *[
@@ -107,19 +110,34 @@ def _distant_lags(series, issued, keys, run_offset: int, value: str) -> DataFram
     asks = (
         issued.select(*keys, "origin_utc", F.explode(open_lags).alias("__l"))
         .select(*keys, "origin_utc", F.col("__l.h").alias("h"))
-        .withColumn("stamp", add_seconds("origin_utc", -F.col("h") * 3600))
         .withColumn("run_at", add_seconds("origin_utc", run_offset))
     )
-    asks = asks.join(born, keys)
-    asks = asks.where(F.col("__born") <= F.col("stamp"))
     dated = series.withColumn("__day", F.to_date(TIME))
     days = dated.groupBy(*keys, "__day").agg(F.min(KNOWN).alias("__first"))
-    older = (F.col("__day") < F.to_date("stamp")) & (F.col("__first") <= F.col("run_at"))
+    over = F.date_add("__day", 1).cast("timestamp")
+    admitted = days.select(
+        *keys, "__day", "__first", over.alias("__over"),
+        F.explode(F.array(*map(F.lit, C.LAG_HOURS))).alias("h"),
+    ).withColumn("at", F.greatest("__first", add_seconds("__over", F.col("h") * 3600 + run_offset)))
+    both = admitted.select(*keys, "h", "at", "__day").unionByName(
+        asks.select(*keys, "h", F.col("run_at").alias("at"), "run_at", "origin_utc"), allowMissingColumns=True
+    )
+    both = both.withColumn("__chunk", F.date_trunc("week", "at"))
+    group = [*keys, "h", "__chunk"]
+    upto = Window.partitionBy(*group).orderBy("at", F.col("origin_utc").isNotNull())
+    earlier = Window.partitionBy(*keys, "h").orderBy("__chunk")
+    carry = (
+        both.groupBy(*group).agg(F.max("__day").alias("__top"))
+        .withColumn("__before", F.max("__top").over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+        .drop("__top")
+    )
     best = (
-        asks.join(days, keys)
-        .where(older)
-        .groupBy(*keys, "origin_utc", "h", "run_at")
-        .agg(F.max("__day").alias("__day"))
+        both.withColumn("__near", F.max("__day").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("origin_utc").isNotNull())
+        .join(carry, group)
+        .withColumn("__day", F.greatest("__near", "__before"))
+        .where(F.col("__day").isNotNull())
+        .select(*keys, "origin_utc", "h", "run_at", "__day")
     )
     found = (
         best.join(dated.select(*keys, "__day", TIME, value, KNOWN), [*keys, "__day"])
