@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import textkit
 from tidemark.llm.workspace import Workspace
 
-LEAF = 8192  # characters of a leaf
+LEAF = 16_384  # characters of a leaf
 LONG = 512  # characters of a pre-token above which it is encoded by halves
 BACK = 3  # pre-tokens at the end of a left side that its missing neighbour may change
-REMEMBERED = 250_000  # texts in a generation of what a worker remembers
+REMEMBERED = 180_000  # texts in a generation of what a worker remembers
 
 # The byte-level pre-tokenizer's pattern, with the library's white space.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -301,6 +301,17 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values, pa.int32()))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers that are not negative in as few bytes each as the largest needs, after that count."""
+    top = int(numbers.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
 def _encoded(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(spec.value)
@@ -323,16 +334,17 @@ def _leaves(spec):
                         found = coder.leaf(text)
                     except _Disagreed:
                         found = None
-                    ids.append(found[0] if found else np.empty(0, np.int32))
-                    starts.append(found[1].astype(np.int32) if found else np.empty(0, np.int32))
+                    ids.append(_packed(found[0]) if found else None)
+                    # the places where pre-tokens begin, each from the one before
+                    starts.append(_packed(np.diff(found[1], prepend=0)) if found else None)
                     texts.append(None if found else text)
                 yield pa.record_batch(
                     {
                         "row": part.column("row"),
                         "doc_id": part.column("doc_id"),
                         "leaf": part.column("leaf"),
-                        "ids": _lists(ids),
-                        "starts": _lists(starts),
+                        "ids": pa.array(ids, pa.binary()),
+                        "starts": pa.array(starts, pa.binary()),
                         "odd": pa.array(texts, pa.string()),
                     }
                 )
@@ -344,16 +356,20 @@ def _joined(spec):
     def run(table: pa.Table) -> pa.Table:
         coder = codec(spec.value)
         table = table.sort_by("leaf")
-        ids = [np.asarray(x.values) for x in table.column("ids")]
-        starts = [np.asarray(x.values).astype(np.int64) for x in table.column("starts")]
-        odd = table.column("odd").to_pylist()
+        ids, starts, odd = (table.column(c).to_pylist() for c in ("ids", "starts", "odd"))
         try:
             if any(t is not None for t in odd):
                 raise _Disagreed
-            whole = coder.tree(list(zip(ids, starts, strict=True)))
+            whole = coder.tree(
+                [
+                    (_unpacked(i).astype(np.int32), np.cumsum(_unpacked(s)))
+                    for i, s in zip(ids, starts, strict=True)
+                ]
+            )
         except _Disagreed:
             text = "".join(
-                t if t is not None else coder.decode(i.tolist()) for t, i in zip(odd, ids, strict=True)
+                t if t is not None else coder.decode(_unpacked(i).tolist())
+                for t, i in zip(odd, ids, strict=True)
             )
             whole = coder.encode(text)
         return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "ids": _lists([whole])})
@@ -392,7 +408,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", leaf_chars:
         .repartition("row", "leaf")
         .mapInArrow(
             _leaves(spec),
-            "row long, doc_id long, leaf long, ids array<int>, starts array<int>, odd string",
+            "row long, doc_id long, leaf long, ids binary, starts binary, odd string",
         )
     )
     schema = "doc_id long, ids array<int>"
