@@ -398,6 +398,32 @@ def f22(t):
     )
 
 
+_ASKED = """SELECT event_id, value / 20 AS duration_hours, user_id % 60 AS within_hours,
+      value AS appliance_kwh FROM events"""
+
+
+@query(
+    "f22_request_contract",
+    "",
+    f"""SELECT event_id AS request_id, CASE
+      WHEN duration_hours NOT BETWEEN 0.5 AND 8 THEN 'duration_hours_out_of_range'
+      WHEN within_hours NOT BETWEEN 1 AND 48 THEN 'within_hours_out_of_range'
+      WHEN appliance_kwh NOT BETWEEN 0.01 AND 100 THEN 'appliance_kwh_out_of_range'
+      END AS violation FROM ({_ASKED})""",
+)
+def f22_contract(t):
+    """Requests of any numbers; the check names the first that is out of range."""
+    from tidemark.plans.planner import request_violation
+
+    asked = t.events().select(
+        F.col("event_id").alias("request_id"),
+        (F.col("value") / 20).alias("duration_hours"),
+        (F.col("user_id") % 60).alias("within_hours"),
+        F.col("value").alias("appliance_kwh"),
+    )
+    return asked.select("request_id", request_violation().alias("violation"))
+
+
 _RANKED = f"""(SELECT series_key, model_version, {GROUP} AS horizon_group, run_at_utc,
       target_utc, point, actual,
       row_number() OVER (PARTITION BY series_key, model_version, {GROUP}, run_at_utc
