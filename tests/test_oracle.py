@@ -67,3 +67,17 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_checks_of_landing_can_fail(spark):
+    """The change rule suppresses rows of the input it is checked on, and an upsert changes some."""
+    from tidemark.fixtures.adapters import Tables
+    from tidemark.queries.landing import halves
+
+    t = Tables(spark, SF)
+    first, second = halves(t, t.busy())
+    n = QUERIES["l1_insert_if_changed"](spark, SF).count()
+    assert 0 < n < 0.9 * second.count()
+    assert QUERIES["t4_land_stream"](spark, SF).count() == first.count() + n
+    before = t.weather_hour().agg({"wind_speed_100m_kmh": "sum"}).first()[0]
+    assert QUERIES["t2_accumulate_upsert"](spark, SF).agg({"wind_speed_100m_kmh": "sum"}).first()[0] != before

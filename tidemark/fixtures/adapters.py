@@ -86,6 +86,17 @@ class Tables:
             F.date_trunc("hour", "ts").alias("fetched_at_utc"),
         )
 
+    def busy(self) -> DataFrame:
+        """Landing rows of few keys and few payloads, so that most keys are seen again."""
+        return self.events().select(
+            F.col("event_id").alias("landing_id"),
+            (F.col("user_id") % 7).alias("series_key"),
+            F.date_trunc("month", "ts").alias("sp_start_utc"),
+            (F.floor("value") % 3).cast("string").alias("payload"),
+            F.sha2((F.floor("value") % 3).cast("string"), 256).alias("payload_hash"),
+            F.date_trunc("hour", "ts").alias("fetched_at_utc"),
+        )
+
     def halves(self, *by, benchmark) -> DataFrame:
         return (
             self.events()

@@ -46,6 +46,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         sha256(props) AS payload_hash,
         CAST(date_trunc('hour', ts) AS TIMESTAMP) AS fetched_at_utc FROM events""",
     ),
+    "busy": (
+        (),
+        """SELECT *, sha256(payload) AS payload_hash FROM (SELECT event_id AS landing_id,
+        user_id % 7 AS series_key, CAST(date_trunc('month', ts) AS TIMESTAMP) AS sp_start_utc,
+        CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) AS payload,
+        CAST(date_trunc('hour', ts) AS TIMESTAMP) AS fetched_at_utc FROM events)""",
+    ),
     "hh": (("ev",), _halves("'all'", "event_type <> 'error'")),
     "panel": (("ev",), _halves("event_type", "value >= 5")),
     "user_panel": (("ev",), _halves("user_id", "value >= 5")),

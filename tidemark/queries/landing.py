@@ -17,27 +17,28 @@ LAND_KEYS = ["series_key", "sp_start_utc"]
 _HALF_ID = "(SELECT (max(landing_id) + 1) // 2 FROM landing)"
 
 
-def halves(t: Tables):
+def halves(t: Tables, rows=None):
     """Landing replayed in two parts by id."""
-    rows = t.landing()
+    rows = t.landing() if rows is None else rows
     cut = rows.agg(F.floor((F.max("landing_id") + 1) / F.lit(2))).scalar()
     return rows.where(F.col("landing_id") < cut), rows.where(F.col("landing_id") >= cut)
 
 
-@query(
-    "l1_insert_if_changed",
-    "landing",
-    f"""SELECT b.series_key, b.sp_start_utc, b.landing_id, b.payload_hash
-    FROM landing b WHERE b.landing_id >= {_HALF_ID} AND NOT EXISTS (
-      SELECT 1 FROM (SELECT series_key, sp_start_utc, payload_hash FROM landing
-        WHERE landing_id < {_HALF_ID}
+# Rows of the second half that differ from what the first half held last.
+_CHANGED = f"""SELECT b.series_key, b.sp_start_utc, b.landing_id, b.payload_hash
+    FROM busy b WHERE b.landing_id >= {_HALF_ID.replace("landing)", "busy)")} AND NOT EXISTS (
+      SELECT 1 FROM (SELECT series_key, sp_start_utc, payload_hash FROM busy
+        WHERE landing_id < {_HALF_ID.replace("landing)", "busy)")}
         QUALIFY row_number() OVER (PARTITION BY series_key, sp_start_utc
           ORDER BY fetched_at_utc DESC, landing_id DESC) = 1) l
       WHERE l.series_key = b.series_key AND l.sp_start_utc = b.sp_start_utc
-        AND l.payload_hash = b.payload_hash)""",
-)
+        AND l.payload_hash = b.payload_hash)"""
+
+
+@query("l1_insert_if_changed", "busy", _CHANGED)
 def l1(t):
-    first, second = halves(t)
+    """About a third of the second half repeats what its key held last."""
+    first, second = halves(t, t.busy())
     return V.insert_if_changed(first, second, LAND_KEYS).select(
         *LAND_KEYS, "landing_id", "payload_hash"
     )
@@ -122,9 +123,10 @@ def l7(t):
     return V.scd2(t.landing(), LAND_KEYS, ["payload"])
 
 
-@query("l7_scd2_incremental", "landing", _SCD2)
+@query("l7_scd2_incremental", "busy", _SCD2.replace("FROM landing", "FROM busy"))
 def l7_incremental(t):
-    first, second = halves(t)
+    """Every key is open when the second half comes."""
+    first, second = halves(t, t.busy())
     return V.scd2_apply(V.scd2(first, LAND_KEYS, ["payload"]), second, LAND_KEYS, ["payload"])
 
 
@@ -246,18 +248,23 @@ def t1(t):
 @query(
     "t2_accumulate_upsert",
     "weather_hour",
-    """SELECT location_id, hour_start_utc, wind_speed_100m_kmh, temperature_2m_c
+    """SELECT location_id, hour_start_utc, temperature_2m_c,
+    CASE WHEN hour_start_utc >= TIMESTAMP '2024-01-24' AND hour(hour_start_utc) % 2 = 0
+      THEN wind_speed_100m_kmh + 1 ELSE wind_speed_100m_kmh END AS wind_speed_100m_kmh
     FROM weather_hour""",
 )
 def t2(t):
-    """Hourly weather kept after its source was pruned to the newest days."""
+    """Hourly weather after its source was pruned to even hours of the newest days, and revised."""
     path = scratch_dir(t.spark, "weather")
     keys = ["location_id", "hour_start_utc"]
     rows = t.weather_hour().select(*keys, "wind_speed_100m_kmh", "temperature_2m_c")
     rows = rows.withColumn("day", F.to_date("hour_start_utc"))
     S.upsert(t.spark, path, rows, keys, "day")
     kept = rows.where(F.col("day") >= F.lit("2024-01-24").cast("date"))
-    S.upsert(t.spark, path, kept, keys, "day")
+    kept = kept.where(F.hour("hour_start_utc") % 2 == 0)
+    wind = "wind_speed_100m_kmh"
+    revised = kept.withColumn(wind, (F.col(wind) + 1).cast(kept.schema[wind].dataType))
+    S.upsert(t.spark, path, revised.select(*rows.columns), keys, "day")
     return t.spark.read.parquet(path).drop("day")
 
 
@@ -273,32 +280,19 @@ def t3(t):
 
 @query(
     "t4_land_stream",
-    "",
-    """SELECT event_id AS landing_id, user_id AS series_key,
-    CAST(date_trunc('day', ts) AS TIMESTAMP) AS sp_start_utc, sha256(props) AS payload_hash
-    FROM events""",
+    "busy",
+    f"""SELECT series_key, sp_start_utc, landing_id, payload_hash FROM busy
+    WHERE landing_id < {_HALF_ID.replace("landing)", "busy)")} UNION ALL ({_CHANGED})""",
 )
 def t4(t):
-    """The events file drained as a stream; a first batch has nothing to differ from."""
-    out, mark = scratch_dir(t.spark, "landing"), scratch_dir(t.spark, "marks")
-    schema = t.raw("events").schema
-    stream = (
-        t.spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(t.dir)
-    )
-    rows = stream.select(
-        F.col("event_id").alias("landing_id"),
-        F.col("user_id").alias("series_key"),
-        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("sp_start_utc"),
-        F.col("props").alias("payload"),
-        F.sha2("props", 256).alias("payload_hash"),
-        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("fetched_at_utc"),
-    )
-    land.land_stream(t.spark, rows, out, mark, LAND_KEYS)
-    return land.read_landing(t.spark, out).select(
-        "landing_id", "series_key", "sp_start_utc", "payload_hash"
-    )
+    """Two files that arrive one after the other; the second repeats keys of the first."""
+    out, mark, source = (scratch_dir(t.spark, n) for n in ("landing", "marks", "arrivals"))
+    for part in halves(t, t.busy()):
+        part.coalesce(1).write.mode("append").parquet(source)
+        land.land_stream(
+            t.spark, t.spark.readStream.schema(part.schema).parquet(source), out, mark, LAND_KEYS
+        )
+    return land.read_landing(t.spark, out).select(*LAND_KEYS, "landing_id", "payload_hash")
 
 
 @query(
