@@ -23,7 +23,7 @@ from tidemark.plans import status
 from tidemark.sources import feeds, payloads, runlog
 from tidemark.sources import tables as S
 from tidemark.sources.spine import spine
-from tidemark.session import written
+from tidemark.session import clear_scratch, written
 from tidemark.streaming import land
 
 KEYS = ["series_key"]
@@ -215,6 +215,10 @@ class Warehouse:
         if not failed.isEmpty():
             raise RegisterError("sealed months no longer match the register")
 
+    def finish(self) -> int:
+        """Delete what the jobs so far left in scratch folders; results lie elsewhere."""
+        return clear_scratch(self.spark)
+
     # ---- reports ------------------------------------------------------------
     def accuracy(self) -> DataFrame:
         scores = self.table("register", "reg_forecast_score").drop("issue_month")

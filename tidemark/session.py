@@ -32,6 +32,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
     return configure(spark)
 
 
+_scratch: list[str] = []  # folders this process has named
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders named so far; for the end of a job, when nothing reads them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder on the storage the cluster shares.
 
@@ -44,7 +57,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if base is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
