@@ -57,8 +57,9 @@ def char_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = codes.astype(np.uint64) + np.uint64(1)
     width = 1
     for step in _STEP:  # pairs, fours, eights
-        h = textkit.mix(h[:-width] * step + h[width:]) if len(h) > width else h[:0]
+        h = h[:-width] * step + h[width:] if len(h) > width else h[:0]
         width *= 2
+    h = textkit.mix(h)
     counts = np.maximum(ends - starts - SHINGLE + 1, 0)
     first = np.concatenate([[0], np.cumsum(np.maximum(counts, 1))])
     out = np.empty(first[-1], np.uint64)

@@ -22,6 +22,7 @@ from tidemark.llm.components import components
 from tidemark.llm.workspace import Workspace
 
 BLOCK = 512  # nodes on either side of a block
+PACK = 4096  # rows of the blocks that are settled together, about
 
 Sets = Callable[[pa.Array], list[np.ndarray]]
 
@@ -77,7 +78,8 @@ def linked(
         "unsettled",
     )
     ws.drop(tagged)
-    if rows.isEmpty():
+    n_rows = rows.count()
+    if not n_rows:
         return roots
     own = F.xxhash64(F.lit(99), "node")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -91,9 +93,11 @@ def linked(
             .withColumn("j", all_of("blocks")).withColumn("asks", F.lit(True))
         )
     )
+    # most blocks are small: many of them make one group, each still by itself
+    block = F.xxhash64("bucket", "i", "j")
     links = (
-        grid.select("bucket", "i", "j", "asks", "node", "root", "registers", "text")
-        .groupBy("bucket", "i", "j")
+        grid.select(block.alias("block"), "asks", "node", "root", "registers", "text")
+        .groupBy(F.pmod("block", F.lit(1 + n_rows // PACK)))
         .applyInArrow(_settled(sets_of, percent, alike), f"u {kind}, v {kind}")
     )
     links = ws.write(links.distinct(), "links")
@@ -138,36 +142,46 @@ def _confirmed(sets_of: Sets, percent: int):
 
 
 def _settled(sets_of: Sets, percent: int, alike):
-    """Links between a block of nodes outside a bucket's largest component and a block of all."""
-
-    def side(table: pa.Table, asks: np.ndarray) -> tuple[list, list, list, list]:
-        part = table.filter(pa.array(asks)).combine_chunks()
-        texts = part.column("text").chunk(0) if len(part) else None
-        return (
-            part.column("node").to_pylist(), part.column("root").to_pylist(),
-            part.column("registers").to_pylist(), sets_of(texts) if len(part) else [],
-        )
+    """Links between nodes outside a bucket's largest component and all, block by block."""
+
+    def links(a, b, nodes, roots, sets, registers) -> list[tuple]:
+        size_a, size_b = (np.array([len(sets[i]) for i in x]) for x in (a, b))
+        small, large = np.minimum(size_a[:, None], size_b), np.maximum(size_a[:, None], size_b)
+        wanted = (100 * small >= percent * large) & (roots[a][:, None] != roots[b])
+        if alike is not None:
+            wanted &= alike([registers[i] for i in a], [registers[i] for i in b])
+        if not wanted.any():
+            return []
+        common = _common([sets[i] for i in a], [sets[i] for i in b], wanted)
+        found = wanted & (100 * common >= percent * (size_a[:, None] + size_b - common))
+        # one link of a node to each component is enough
+        return [
+            (nodes[a[x]], nodes[b[y]])
+            for x in np.flatnonzero(found.any(axis=1))
+            for y in {roots[b[y]]: y for y in np.flatnonzero(found[x])}.values()
+        ]
 
     def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        nodes_a, roots_a, regs_a, sets_a = side(table, asks)
-        nodes_b, roots_b, regs_b, sets_b = side(table, ~asks)
-        u, v = [], []
-        if nodes_a and nodes_b:
-            size_a, size_b = (np.array([len(s) for s in x]) for x in (sets_a, sets_b))
-            small, large = np.minimum(size_a[:, None], size_b), np.maximum(size_a[:, None], size_b)
-            wanted = 100 * small >= percent * large
-            wanted &= np.array([[x != y for y in roots_b] for x in roots_a])
-            if alike is not None:
-                wanted &= alike(regs_a, regs_b)
-            common = _common(sets_a, sets_b, wanted)
-            found = wanted & (100 * common >= percent * (size_a[:, None] + size_b - common))
-            for a in np.flatnonzero(found.any(axis=1)):
-                # one link to each component is enough
-                for b in {roots_b[b]: b for b in np.flatnonzero(found[a])}.values():
-                    u.append(nodes_a[a])
-                    v.append(nodes_b[b])
         kind = table.schema.field("node").type
+        nodes = table.column("node").to_pylist()
+        places = {node: i for i, node in enumerate(nodes)}  # one of its rows stands for a node
+        row_of = np.array([places[n] for n in nodes])
+        own = np.unique(row_of)
+        sets: list = [None] * len(nodes)
+        texts = table.column("text").take(pa.array(own)).combine_chunks()
+        for i, found in zip(own, sets_of(texts), strict=True):
+            sets[i] = found
+        registers = table.column("registers").to_pylist()
+        _, roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
+        block, asks = table.column("block").to_numpy(), table.column("asks").to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        out: list[tuple] = []
+        for rows in np.split(order, cuts):
+            a, b = row_of[rows[asks[rows]]], row_of[rows[~asks[rows]]]
+            if len(a) and len(b):
+                out += links(a, b, nodes, roots, sets, registers)
+        u, v = zip(*out, strict=True) if out else ((), ())
         return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind)})
 
     return run
