@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import scratch_dir
 
+BROADCAST_ROWS = 1_000_000  # keys of a few bytes that every executor may hold
+
+
+def held(keys: DataFrame) -> DataFrame:
+    """A table of keys, to be broadcast if its counted rows are few; a plain side of a join beyond.
+
+    It spares the texts on the other side a shuffle, and changes no result.
+    """
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
 
 class Workspace:
     """Tables written once and read by several later steps.
