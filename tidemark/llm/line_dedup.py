@@ -22,7 +22,7 @@ from tidemark.llm import textkit
 from tidemark.llm.linking import linked
 from tidemark.llm.near_dedup import mark
 from tidemark.llm.stars import joined_parts, stars
-from tidemark.llm.workspace import Workspace
+from tidemark.llm.workspace import Workspace, held
 
 SHINGLE = 8
 FAMILIES = 4
@@ -174,14 +174,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     leaders = F.array_distinct(F.array("first_node", "before_node")).alias("leaders")
     members = found.join(sizes, "bucket").select("bucket", "node", leaders, (F.col("size") > 3).alias("open"))
     members = ws.write(members.distinct(), "members")
+    named = ws.write(members.select("node").distinct(), "named")
     pool = ws.write(
         texts.select("text").mapInArrow(_listed, "node long, text string")
-        .join(members.select("node").distinct(), "node", "left_semi")
+        .join(held(named), "node", "left_semi")
         .groupBy("node").agg(F.min("text").alias("text")),
         "pool",
     )
     roots = linked(members, None, pool, char_sets, PERCENT, ws, kind="long")
-    ws.drop(members, pool)
+    ws.drop(members, named, pool)
     places = texts.mapInArrow(_placed, "doc_id long, mark long, line_no int, node long, rest long")
     owned = ws.write(
         places.join(roots, "node", "left").select(

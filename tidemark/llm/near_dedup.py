@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkit
 from tidemark.llm.linking import linked
-from tidemark.llm.workspace import Workspace
+from tidemark.llm.workspace import Workspace, held
 
 REGISTERS = 128
 BAND = 4  # registers of a band; at similarity 0.8 all 32 bands miss with probability 5e-8
@@ -209,9 +209,10 @@ def near_duplicates(
     untested = (F.col("size") > F.size("leaders") + 1).alias("open")
     members = bands.join(shared, "bucket").select("bucket", "node", "leaders", untested)
     members = ws.write(members, "members")
+    named = ws.write(members.select("node").distinct(), "named")
     pool = ws.write(
         texts.mapInArrow(_keyed(shingle_words), "node binary, text string")
-        .join(members.select("node").distinct(), "node", "left_semi")
+        .join(held(named), "node", "left_semi")
         .groupBy("node")
         .agg(F.min("text").alias("text")),
         "pool",
@@ -222,7 +223,7 @@ def near_duplicates(
     roots = linked(
         members, sets, pool, partial(textkit.shingle_sets, k=shingle_words), percent, ws, likely, _alike
     )
-    ws.drop(members, sets, pool)
+    ws.drop(members, sets, named, pool)
     owned = ws.write(
         signed.select("doc_id", "mark", "n_shingles", F.col("set_key").alias("node"))
         .join(roots, "node", "left")
