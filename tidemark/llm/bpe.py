@@ -14,7 +14,7 @@ already have:
 
 The vocabulary is a tokenizer file of the public ``tokenizers`` library, with
 the byte-level pre-tokenizer. A pre-token is encoded by that library once per
-worker and remembered, and so is what follows a single space. A text with a character whose class the two pattern
+task and remembered, and so is what follows a single space. A text with a character whose class the two pattern
 engines see differently is encoded by the library as a whole.
 """
 
@@ -37,7 +37,7 @@ from tidemark.llm.workspace import Workspace
 LEAF = 16_384  # characters of a leaf
 LONG = 512  # characters of a pre-token above which it is encoded by halves
 BACK = 3  # pre-tokens at the end of a left side that its missing neighbour may change
-REMEMBERED = 180_000  # texts in a generation of what a worker remembers
+REMEMBERED = 120_000  # texts in a generation of what a worker remembers
 
 # The byte-level pre-tokenizer's pattern, with the library's white space.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -183,6 +183,12 @@ class Codec:
 
     # joins
 
+    def forget(self) -> None:
+        """Give back what pre-tokens took; a worker outlives its tasks and has other work."""
+        for memo in (self.known, self.spaced):
+            memo.clear()
+            memo.older.clear()
+
     def text_of(self, ids: np.ndarray) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids.tolist()])
 
@@ -319,6 +325,7 @@ def _encoded(spec):
             for part in textkit.groups(batch, "text"):
                 ids = [coder.encode(t or "") for t in part.column("text").to_pylist()]
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": _lists(ids)})
+        coder.forget()
 
     return run
 
@@ -348,6 +355,7 @@ def _leaves(spec):
                         "odd": pa.array(texts, pa.string()),
                     }
                 )
+        coder.forget()
 
     return run
 
