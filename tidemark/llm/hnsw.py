@@ -262,9 +262,12 @@ def nearest(
         F.ceil(F.col("n") / SHARD).alias("shards"),
         F.greatest(F.ceil(F.col("asked") / BLOCK), F.lit(1)).alias("blocks"),
     )
+    tasks = min(2 * (sizes.agg(F.sum("shards")).first()[0] or 1), 20_000)
     dealt = valid.join(sizes, "dim").withColumn("at", F.xxhash64(F.lit(7), "vec_id"))
     shards = (
         dealt.select("dim", F.pmod("at", "shards").alias("shard"), "vec_id", "v")
+        # shards are small but take long: each gets a task, whatever its bytes
+        .repartition(tasks, "dim", "shard")
         .groupBy("dim", "shard")
         .applyInArrow(_built(k + 1), _INDEX)
     )
