@@ -26,6 +26,20 @@ def test_blocks_of_proper_and_broken_markup():
     assert texts("<textarea>no</textarea><select><option>no</select>yes<button>no</button>") == ["yes"]
 
 
+def test_text_behind_odd_markup_stays():
+    assert texts("<html><head><title>x</title><meta a=b><body><article>one<p>two</article>") == ["one", "two"]
+    assert texts("<html><head><title>x</title><article>one</article>") == ["one"]
+    assert texts("<head><style>p{}</style> one <p>two") == ["one", "two"]
+    assert texts("<head><script>x</script></head><p>one") == ["one"]
+    assert texts('<div>a <svg class="i"/>b<svg><title/><path d="M0"/><g/></svg> c</div>d') == ["a", "b", "c", "d"]
+    assert texts("<div>a <math><mi/>hidden</math>b</div>") == ["a", "b"]
+    assert texts("<div>a <svg><g>hidden</svg>b<div/>c") == ["a", "b", "c"]
+    assert texts("<p class=it's>one</p><p>two</p><p class=it's>three</p>") == ["one", "two", "three"]
+    assert texts("<p class=it's>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<p class='it>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<p title=a=\"b>one</p><p>two</p><a title='x > y' href=z>three</a>") == ["one", "two", "three"]
+
+
 def test_paths_and_links():
     (b,) = blocks('<div id=mainMenu class="top nav-bar"><p>x <a href=y>four</a></p></div>')
     assert b.path == ("div", ".main", ".menu", ".top", ".nav", ".bar", "p") and b.linked == 4

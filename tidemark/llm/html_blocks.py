@@ -24,16 +24,22 @@ SIBLINGS = {
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]),
 }
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(["svg", "math"])  # elements in which a tag may close itself
 SCOPES = frozenset("ul ol table tbody thead dl div article section body html".split())
 
+# a quote counts at the start of a value only; one that is never closed is a character
+_VALUE = r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+_ATTRS = rf"(?:[^>=]|{_VALUE}|=)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?P<raw_attrs>{_ATTRS})>(?P<inside>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_VALUES = re.compile(_VALUE)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -56,12 +62,19 @@ def _words(attrs: str) -> list[str]:
     return found
 
 
+def _closed(attrs: str) -> bool:
+    """Whether a tag ends in a slash that is no part of a value."""
+    return attrs.endswith("/") and _VALUES.sub("", attrs).endswith("/")
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks in page order, character references decoded, white space made single spaces.
 
     Comments, scripts, styles and controls of forms are no text. Elements that
     are not closed end where HTML says, or with the element around them; an end
     tag without element only ends the block; an unfinished tag at the end is no text.
+    The head ends at the first element or text that cannot stand in it; within
+    svg and math, and for both, a tag that ends in a slash opens nothing.
     """
     out: list[Block] = []
     names: list[str] = []  # open elements
@@ -84,17 +97,27 @@ def blocks(page: str | None) -> list[Block]:
             state["hidden"] -= name in HIDDEN
         del names[to:], parts[to:]
 
-    for m in _TOKEN.finditer(page or ""):
+    page, at = page or "", 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         text = m["text"]
         if text is not None:
             if text == "<" and m.end() < len(page) and page[m.end()] in "/!?" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
-                break  # a tag that never ends
+                at = page.find(">", at) + 1
+                if not at:
+                    break  # a tag that never ends
+                flush()
+                continue
+            if names[-1:] == ["head"] and text.strip():
+                close(len(names) - 1)
             if not state["hidden"]:
                 pieces.append(text)
                 if state["links"]:
                     state["linked"] += len(text)
             continue
         if m["tag"] is None:
+            if m["raw"] and _closed(m["raw_attrs"]) and not FOREIGN.isdisjoint(names):
+                at = m.start("inside")
             continue
         tag = m["tag"].lower()
         if tag == "br":
@@ -108,8 +131,12 @@ def blocks(page: str | None) -> list[Block]:
                     close(i)
                     break
             continue
+        if names[-1:] == ["head"] and tag not in IN_HEAD:
+            close(len(names) - 1)
         if tag in VOID:
             continue
+        if _closed(m["attrs"]) and (tag in FOREIGN or not FOREIGN.isdisjoint(names)):
+            continue
         if tag in SIBLINGS:
             for i in range(len(names) - 1, -1, -1):
                 if names[i] in SIBLINGS[tag]:
