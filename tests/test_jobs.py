@@ -97,6 +97,33 @@ def test_scores_seals_and_payloads(spark, built):
     assert {r[0] for r in summary.select("model").distinct().collect()} >= {"B0_persistence", "B2_weekly_naive"}
 
 
+def test_an_old_forecast_is_scored_when_its_actual_comes_late(spark):
+    house = Warehouse(spark, scratch_dir(spark, "late"), START)
+    target = START + timedelta(days=1)
+    columns = "forecast_id string, series_key string, run_at_utc timestamp, target_utc timestamp, " + "".join(
+        f"{q} double, " for q in ("point", "q10", "q90", "q025", "q975")
+    ) + "issue_month string"
+    rows = [
+        (f"f{i}", "national", START, at, 1.0, 0.0, 2.0, 0.0, 3.0, at.strftime("%Y-%m"))
+        for i, at in enumerate([target, target + timedelta(days=1), target + timedelta(days=40)])
+    ]
+    spark.createDataFrame(rows, columns).write.partitionBy("issue_month").parquet(
+        house.path("register", "reg_forecast_point")
+    )
+
+    def facts(*matured):
+        spark.createDataFrame(
+            [(at, 5.0, at in matured, False) for *_, at, _, _, _, _, _, _ in rows],
+            "sp_start_utc timestamp, actual double, is_matured boolean, is_permanently_unscoreable boolean",
+        ).write.mode("overwrite").parquet(house.path("marts", "fct_intensity_period"))
+
+    facts(rows[0][3])
+    assert house.score(target + timedelta(days=2)) == 1
+    facts(*(r[3] for r in rows))
+    late = target + timedelta(days=400)
+    assert house.score(late) == 2 and house.score(late) == 0
+
+
 def test_audits_name_what_is_missing(built):
     house, _, _, _ = built
     report = run_audit(house.audit_pack(NOW), house.path("audits", "now"))

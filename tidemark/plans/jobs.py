@@ -176,18 +176,19 @@ class Warehouse:
     def points(self) -> DataFrame:
         return self.table("register", "reg_forecast_point")
 
-    def score(self, as_of: datetime, back_days: int | None = 62) -> int:
+    def score(self, as_of: datetime) -> int:
         """Forecasts whose targets have matured, once each.
 
-        Only the issue months of the last ``back_days`` are read, of forecasts as
-        of scores; None reads all, for an actual that came later than that.
+        Of forecasts as of scores only the issue months that still hold a
+        forecast without a score are read, of any age.
         """
         scale = naive_scale_time(self.facts(), KEYS, instant(as_of))
         points, scores = self.points(), self.table("register", "reg_forecast_score")
-        if back_days is not None:
-            first = F.lit((as_of - timedelta(days=back_days)).strftime("%Y-%m"))
-            points = points.where(F.col("issue_month") >= first)
-            scores = None if scores is None else scores.where(F.col("issue_month") >= first)
+        if scores is not None:
+            ids = ["issue_month", "forecast_id"]
+            waiting = points.select(*ids).join(scores.select(*ids), ids, "left_anti")
+            months = [r["issue_month"] for r in waiting.select("issue_month").distinct().collect()]
+            points, scores = (x.where(F.col("issue_month").isin(months)) for x in (points, scores))
         rows = R.score(points, self.facts(), scale, scores, KEYS).join(
             points.select("forecast_id", "issue_month"), "forecast_id"
         )
