@@ -6,15 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _fresh(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a value differs from the one above; the first does."""
+    out = np.ones(len(column), bool)
+    if len(column) > 1:
+        out[1:] = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
+    return out
+
+
 def _streamed(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None  # the first and the last row of the bucket that is still open
-        begun = False
+        # of the open bucket: its first row, the last row of the node before, and the last row
+        carried = None
+        head = None  # the bucket and the node with which the task begins
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -22,22 +32,21 @@ def _streamed(columns: list[str]):
             if carried is not None:
                 table = pa.concat_tables([carried, table])
             table = table.combine_chunks()
+            table = table.filter(pa.array(np.logical_or.reduce([_fresh(table.column(c)) for c in columns])))
             bucket, node = table.column("bucket").to_numpy(), table.column("node").to_numpy()
-            fresh = np.ones(len(bucket), bool)
-            fresh[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
-            table = table.filter(pa.array(fresh))
-            bucket = bucket[fresh]
-            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            sizes = np.diff(np.append(starts, len(bucket)))
-            first = np.repeat(starts, sizes)
-            emit = np.repeat(sizes > 1, sizes)
-            border = np.zeros(len(bucket), bool)
-            if not begun:  # the bucket may have begun in another task
-                emit[0] = border[0] = begun = True
-            at = np.flatnonzero(emit)
-            yield _pairs(table, columns, at, first[at], np.maximum(at - 1, first[at]), border[at])
-            last = [starts[-1], len(bucket) - 1] if sizes[-1] > 1 else [starts[-1]]
-            carried = table.take(last)
+            places = np.arange(len(bucket))
+            opens = _fresh(table.column("bucket"))
+            first = np.maximum.accumulate(np.where(opens, places, 0))
+            turns = opens | _fresh(table.column("node"))
+            turn = np.maximum.accumulate(np.where(turns, places, 0))  # the first row of the same node
+            head = head or (bucket[0], node[0])
+            border = (bucket == head[0]) & (node == head[1])  # the bucket may have begun in another task
+            starts = np.flatnonzero(opens)
+            several = np.repeat(np.add.reduceat(turns, starts) > 1, np.diff(np.append(starts, len(bucket))))
+            at = np.flatnonzero(border | several & ((turn > first) | opens))
+            yield _pairs(table, columns, at, first[at], np.maximum(turn[at] - 1, first[at]), border[at])
+            end = len(bucket) - 1
+            carried = table.take(sorted({first[end], max(turn[end] - 1, first[end]), end}))
         if carried is not None:  # and may go on in another one
             end, none = np.array([len(carried) - 1]), np.array([0])
             yield _pairs(carried.combine_chunks(), columns, end, none, none, np.array([True]))
@@ -57,13 +66,15 @@ def stars(rows: DataFrame) -> DataFrame:
     """The rows (bucket, node, ...) of buckets of several nodes, each with two others of its bucket.
 
     The other columns follow, as do ``first_`` and ``before_`` versions of all but
-    the bucket: the first row of the bucket and the row before in the order of
-    node (the row itself for the first). bucket and node are longs; of rows
-    equal in both one counts. Rows are dealt in ranges of (bucket, node), so a
-    bucket of a third of all rows is spread over tasks, each of which streams
-    its part with two rows in memory. Where a bucket crosses a border its parts
-    have first rows of their own; a part's first row is then paired with the
-    bucket's first row. ``border`` marks the first and the last row of a task;
+    the bucket: the first row of the bucket and the last row of the node before in
+    the order of all columns (the bucket's first row for its first node). bucket
+    and node are longs; of rows equal in all columns one counts. Each row of a
+    node is paired, but of the bucket's first node its first row stands for all.
+    Rows are dealt in ranges of (bucket, node), so a bucket of a third of all rows
+    is spread over tasks, each of which streams its part with three rows in
+    memory. Where a bucket crosses a border its parts have first rows of their
+    own; the rows of a part's first node are then paired with the bucket's first
+    row. ``border`` marks the rows of the first node of a task and its last row;
     their bucket may have one node only. A row may appear twice. The input is
     read twice, once to find the ranges.
     """
@@ -77,16 +88,16 @@ def stars(rows: DataFrame) -> DataFrame:
     return (
         rows.select(*columns)
         .repartitionByRange("bucket", "node")
-        .sortWithinPartitions("bucket", "node")
+        .sortWithinPartitions(*columns)
         .mapInArrow(_streamed(columns), schema)
     )
 
 
 def joined_parts(found: DataFrame) -> DataFrame:
-    """Rows that pair the first rows of a bucket's parts with the first of all.
+    """Rows that pair the rows of the first node of a bucket's parts with the first of all.
 
-    Every part of a bucket that crosses a border has a row at it, so two rows a
-    task are all that is read.
+    Every part of a bucket that crosses a border has a row at it, so the rows of
+    one node and one row more a task are all that is read.
     """
     columns = [
         c for c in found.columns if not c.startswith(("first_", "before_")) and c not in ("bucket", "border")
@@ -97,7 +108,11 @@ def joined_parts(found: DataFrame) -> DataFrame:
         F.max("first_node").alias("last"),
     )
     crossing = heads.where("last != head.first_node").drop("last")
-    parts = found.select("bucket", *(F.col(f"first_{c}").alias(c) for c in columns)).distinct()
+    parts = (
+        found.select("bucket", *(F.col(f"first_{c}").alias(c) for c in columns))
+        .union(found.where("node = first_node").select("bucket", *columns))
+        .distinct()
+    )
     return (
         parts.join(crossing, "bucket")
         .where("node != head.first_node")
