@@ -44,21 +44,23 @@ def _streamed(columns: list[str]):
             starts = np.flatnonzero(opens)
             several = np.repeat(np.add.reduceat(turns, starts) > 1, np.diff(np.append(starts, len(bucket))))
             at = np.flatnonzero(border | several & ((turn > first) | opens))
-            yield _pairs(table, columns, at, first[at], np.maximum(turn[at] - 1, first[at]), border[at])
+            group = np.cumsum(turns)
+            many = group - group[first] >= 3  # what is carried has three nodes if there were as many
+            yield _pairs(table, columns, at, first[at], np.maximum(turn[at] - 1, first[at]), border[at], many[at])
             end = len(bucket) - 1
             carried = table.take(sorted({first[end], max(turn[end] - 1, first[end]), end}))
         if carried is not None:  # and may go on in another one
             end, none = np.array([len(carried) - 1]), np.array([0])
-            yield _pairs(carried.combine_chunks(), columns, end, none, none, np.array([True]))
+            yield _pairs(carried.combine_chunks(), columns, end, none, none, np.array([True]), np.array([False]))
 
     return run
 
 
-def _pairs(table: pa.Table, columns: list[str], at, first, before, border) -> pa.RecordBatch:
+def _pairs(table: pa.Table, columns: list[str], at, first, before, border, many) -> pa.RecordBatch:
     out = {c: table.column(c).take(at) for c in columns}
     out |= {f"first_{c}": table.column(c).take(first) for c in columns if c != "bucket"}
     out |= {f"before_{c}": table.column(c).take(before) for c in columns if c != "bucket"}
-    table = pa.table(out | {"border": pa.array(border)}).combine_chunks()
+    table = pa.table(out | {"border": pa.array(border), "many": pa.array(many)}).combine_chunks()
     return pa.RecordBatch.from_arrays([c.chunk(0) for c in table.columns], names=table.column_names)
 
 
@@ -75,7 +77,9 @@ def stars(rows: DataFrame) -> DataFrame:
     memory. Where a bucket crosses a border its parts have first rows of their
     own; the rows of a part's first node are then paired with the bucket's first
     row. ``border`` marks the rows of the first node of a task and its last row;
-    their bucket may have one node only. A row may appear twice. The input is
+    their bucket may have one node only. ``many`` marks rows of the fourth and
+    later nodes of a bucket in a task: without them, and without a border, first
+    and before are all pairs of the bucket. A row may appear twice. The input is
     read twice, once to find the ranges.
     """
     columns = ["bucket", "node", *(c for c in rows.columns if c not in ("bucket", "node"))]
@@ -83,7 +87,7 @@ def stars(rows: DataFrame) -> DataFrame:
     schema = T.StructType(
         [T.StructField(c, kinds[c]) for c in columns]
         + [T.StructField(f"{p}_{c}", kinds[c]) for p in ("first", "before") for c in columns if c != "bucket"]
-        + [T.StructField("border", T.BooleanType())]
+        + [T.StructField(c, T.BooleanType()) for c in ("border", "many")]
     )
     return (
         rows.select(*columns)
@@ -100,7 +104,7 @@ def joined_parts(found: DataFrame) -> DataFrame:
     one node and one row more a task are all that is read.
     """
     columns = [
-        c for c in found.columns if not c.startswith(("first_", "before_")) and c not in ("bucket", "border")
+        c for c in found.columns if not c.startswith(("first_", "before_")) and c not in ("bucket", "border", "many")
     ]
     found = found.where("border")
     heads = found.groupBy("bucket").agg(
@@ -120,6 +124,6 @@ def joined_parts(found: DataFrame) -> DataFrame:
             "bucket", *columns,
             *(F.col(f"head.first_{c}") for c in columns),
             *(F.col(f"head.first_{c}").alias(f"before_{c}") for c in columns),
-            F.lit(True).alias("border"),
+            F.lit(True).alias("border"), F.lit(False).alias("many"),
         )
     )
