@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hnsw, html_extract, language, url_filter
+from tidemark.llm import conversations, hnsw, html_extract, language, url_filter
 from tidemark.llm.bpe import decode, digests, encode
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.line_dedup import repeated_lines
@@ -127,3 +127,9 @@ def bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     encoded = encode(_table(spark, sf_dir, "documents"), vocabulary)
     return digests(decode(encoded, vocabulary))
+
+
+@_query("op12_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
