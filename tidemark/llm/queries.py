@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, hnsw, html_extract, language, url_filter
+from tidemark.llm import conversations, hnsw, html_extract, language, toxicity, url_filter
 from tidemark.llm.bpe import decode, digests, encode
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.line_dedup import repeated_lines
@@ -133,3 +133,12 @@ def bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations")
     return conversations.repair(conversations.damage(rows), rows)
+
+
+@_query("op13_toxicity_subwords")
+def toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted"
+    )
