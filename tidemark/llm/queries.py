@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, hnsw, html_extract, language, toxicity, url_filter
+from tidemark.llm import alignment, conversations, hnsw, html_extract, language, toxicity, url_filter
 from tidemark.llm.bpe import decode, digests, encode
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.line_dedup import repeated_lines
@@ -142,3 +142,9 @@ def toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs.select("doc_id", "text"), model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted"
     )
+
+
+@_query("op11_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(_table(spark, sf_dir, "documents"), first, second)
