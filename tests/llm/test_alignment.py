@@ -104,7 +104,7 @@ def test_mixtures(spark, libraries):
 @pytest.mark.parametrize("run, fan", [(alignment.RUN, alignment.FAN), (500, 3), (1, 2)])
 def test_documents_whatever_the_runs(spark, libraries, monkeypatch, run, fan):
     monkeypatch.setattr(alignment, "FAN", fan)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60 if run == 1 else 10**6)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(25 if run == 1 else 10**6)
     docs = docs.union(spark.createDataFrame(ODD, SCHEMA)).repartition(5)
     rows = [tuple(r) for r in docs.collect()]
     # workers read the size of a run from the module they import; so it travels as a default here

@@ -67,7 +67,14 @@ class Pair:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         if any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(len(self.bytes_b))):
             raise ValueError("a piece holds a space behind another character")
+        if not (all(self.bytes_a[i] for i in vocabulary.values()) and all(self.bytes_b)):
+            raise ValueError("a token has no bytes")
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
+        # an id inside a group, at the end of its side, and at the end of a unit
+        self.shown_a, self.shown_b = (
+            [np.array([f"{i}{end}" for i in range(n)], object) for end in ends]
+            for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;\n"))
+        )
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -75,17 +82,60 @@ class Pair:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace(MARK, " ").encode()
 
-    def encode(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of a space and each unit; None where their bytes are not the unit's."""
-        firsts = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """The ids of a space and each unit by both, and whether they spell it; if not, no ids."""
+        firsts = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
         seconds = self.b.encode(units, num_threads=1)
-        for unit, first, second in zip(units, firsts, seconds, strict=True):
-            whole, ids = (" " + unit).encode(), first.ids
-            same = (
-                b"".join([self.bytes_a[i] for i in ids]) == whole
-                and b"".join([self.bytes_b[i] for i in second]) == whole
-            )
-            yield (np.array(ids, np.int64), np.array(second, np.int64)) if same else None
+        wholes = [(" " + u).encode() for u in units]
+        sizes = np.array(list(map(len, wholes)), np.int64)
+        right = np.ones(len(units), bool)
+        for ids, known, widths in ((firsts, self.bytes_a, self.sizes_a), (seconds, self.bytes_b, self.sizes_b)):
+            flat, n = _flat(ids)
+            of_unit = np.add.reduceat(np.append(widths[flat], 0), _begins(n)) * (n > 0)
+            if (of_unit == sizes).all() and b"".join([known[i] for x in ids for i in x]) == b"".join(wholes):
+                continue
+            right &= np.array([b"".join([known[i] for i in x]) == w for x, w in zip(ids, wholes, strict=True)])
+        if not right.all():
+            firsts, seconds = ([x if r else [] for x, r in zip(ids, right, strict=True)] for ids in (firsts, seconds))
+        return firsts, seconds, right
+
+    def align(self, units: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """The groups of each unit as text, None if its bytes differ; the links of all units
+        in order, each (B id, A id) in one number; and of each unit how many tokens of A and B,
+        groups and links it has."""
+        firsts, seconds, right = self.encode(units)
+        (a, n_a), (b, n_b) = _flat(firsts), _flat(seconds)
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        # the token of A that ends where one of B does; a unit ends both
+        meets = np.searchsorted(ends_a, ends_b)
+        last_b = ends_a[np.minimum(meets, len(a) - 1)] == ends_b if len(a) else np.zeros(len(b), bool)
+        last_a = np.zeros(len(a), bool)
+        last_a[meets[last_b]] = True
+        links = (b[last_b] << 32) | a[meets[last_b]]
+        n_links = np.add.reduceat(np.append(last_b, False).astype(np.int64), _begins(n_b)) * (n_b > 0)
+        # the tokens as text, groups in order and A before B in each
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        before_b = np.searchsorted(group_b, group_a)  # tokens of B in groups before one of A
+        through_a = np.searchsorted(group_a, group_b, side="right")
+        parts = np.empty(len(a) + len(b), object)
+        parts[np.arange(len(a)) + before_b] = np.where(last_a, self.shown_a[1][a], self.shown_a[0][a])
+        shown = np.where(last_b, self.shown_b[1][b], self.shown_b[0][b])
+        ends = np.cumsum(n_b)[n_b > 0] - 1
+        shown[ends] = self.shown_b[2][b[ends]]
+        parts[np.arange(len(b)) + through_a] = shown
+        texts = iter("".join(parts.tolist()).split("\n"))
+        groups = [next(texts) if r else None for r in right.tolist()]
+        return groups, links, np.stack([n_a, n_b, n_links, n_links], 1)
+
+
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a row, and how many each row has."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum())), sizes
+
+
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 @lru_cache(maxsize=2)
@@ -93,28 +143,6 @@ def _pair(first: str, second: bytes) -> Pair:
     return Pair(first, second)
 
 
-def aligned(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray, int]:
-    """The groups of two token sequences of the same bytes, as text; their links; how many groups.
-
-    A link is (B id, A id) in one number. Tokens without bytes end where the one
-    before them does, and are linked like any other.
-    """
-    ends_a, ends_b = np.cumsum(pair.sizes_a[a]), np.cumsum(pair.sizes_b[b])
-    common = np.intersect1d(ends_a, ends_b)
-    if len(common) == len(a) == len(b):  # every token is a group
-        groups, links = [f"{x}|{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)], (b << 32) | a
-        return ";".join(groups), links, len(groups)
-    cut_a, cut_b = (np.searchsorted(e, common, side="right").tolist() for e in (ends_a, ends_b))
-    low_a, low_b = (np.searchsorted(e, common, side="left").tolist() for e in (ends_a, ends_b))
-    ids_a, ids_b = a.tolist(), b.tolist()
-    groups, links, at_a, at_b = [], [], 0, 0
-    for x, y, from_a, from_b in zip(cut_a, cut_b, low_a, low_b, strict=True):
-        groups.append(",".join(map(str, ids_a[at_a:x])) + "|" + ",".join(map(str, ids_b[at_b:y])))
-        links += [(v << 32) | u for v in ids_b[from_b:y] for u in ids_a[from_a:x]]
-        at_a, at_b = x, y
-    return ";".join(groups), np.array(links, np.int64), len(groups)
-
-
 # numbers in few bytes
 
 
@@ -143,64 +171,63 @@ def _steps(keys: np.ndarray) -> np.ndarray:
 # the pass over the texts
 
 
+class _Places(dict):
+    """Units and their numbers, in order of arrival."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []  # not yet encoded
+
+    def __missing__(self, unit: str) -> int:
+        self.fresh.append(unit)
+        at = self[unit] = len(self)
+        return at
+
+
 class _Run:
     """The documents of a run: their units, and the facts of each distinct unit."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
-        self.place: dict[str, int] = {}
-        self.fresh: list[str] = []  # units not yet encoded
-        self.fresh_size = 0
+        self.place = _Places()
         self.groups: list[str | None] = []  # None where the bytes differ
-        self.sizes: list[tuple[int, int, int]] = []
-        self.links: list[np.ndarray] = []
+        self.facts = [np.empty((0, 4), np.int64)]
+        self.links = [np.empty(0, np.int64)]
         self.ids: list = []
         self.units: list[np.ndarray] = []
         self.size = 0
 
     def add(self, doc_id, text: str | None) -> None:
-        place, fresh, found = self.place, self.fresh, []
-        for unit in _CUT.split(text) if text else ():
-            at = place.get(unit)
-            if at is None:
-                at = place[unit] = len(place)
-                fresh.append(unit)
-                self.fresh_size += len(unit)
-            found.append(at)
+        place = self.place
+        found = [place[u] for u in _CUT.split(text)] if text else []
         self.ids.append(doc_id)
         self.units.append(np.array(found, np.int32))
         self.size += len(found) + (len(text or "") >> 3)
-        if len(fresh) >= 4096 or self.fresh_size > 1 << 20:
+        if len(place.fresh) >= 4096 or len(text or "") > 1 << 20:
             self.settle()
 
     def settle(self) -> None:
-        for found in self.pair.encode(self.fresh) if self.fresh else ():
-            if found is None:
-                self.groups.append(None)
-                self.sizes.append((0, 0, 0))
-                self.links.append(np.empty(0, np.int64))
-            else:
-                text, links, n = aligned(self.pair, *found)
-                self.groups.append(text)
-                self.sizes.append((len(found[0]), len(found[1]), n))
-                self.links.append(links)
-        self.fresh.clear()
-        self.fresh_size = 0
+        if self.place.fresh:
+            groups, links, facts = self.pair.align(self.place.fresh)
+            self.groups += groups
+            self.links.append(links)
+            self.facts.append(facts)
+            self.place.fresh.clear()
 
     def rows(self, run: int) -> Iterator[pa.RecordBatch]:
         self.settle()
         n = len(self.ids)
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 3)
-        n_links = np.array(list(map(len, self.links)), np.int64)
+        of_unit = np.concatenate(self.facts)
+        n_links = of_unit[:, 3]
+        right = np.array([g is not None for g in self.groups], bool)
         facts, used = [], []
         for units in self.units:
-            texts = [self.groups[u] for u in units.tolist()]
-            if not texts or None in texts:  # a unit's bytes differ, so the text's do
+            if not len(units) or not right[units].all():  # a unit's bytes differ, so the text's do
                 facts.append((0, 0, 0, 0, ""))
                 used.append(units[:0])
                 continue
+            texts = map(self.groups.__getitem__, units.tolist())
             digest = hashlib.sha256(";".join(texts).encode()).hexdigest()
-            facts.append((*sizes[units].sum(axis=0).tolist(), int(n_links[units].sum()), digest))
+            facts.append((*of_unit[units].sum(axis=0).tolist(), digest))
             used.append(units)
         for at in range(0, n, 10_000):
             part = facts[at : at + 10_000]
@@ -213,7 +240,7 @@ class _Run:
         both, often = np.unique(np.concatenate(used).astype(np.int64) * n + doc, return_counts=True) if n else (doc, doc)
         unit, doc = both // max(1, n), both % max(1, n)
         first = np.concatenate([[0], np.cumsum(n_links)])
-        every = np.concatenate([*self.links, np.empty(0, np.int64)])
+        every = np.concatenate(self.links)
         pairs, local = np.unique(every, return_inverse=True)
         # parts by the low bits of the B id, side-major inside
         rank = np.lexsort((pairs, (pairs >> 32) % RADIX))
