@@ -18,7 +18,7 @@ def plain(rows):
     """(doc_id, line_no) -> (group size, first place) of rows with distinct ids and no nulls among them."""
     places, forest = {}, brute.Forest()
     for i, t in rows:
-        for n, line in ld.lines_of(t):
+        for n, line in brute.lines_of(t):
             places.setdefault(line, []).append((i, n))
     sets = {line: chars(line) for line in places}
     by = {}

@@ -20,9 +20,10 @@ engines see differently is encoded by the library as a whole.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -117,6 +118,7 @@ class Codec:
         for token, i in vocab.items():
             known = all(c in alphabet for c in token)
             self.bytes_of[i] = bytes(alphabet[c] for c in token) if known else token.encode()
+        self.shown = [str(i).encode() for i in range(len(self.bytes_of))]
         self._find = regex.compile(_PATTERN).findall
         longest = sorted(self.special, key=len, reverse=True)
         self._marks = regex.compile("|".join(map(regex.escape, longest))) if longest else None
@@ -188,6 +190,7 @@ class Codec:
         for memo in (self.known, self.spaced):
             memo.clear()
             memo.older.clear()
+        textkit.give_back()
 
     def text_of(self, ids: np.ndarray) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids.tolist()])
@@ -318,18 +321,66 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
 
 
-def _encoded(spec):
+Finish = Callable[[Codec, pa.Array, list[np.ndarray]], pa.RecordBatch]
+
+
+def _with_ids(coder: Codec, doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch({"doc_id": doc_ids, "ids": _lists(ids)})
+
+
+def _with_digests(coder: Codec, doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    """Ids, how many, their digest, and that of the text they decode to."""
+    lists = [x.tolist() for x in ids]
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    return pa.record_batch(
+        {
+            "doc_id": doc_ids,
+            "ids": _lists(ids),
+            "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
+            "ids_sha256": pa.array([sha(b",".join([coder.shown[i] for i in x])) for x in lists], pa.string()),
+            "decoded_sha256": pa.array([sha(coder.decode(x).encode()) for x in lists], pa.string()),
+        }
+    )
+
+
+def _encoded(spec, finish: Finish, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(spec.value)
         for batch in batches:
             for part in textkit.groups(batch, "text"):
                 ids = [coder.encode(t or "") for t in part.column("text").to_pylist()]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": _lists(ids)})
+                yield finish(coder, part.column("doc_id"), ids).select(names)
         coder.forget()
 
     return run
 
 
+def _cut(leaf_chars: int):
+    """The leaves of long texts, each cut out once: as many as halving gives, a power of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                n = 1
+                while n * leaf_chars < len(text):
+                    n *= 2
+                for at in range(0, n, 64):
+                    leaves = range(at, min(n, at + 64))
+                    yield pa.record_batch(
+                        {
+                            "row": pa.array([batch.column("row")[i].as_py()] * len(leaves), pa.int64()),
+                            "doc_id": pa.array([batch.column("doc_id")[i].as_py()] * len(leaves), pa.int64()),
+                            "leaf": pa.array(leaves, pa.int64()),
+                            "text": pa.array(
+                                [text[len(text) * k // n : len(text) * (k + 1) // n] for k in leaves], pa.string()
+                            ),
+                        }
+                    )
+
+    return run
+
+
 def _leaves(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(spec.value)
@@ -360,7 +411,7 @@ def _leaves(spec):
     return run
 
 
-def _joined(spec):
+def _joined(spec, finish: Finish, names: list[str]):
     def run(table: pa.Table) -> pa.Table:
         coder = codec(spec.value)
         table = table.sort_by("leaf")
@@ -380,7 +431,8 @@ def _joined(spec):
                 for t, i in zip(odd, ids, strict=True)
             )
             whole = coder.encode(text)
-        return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "ids": _lists([whole])})
+        doc_id = table.column("doc_id").slice(0, 1).combine_chunks()
+        return pa.Table.from_batches([finish(coder, doc_id, [whole]).select(names)])
 
     return run
 
@@ -395,33 +447,45 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", leaf_chars:
     ``leaf_chars`` characters travels as leaves, which different tasks encode,
     and only its ids meet again in one task.
     """
+    return _finished(docs, vocabulary, doc_id, leaf_chars, _with_ids, "doc_id long, ids array<int>")
+
+
+def encode_digests(
+    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", leaf_chars: int = LEAF, keep_ids: bool = False
+) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row's whole text, and ids if asked for.
+
+    ``encode``, ``decode`` and ``digests`` in the worker that has the ids, which
+    then need not leave it. Rows are as ``encode`` has them.
+    """
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema += ", ids array<int>" if keep_ids else ""
+    return _finished(docs, vocabulary, doc_id, leaf_chars, _with_digests, schema)
+
+
+def _finished(docs, vocabulary: str, doc_id: str, leaf_chars: int, finish: Finish, schema: str) -> DataFrame:
     spark = docs.sparkSession
+    textkit.whole_texts(spark)
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     ws = Workspace(spark, "bpe")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string"))
     size = F.length("text")
+    names = [c.split()[0] for c in schema.split(", ")]
     short = texts.where(F.coalesce(size, F.lit(0)) <= leaf_chars)
     long = ws.write(
         texts.where(size > leaf_chars).withColumn("row", F.monotonically_increasing_id()), "long"
     )
-    # as many leaves as halving gives: a power of two
-    n = F.pow(F.lit(2), F.ceil(F.log2(size / leaf_chars))).cast("long")
-    cut = F.floor(size * F.col("leaf") / F.col("n"))
-    following = F.floor(size * (F.col("leaf") + 1) / F.col("n"))
     leaves = (
-        long.withColumn("n", n)
-        .withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        .select("row", "doc_id", "leaf", F.substring("text", cut + 1, following - cut).alias("text"))
+        long.mapInArrow(_cut(leaf_chars), "row long, doc_id long, leaf long, text string")
         .repartition("row", "leaf")
         .mapInArrow(
             _leaves(spec),
             "row long, doc_id long, leaf long, ids binary, starts binary, odd string",
         )
     )
-    schema = "doc_id long, ids array<int>"
-    whole = leaves.groupBy("row").applyInArrow(_joined(spec), schema)
-    return short.mapInArrow(_encoded(spec), schema).union(whole)
+    whole = leaves.groupBy("row").applyInArrow(_joined(spec, finish, names), schema)
+    return short.mapInArrow(_encoded(spec, finish, names), schema).union(whole)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

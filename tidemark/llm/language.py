@@ -26,6 +26,7 @@ DIMENSIONS = 4096
 GRAMS = (1, 2, 3)
 CLUSTERS = 4
 SAMPLE = 300  # labelled rows a language is learnt from
+SHARES = 64  # tasks that choose among the rows of a language
 ROUNDS = 12
 #: A text is rejected below this fraction of the cosine that 1 % of the sample stays below.
 LENIENCE = 0.3
@@ -156,12 +157,12 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         .where(F.crc32("id") % 4 != 2)
         .withColumn("h", F.xxhash64("id", "text"))
     )
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = (
-        labelled.select("lang", "h").distinct()
-        .withColumn("r", F.row_number().over(order))
-        .where(F.col("r") <= SAMPLE)
-    )
+    # the least of each share of the hashes first, so that no task has all rows of a language
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))
+    chosen = labelled.select("lang", "h").distinct().withColumn("share", F.pmod("h", F.lit(SHARES)))
+    for by in (("share",), ()):
+        chosen = chosen.withColumn("r", rank(*by)).where(F.col("r") <= SAMPLE)
+    chosen = chosen.drop("share")
     sample = labelled.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
     rows = sorted((r.lang, r.r, r.text) for r in sample.collect())
     languages = sorted({r[0] for r in rows})
@@ -212,13 +213,15 @@ def classify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in textkit.groups(batch, text, _BLOCK):
-                for at in range(0, part.num_rows, 512):
-                    rows = part.slice(at, 512)
+            for part in textkit.groups(batch, text, limit=_BLOCK):
+                for at in range(0, part.num_rows, 128):
+                    rows = part.slice(at, 128)
                     languages, score, rejected = known.judge(rows.column(text))
                     found = [pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)]
                     yield pa.RecordBatch.from_arrays([*rows.columns, *found], names=schema.names)
+        textkit.give_back()
 
+    textkit.whole_texts(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit
+from tidemark.llm.exact_dedup import _LOWER, _UPPER
 from tidemark.llm.linking import linked
 from tidemark.llm.near_dedup import mark
 from tidemark.llm.stars import joined_parts, stars
@@ -28,17 +29,30 @@ SHINGLE = 8
 FAMILIES = 4
 BINS = 16  # at similarity 0.8 all 16 bands miss with probability 2e-4
 PERCENT = 80
+SEEN = 200_000  # lines a task remembers to have met
 _EMPTY = np.uint32(0xFFFFFFFF)
+_REST = 7  # seeds the second half of a line's hash
 
 _SEED = np.random.default_rng(13)
 _FAMILY = _SEED.integers(0, 2**63, FAMILIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _SEED.integers(0, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def lines_of(text: str | None) -> list[tuple[int, bytes]]:
-    """(number, normalised line) of the lines that are not blank."""
-    stripped = (x.strip(b" \t\n\x0b\x0c\r").lower() for x in (text or "").encode().split(b"\n"))
-    return [(i, x) for i, x in enumerate(stripped) if x]
+_WHITE = " \t\n\x0b\x0c\r"
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """The columns of ``texts`` but the text, and (line_no, line) of each line that is not blank."""
+    kept = [c for c in texts.columns if c != "text"]
+    bare = F.btrim(F.col("raw"), F.lit(_WHITE))
+    # a line of single bytes has no other letters to spare
+    ascii_only = F.octet_length(bare) == F.char_length(bare)
+    line = F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
+    return (
+        texts.select(*kept, F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+        .select(*kept, "line_no", line.alias("line"))
+        .where("line != ''")
+    )
 
 
 def key(line: bytes) -> bytes:
@@ -100,54 +114,26 @@ def bands(every: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from textkit.groups(batch, "text")
-
-
-def _node(line: bytes) -> int:
-    return int.from_bytes(key(line)[:8], "little", signed=True)
-
-
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _groups(batches):
-        lines = list({x: None for t in part.column("text").to_pylist() for _, x in lines_of(t)})
-        if lines:
-            found = bands(*char_shingles(lines))
-            ends = np.arange(0, len(lines) * BINS + 1, BINS, dtype=np.int32)
+    """The bands of the lines of a task, a line again only when it was not met for long."""
+    seen = np.empty(0, np.int64)
+    for batch in batches:
+        for part in textkit.groups(batch, "line"):
+            nodes, at = np.unique(part.column("node").to_numpy(), return_index=True)
+            at = at[~np.isin(nodes, seen, assume_unique=True)]
+            seen = nodes if len(seen) > SEEN else np.union1d(seen, nodes)
+            if not len(at):
+                continue
+            rows = part.take(pa.array(at))
+            found = bands(*char_shingles([x.encode() for x in rows.column("line").to_pylist()]))
+            ends = np.arange(0, len(at) * BINS + 1, BINS, dtype=np.int32)
             yield pa.record_batch(
                 {
-                    "node": pa.array([_node(x) for x in lines], pa.int64()),
+                    "node": rows.column("node"),
                     "bands": pa.ListArray.from_arrays(ends, pa.array(found.ravel())),
                 }
             )
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _groups(batches):
-        lines = list({x: None for t in part.column("text").to_pylist() for _, x in lines_of(t)})
-        yield pa.record_batch(
-            {
-                "node": pa.array([_node(x) for x in lines], pa.int64()),
-                "text": pa.array([x.decode() for x in lines], pa.string()),
-            }
-        )
-
-
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _groups(batches):
-        found = [lines_of(t) for t in part.column("text").to_pylist()]
-        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        keys = np.frombuffer(b"".join([key(x) for doc in found for _, x in doc]), np.int64).reshape(-1, 2)
-        yield pa.record_batch(
-            {
-                "doc_id": part.column("doc_id").take(pa.array(row)),
-                "mark": part.column("mark").take(pa.array(row)),
-                "line_no": pa.array([i for doc in found for i, _ in doc], pa.int32()),
-                "node": pa.array(keys[:, 0]),
-                "rest": pa.array(keys[:, 1]),
-            }
-        )
+    textkit.give_back()
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -166,26 +152,33 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "lines")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string"), mark().alias("mark"))
-    banded = ws.write(texts.select("text").mapInArrow(_banded, "node long, bands array<long>"), "banded")
+    lines = lines_of(texts).withColumns({"node": F.xxhash64("line"), "rest": F.xxhash64(F.lit(_REST), "line")})
+    banded = lines.select("node", "line").mapInArrow(_banded, "node long, bands array<long>")
+    banded = ws.write(banded, "banded")
     found = ws.write(stars(banded.select(F.explode("bands").alias("bucket"), "node")), "found")
     ws.drop(banded)
     found = found.union(joined_parts(found).select(*found.columns))
-    sizes = found.groupBy("bucket").agg(F.countDistinct("node").alias("size")).where("size > 1")
+    sizes = (
+        found.groupBy("bucket")
+        .agg(F.countDistinct("node").alias("size"), F.max("border").alias("crosses"))
+        .where("size > 1")
+    )
     leaders = F.array_distinct(F.array("first_node", "before_node")).alias("leaders")
-    members = found.join(sizes, "bucket").select("bucket", "node", leaders, (F.col("size") > 3).alias("open"))
+    # first and before are all pairs of three nodes, unless a border between tasks parts them
+    untested = ((F.col("size") > 3) | F.col("crosses")).alias("open")
+    members = found.join(sizes, "bucket").select("bucket", "node", leaders, untested)
     members = ws.write(members.distinct(), "members")
     named = ws.write(members.select("node").distinct(), "named")
     pool = ws.write(
-        texts.select("text").mapInArrow(_listed, "node long, text string")
+        lines.select("node", F.col("line").alias("text"))
         .join(held(named), "node", "left_semi")
         .groupBy("node").agg(F.min("text").alias("text")),
         "pool",
     )
     roots = linked(members, None, pool, char_sets, PERCENT, ws, kind="long")
     ws.drop(members, named, pool)
-    places = texts.mapInArrow(_placed, "doc_id long, mark long, line_no int, node long, rest long")
     owned = ws.write(
-        places.join(roots, "node", "left").select(
+        lines.join(roots, "node", "left").select(
             "doc_id", "mark", "line_no",
             F.coalesce("root", "node").alias("root"),
             F.when(F.col("root").isNull(), F.col("rest")).otherwise(F.lit(0)).alias("rest"),

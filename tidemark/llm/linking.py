@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit
@@ -22,7 +22,10 @@ from tidemark.llm.components import components
 from tidemark.llm.workspace import Workspace
 
 BLOCK = 512  # nodes on either side of a block
+LEAST_BLOCK = 16
 PACK = 4096  # rows of the blocks that are settled together, about
+PACK_BYTES = 32 << 20  # and bytes of their texts
+MANY = 16 * PACK  # rows of blocks above which an eighth of the buckets is settled first
 
 Sets = Callable[[pa.Array], list[np.ndarray]]
 
@@ -58,10 +61,21 @@ def linked(
     found = ws.write(_verified(stars, sets, pool, sets_of, percent, likely, kind), "verified")
     roots = components(found, ws)
     ws.drop(found)
+    opened = members.where("open").select("bucket", "node")
+    rows = _unsettled(opened, roots, ws)
+    if _copies(rows) > MANY:
+        # most pairs share many buckets: what an eighth of the buckets connects, the rest need not test
+        eighth = F.pmod(F.xxhash64(F.lit(5), "bucket"), F.lit(8)) == 0
+        roots = _settle(rows.where(eighth), roots, sets, pool, sets_of, percent, alike, ws, kind)
+        ws.drop(rows)
+        rows = _unsettled(opened.where(~eighth), roots, ws)
+    return _settle(rows, roots, sets, pool, sets_of, percent, alike, ws, kind)
+
+
+def _unsettled(opened: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame:
+    """The nodes of the buckets whose nodes are in several components."""
     tagged = ws.write(
-        members.where("open")
-        .join(roots, "node", "left")
-        .select("bucket", "node", F.coalesce("root", "node").alias("root")),
+        opened.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")),
         "tagged",
     )
     split = (
@@ -71,33 +85,65 @@ def linked(
     )
     rows = ws.write(
         tagged.join(split, "bucket").select(
-            "bucket", "node", "root", (F.col("root") != F.col("top.root")).alias("outside"),
-            F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
-            F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int").alias("other_blocks"),
+            "bucket", "node", "root", (F.col("root") != F.col("top.root")).alias("outside"), "size",
+            (F.col("size") - F.col("top.c")).alias("others"),
         ),
         "unsettled",
     )
     ws.drop(tagged)
-    n_rows = rows.count()
-    if not n_rows:
+    return rows
+
+
+def _blocks(n: str, block: int) -> Column:
+    return F.ceil(F.col(n) / block).cast("int")
+
+
+def _copied(block: int) -> Column:
+    """To how many blocks a node goes: all that ask, and if it asks itself, all."""
+    return _blocks("others", block) + F.when(F.col("outside"), _blocks("size", block)).otherwise(0)
+
+
+def _copies(rows: DataFrame) -> int:
+    return rows.agg(F.sum(_copied(BLOCK))).first()[0] or 0
+
+
+def _settle(rows, roots, sets, pool, sets_of, percent, alike, ws, kind) -> DataFrame:
+    """The components after the links between the nodes of every bucket's components.
+
+    Blocks are dealt as keys; a group holds about PACK rows of them and about
+    PACK_BYTES of texts, each text once.
+    """
+    sized = rows.join(pool.select("node", F.octet_length("text").alias("bytes")), "node")
+    n, mean = sized.agg(F.count("*"), F.avg("bytes")).first()
+    if not n:
         return roots
+    block = int(max(LEAST_BLOCK, min(BLOCK, PACK_BYTES // (2 * max(1, mean)))))
+    copies, volume = sized.agg(F.sum(_copied(block)), F.sum(_copied(block) * F.col("bytes"))).first()
+    n_groups = 1 + max(copies // PACK, volume // PACK_BYTES)
     own = F.xxhash64(F.lit(99), "node")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = rows.join(pool, "node")
-    rows = rows.join(sets, "node") if sets else rows.withColumn("registers", F.lit(None).cast("binary"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), _blocks(n, block) - 1))
     grid = (
-        rows.withColumn("j", F.pmod(own, F.col("blocks")).cast("int"))
-        .withColumn("i", all_of("other_blocks")).withColumn("asks", F.lit(False))
+        rows.withColumn("j", F.pmod(own, _blocks("size", block)).cast("int"))
+        .withColumn("i", all_of("others")).withColumn("asks", F.lit(False))
         .unionByName(
-            rows.where("outside").withColumn("i", F.pmod(own, F.col("other_blocks")).cast("int"))
-            .withColumn("j", all_of("blocks")).withColumn("asks", F.lit(True))
+            rows.where("outside").withColumn("i", F.pmod(own, _blocks("others", block)).cast("int"))
+            .withColumn("j", all_of("size")).withColumn("asks", F.lit(True))
         )
     )
     # most blocks are small: many of them make one group, each still by itself
-    block = F.xxhash64("bucket", "i", "j")
+    number = F.xxhash64("bucket", "i", "j")
+    grid = grid.select(
+        F.pmod(number, F.lit(n_groups)).alias("group"), number.alias("block"), "asks", "node", "root"
+    )
+    texts = grid.select(F.col("group").alias("of_group"), F.col("node").alias("of")).distinct()
+    texts = texts.join(pool.withColumnRenamed("node", "of"), "of")
+    if sets:
+        texts = texts.join(sets.select(F.col("node").alias("of"), "registers"), "of")
+    else:
+        texts = texts.withColumn("registers", F.lit(None).cast("binary"))
     links = (
-        grid.select(block.alias("block"), "asks", "node", "root", "registers", "text")
-        .groupBy(F.pmod("block", F.lit(1 + n_rows // PACK)))
+        grid.groupBy("group")
+        .cogroup(texts.select("of_group", F.col("of").alias("node"), "text", "registers").groupBy("of_group"))
         .applyInArrow(_settled(sets_of, percent, alike), f"u {kind}, v {kind}")
     )
     links = ws.write(links.distinct(), "links")
@@ -130,7 +176,7 @@ def _verified(
 def _confirmed(sets_of: Sets, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textkit.groups(batch, "text_a"):
+            for part in textkit.groups(batch, "text_a", "text_b"):
                 first, second = sets_of(part.column("text_a")), sets_of(part.column("text_b"))
                 both = list(zip(first, second, strict=True))
                 common = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in both])
@@ -161,26 +207,25 @@ def _settled(sets_of: Sets, percent: int, alike):
             for y in {roots[b[y]]: y for y in np.flatnonzero(found[x])}.values()
         ]
 
-    def run(table: pa.Table) -> pa.Table:
-        kind = table.schema.field("node").type
-        nodes = table.column("node").to_pylist()
-        places = {node: i for i, node in enumerate(nodes)}  # one of its rows stands for a node
-        row_of = np.array([places[n] for n in nodes])
-        own = np.unique(row_of)
-        sets: list = [None] * len(nodes)
-        texts = table.column("text").take(pa.array(own)).combine_chunks()
-        for i, found in zip(own, sets_of(texts), strict=True):
-            sets[i] = found
-        registers = table.column("registers").to_pylist()
-        _, roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
-        block, asks = table.column("block").to_numpy(), table.column("asks").to_numpy()
+    def run(rows: pa.Table, texts: pa.Table) -> pa.Table:
+        kind = rows.schema.field("node").type
+        nodes = texts.column("node").to_pylist()
+        places = {node: i for i, node in enumerate(nodes)}
+        row_of = np.array([places[n] for n in rows.column("node").to_pylist()], np.int64)
+        sets = sets_of(texts.column("text").combine_chunks()) if nodes else []
+        registers = texts.column("registers").to_pylist()
+        _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
+        roots = np.zeros(len(nodes), np.int64)
+        roots[row_of] = root
+        block, asks = rows.column("block").to_numpy(), rows.column("asks").to_numpy()
         order = np.argsort(block, kind="stable")
         cuts = np.flatnonzero(np.diff(block[order])) + 1
         out: list[tuple] = []
-        for rows in np.split(order, cuts):
-            a, b = row_of[rows[asks[rows]]], row_of[rows[~asks[rows]]]
+        for at in np.split(order, cuts):
+            a, b = row_of[at[asks[at]]], row_of[at[~asks[at]]]
             if len(a) and len(b):
                 out += links(a, b, nodes, roots, sets, registers)
+        textkit.give_back()
         u, v = zip(*out, strict=True) if out else ((), ())
         return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind)})
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import alignment, conversations, hnsw, html_extract, language, toxicity, url_filter
-from tidemark.llm.bpe import decode, digests, encode
+from tidemark.llm.bpe import encode_digests
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.line_dedup import repeated_lines
 from tidemark.llm.mixing import mix
@@ -125,8 +125,7 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_bpe_tree")
 def bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = encode(_table(spark, sf_dir, "documents"), vocabulary)
-    return digests(decode(encoded, vocabulary))
+    return encode_digests(_table(spark, sf_dir, "documents"), vocabulary)
 
 
 @_query("op12_conversation_repair")

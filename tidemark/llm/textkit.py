@@ -7,13 +7,17 @@ give the same words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 PIECE = 1 << 20  # bytes hashed at a time
 GROUP = 4 << 20  # bytes of text whose words are held at a time
+BATCH_ROWS = 1000
 
 _RANDOM = np.random.default_rng(20_240_229)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -56,9 +60,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return chars, rows.astype(np.int64)
 
 
-def groups(batch: pa.RecordBatch, column: str, limit: int = GROUP) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``limit`` bytes of text, one row at least."""
-    _, offsets = flat(batch.column(column))
+def groups(batch: pa.RecordBatch, *columns: str, limit: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``limit`` bytes in some text columns, one row at least."""
+    offsets = sum(flat(batch.column(c))[1] for c in columns)
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
@@ -67,6 +71,20 @@ def groups(batch: pa.RecordBatch, column: str, limit: int = GROUP) -> Iterator[p
         at = to
 
 
+def give_back() -> None:
+    """Return to the system what a task no longer needs; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """Let batches of whole texts have at most BATCH_ROWS rows; both sides hold several at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pieces that end where a word may not continue."""
     at, end = int(offsets[0]), int(offsets[-1])
