@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, language, mixing, near_dedup
-from tidemark.llm.workspace import Workspace
+from tidemark.llm.workspace import Workspace, held
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,10 +34,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts that share four fifths of their five-word shingles."""
     found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    # rows equal in id and mark stay or go together, so the few that go name themselves
+    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    gone = held(Workspace(spark, "gone").write(gone.distinct(), "gone"))
     rows = docs.withColumn("_own_mark", near_dedup.mark())
-    same = rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows["_own_mark"] == kept["_mark"])
-    return rows.join(kept, same, "left_semi").drop("_own_mark")
+    same = rows["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (rows["_own_mark"] == gone["_mark"])
+    return rows.join(gone, same, "left_anti").drop("_own_mark")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every row that the mix takes."""
-    decoded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
-    return bpe.digests(decoded, keep=("ids",))
+    done = bpe.encode_digests(docs, VOCABULARY, keep_ids=True)
+    return done.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
