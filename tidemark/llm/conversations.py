@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCH = 256  # rows searched at a time
+STRETCH = 32  # rows searched at a time
 REMEMBERED = 20_000  # stretches whose paths a worker remembers
 
 # States of the grammar, what each takes, and what an inserted or changed row is there.
