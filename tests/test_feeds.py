@@ -120,9 +120,9 @@ def test_band_audits_and_conflicts(spark):
     low = {r["band"]: (r["min_actual"], r["max_actual"]) for r in band_ranges(rows).collect()}
     assert low == {"low": (11, 15), "moderate": (20, 20), "high": (30, 30)}
     assert band_drift(rows).first()["lowest_high"] == 30
-    clash = conflicts(landing).collect()
-    assert len(clash) == 1 and clash[0]["actuals"] == ["10", "11"]
-    assert clash[0]["ordering_is_ambiguous"]
+    clash = sorted(conflicts(landing).collect(), key=lambda r: r["position"])
+    assert [r["actual"] for r in clash] == ["10", "11"] and [r["versions"] for r in clash] == [2, 2]
+    assert all(r["ordering_is_ambiguous"] for r in clash)
 
 
 def test_lines_and_files_read_alike(spark, tmp_path):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.operators.audits import run_audit
+from tidemark.plans import register as R
 from tidemark.plans.jobs import RegisterError, Warehouse
 from tidemark.session import scratch_dir
 
@@ -140,3 +141,60 @@ def test_tampering_with_a_sealed_month_fails_the_audit(spark, built):
     house.register(forged)
     with pytest.raises(RegisterError, match="no longer match"):
         house.audit_register(NOW + timedelta(days=9))
+    changes = spark.read.parquet(house.path("register", "reg_seal_changes"))
+    assert changes.agg(F.sum(F.col("observed_count") - F.col("sealed_count"))).first()[0] == 1
+    assert changes.count() == 1  # the part of the forged id is named
+    with pytest.raises(RegisterError, match="no longer match"):
+        house.audit_register(NOW + timedelta(days=10), whole=True)
+
+
+def test_an_empty_first_scoring_leaves_no_table(spark, tmp_path):
+    house = Warehouse(spark, scratch_dir(spark, "unscored"), START)
+    house.ingest("ci_intensity", feed(tmp_path / "a", NOW), NOW, "r1", whole=True)
+    house.build(NOW, spark.createDataFrame([], ABSENT))
+    house.calibrate(NOW, "c1")
+    house.issue(NOW)
+    assert house.score(NOW) == 0 and house.table("register", "reg_forecast_score") is None
+    assert house.accuracy().where("n > 0").isEmpty()
+    # a folder without data files, as an earlier version left it, is no table either
+    spark.createDataFrame([], "a int, p string").write.partitionBy("p").parquet(house.path("register", "reg_forecast_score"))
+    assert house.score(NOW) == 0
+
+
+def test_months_wait_only_for_forecasts_that_may_be_scored(spark):
+    points = spark.createDataFrame(
+        [("a", "s", START, "m1"), ("b", "s", START + HALF, "m1"), ("c", "s", START + 2 * HALF, "m2"), ("d", "s", START, "m3")],
+        "forecast_id string, series_key string, target_utc timestamp, issue_month string",
+    )
+    facts = spark.createDataFrame(
+        [("s", START + HALF, True)], "series_key string, sp_start_utc timestamp, is_permanently_unscoreable boolean"
+    )
+    scores = spark.createDataFrame([("a", "m1"), ("d", "m3")], "forecast_id string, issue_month string")
+    assert [r[0] for r in R.waiting_months(points, scores, facts).collect()] == ["m2"]
+
+
+def test_the_build_opens_only_files_of_its_look_back(spark, tmp_path):
+    house = Warehouse(spark, scratch_dir(spark, "zones"), START)
+    absent = spark.createDataFrame([], ABSENT)
+    house.ingest("ci_intensity", feed(tmp_path / "a", NOW), NOW, "r1", whole=True)
+    house.build(NOW, absent)
+    later = NOW + timedelta(days=3)
+    house.ingest("ci_intensity", feed(tmp_path / "b", later), later, "r2", whole=True)
+    every = house.landing("ci_intensity")
+    some = house.landing("ci_intensity", F.lit(NOW - timedelta(days=2)))
+    days = lambda df: {f.split("day=")[1][:10] for f in df.inputFiles()}
+    assert min(days(every)) == "2024-05-10" and min(days(some)) == "2024-05-28"
+    assert some.count() < every.count()
+    house.build(later, absent)
+    order = ["landing_id", "sp_start_utc", "payload"]
+    before = every.select(*order).orderBy("landing_id").collect()
+    facts = sorted(house.facts().drop("day").collect(), key=str)
+    assert house.compact("ci_intensity") == 2 and house.compact("ci_intensity") == 0
+    after = house.landing("ci_intensity")
+    assert after.select(*order).orderBy("landing_id").collect() == before
+    assert len({f.split("batch_id=")[1].split("/")[0] for f in after.inputFiles()}) == 1
+    # the same response again changes nothing after compaction either
+    again = house.ingest("ci_intensity", str(tmp_path / "b"), later + timedelta(minutes=1), "r3", whole=True)
+    assert again.rows_written == 0
+    house.build(later, absent)
+    assert sorted(house.facts().drop("day").collect(), key=str) == facts

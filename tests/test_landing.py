@@ -205,3 +205,38 @@ def test_buckets_and_sessions_stream_like_the_batch(spark):
     out = drained(spark, buckets.sessions(keyed, keys=["k"], late="1 hour"), "append", "outages")
     got = sorted((r["periods"], r["window_to_utc"].replace(tzinfo=UTC)) for r in out.collect())
     assert got == [(2, at(12)), (3, at(3))]
+
+
+def test_compaction_survives_a_failure_at_any_step(spark, monkeypatch):
+    out = scratch_dir(spark, "compacted")
+    for i, (day, p) in enumerate([(0, "A"), (1, "B"), (2, "C")]):
+        land.land_batch(spark, out, rows(spark, [(i, 48 * day, p, i)]), KEYS, i)
+    before = kept(land.read_landing(spark, out))
+
+    def fails(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # rows written, zones not
+        m.setattr(land, "_zone", fails)
+        with pytest.raises(RuntimeError):
+            land.compact(spark, out)
+    assert kept(land.read_landing(spark, out)) == before
+    with monkeypatch.context() as m:  # zones written, nothing deleted
+        calls = []
+        m.setattr(land, "_delete", lambda s, f: calls.append(f) if not calls else fails())
+        with pytest.raises(RuntimeError):
+            land.compact(spark, out)
+    assert kept(land.read_landing(spark, out)) == before
+    land.land_batch(spark, out, rows(spark, [(9, 0, "D", 9)]), KEYS, land.next_batch_id(spark, out))
+    assert land.compact(spark, out) == 2
+    assert kept(land.read_landing(spark, out)) == sorted([*before, (9, "D")])
+    assert len(land._batch_ids(spark, out)) == 1
+
+
+def test_a_batch_without_zones_is_read_whole(spark):
+    out = scratch_dir(spark, "zoneless")
+    land.land_batch(spark, out, rows(spark, [(1, 0, "A", 1)]), KEYS, 0)
+    land.land_batch(spark, out, rows(spark, [(2, 48, "B", 2)]), KEYS, 1)
+    land._delete(spark, [f"{out}/_zones/zone-0"])
+    assert kept(land.read_landing(spark, out)) == [(1, "A"), (2, "B")]
+    assert land.compact(spark, out) == 2 and kept(land.read_landing(spark, out)) == [(1, "A"), (2, "B")]

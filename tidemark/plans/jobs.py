@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config as C
@@ -54,11 +54,11 @@ class Warehouse:
         return f"{self.root}/{layer}/{table}"
 
     def table(self, layer: str, name: str) -> DataFrame | None:
-        path = self.path(layer, name)
-        return self.spark.read.parquet(path) if S.exists(self.spark, path) else None
+        return S.stored(self.spark, self.path(layer, name))
 
-    def landing(self, source: str) -> DataFrame:
-        return land.read_landing(self.spark, self.path("landing", C.SOURCES[source].table))
+    def landing(self, source: str, since: Column | None = None) -> DataFrame:
+        """The landed rows of a source; with ``since`` only files that reach so far are opened."""
+        return land.read_landing(self.spark, self.path("landing", C.SOURCES[source].table), since)
 
     def spine(self, as_of: datetime) -> DataFrame:
         return spine(self.spark, self.spine_start, as_of)
@@ -95,10 +95,12 @@ class Warehouse:
     def build(self, as_of: datetime, absent: DataFrame) -> None:
         """T-1, T-2: the marts, rebuilt over their look-back window only."""
         now = instant(as_of)
-        staged = ST.stg_intensity(self.landing("ci_intensity"))
-        self._upsert("fct_intensity_period", M.fct_intensity_period(staged, absent, now), now)
+        self._upsert(
+            "fct_intensity_period", "ci_intensity",
+            lambda rows: M.fct_intensity_period(ST.stg_intensity(rows), absent, now), now,
+        )
         if S.exists(self.spark, self.path("landing", "lnd_ci_genmix")):
-            self._upsert("fct_mix_wide", M.mix_wide(ST.stg_genmix(self.landing("ci_genmix"))), now)
+            self._upsert("fct_mix_wide", "ci_genmix", lambda rows: M.mix_wide(ST.stg_genmix(rows)), now)
         if S.exists(self.spark, self.path("landing", "lnd_om_vintage")):
             hours = M.fct_weather_hour(ST.stg_weather(self.landing("om_vintage")))
             S.upsert(
@@ -107,10 +109,15 @@ class Warehouse:
                 ["location_id", "hour_start_utc"], "day",
             )
 
-    def _upsert(self, name: str, rows: DataFrame, now) -> None:
-        stored = self.table("marts", name)
+    def _upsert(self, name: str, source: str, made: Callable[[DataFrame], DataFrame], now) -> None:
+        """A mart over its look-back window, from the landing files that reach into it."""
+        stored, since = self.table("marts", name), None
         if stored is not None:
-            rows = rows.where(F.col(TIME) >= M.incremental_since(stored, now))
+            since = stored.select(M.incremental_since(stored, now).alias("since")).first()
+            since = F.lit(since["since"]).cast("timestamp") if since and since["since"] else None
+        rows = made(self.landing(source, since))
+        if since is not None:
+            rows = rows.where(F.col(TIME) >= since)
         S.upsert(
             self.spark, self.path("marts", name), rows.withColumn("day", F.to_date(TIME)),
             [TIME], "day",
@@ -185,45 +192,63 @@ class Warehouse:
         scale = naive_scale_time(self.facts(), KEYS, instant(as_of))
         points, scores = self.points(), self.table("register", "reg_forecast_score")
         if scores is not None:
-            ids = ["issue_month", "forecast_id"]
-            waiting = points.select(*ids).join(scores.select(*ids), ids, "left_anti")
-            months = [r["issue_month"] for r in waiting.select("issue_month").distinct().collect()]
-            points, scores = (x.where(F.col("issue_month").isin(months)) for x in (points, scores))
-        rows = R.score(points, self.facts(), scale, scores, KEYS).join(
-            points.select("forecast_id", "issue_month"), "forecast_id"
-        )
+            months = written(R.waiting_months(points, scores, self.facts(), KEYS), "months")
+            points, scores = (S.within(x, months, "issue_month") for x in (points, scores))
+        rows = R.score(points, self.facts(), scale, scores, KEYS, carry=["issue_month"])
         return S.append_counted(
             rows, self.path("register", "reg_forecast_score"), partition_by=["issue_month"]
         )
 
     def seal(self, as_of: datetime) -> int:
-        """seals of months that have closed since."""
+        """seals of months that have closed since, and the tree of each for later audits."""
         stored = self.table("register", "reg_forecast_seal")
-        rows = R.seal_new_months(self.points(), stored, instant(as_of))
+        rows = written(R.seal_new_months(self.points(), stored, instant(as_of)), "seals")
+        month = F.to_date(F.date_trunc("month", "run_at_utc"))
+        mine = self.points().withColumn("period_month", month)
+        tree = R.seal_tree(mine.join(rows, "period_month", "left_semi"))
+        # the tree first: a seal without one would never get it
+        S.append_new(
+            self.spark, tree, self.path("register", "reg_seal_tree"),
+            ["period_month", "level", "day", "part"],
+        )
         return S.append_counted(rows, self.path("register", "reg_forecast_seal"))
 
-    def audit_register(self, as_of: datetime) -> None:
-        """every outcome is stored before a mismatch fails the job."""
-        seals = self.table("register", "reg_forecast_seal")
+    def audit_register(self, as_of: datetime, whole: bool = False) -> None:
+        """every outcome is stored before a mismatch fails the job.
+
+        Only parts of sealed months that moved are hashed again, and those that
+        differ are stored by name; ``whole`` hashes everything, by ``audit_seals``.
+        """
+        seals, tree = (self.table("register", n) for n in ("reg_forecast_seal", "reg_seal_tree"))
         if seals is None:
             return
+        now = instant(as_of)
+        if whole or tree is None:
+            rows = R.audit_seals(self.points(), seals).select("period_month", "passed")
+        else:
+            rows = R.audit_tree(self.points(), tree).select("period_month", "passed")
+            parts = R.changed_parts(self.points(), tree).withColumn("checked_at_utc", now)
+            S.append_counted(parts, self.path("register", "reg_seal_changes"))
         path = self.path("register", "reg_seal_audit")
-        rows = R.audit_seals(self.points(), seals).withColumn("checked_at_utc", instant(as_of))
-        rows.write.mode("append").parquet(path)
-        failed = self.spark.read.parquet(path).where(
-            (F.col("checked_at_utc") == instant(as_of)) & ~F.col("passed")
-        )
+        rows.withColumn("checked_at_utc", now).write.mode("append").parquet(path)
+        failed = self.spark.read.parquet(path).where((F.col("checked_at_utc") == now) & ~F.col("passed"))
         if not failed.isEmpty():
             raise RegisterError("sealed months no longer match the register")
 
+    def compact(self, source: str) -> int:
+        """The batches of a source's landing as one, ids kept; returns how many there were."""
+        return land.compact(self.spark, self.path("landing", C.SOURCES[source].table))
+
     def finish(self) -> int:
         """Delete what the jobs so far left in scratch folders; results lie elsewhere."""
         return clear_scratch(self.spark)
 
     # ---- reports ------------------------------------------------------------
     def accuracy(self) -> DataFrame:
-        scores = self.table("register", "reg_forecast_score").drop("issue_month")
-        return R.live_accuracy(self.points(), scores, KEYS)
+        scores = self.table("register", "reg_forecast_score")
+        if scores is None:
+            scores = self.spark.createDataFrame([], R.SCORE)
+        return R.live_accuracy(self.points(), scores.drop("issue_month"), KEYS)
 
     def publish(self, out: str, as_of: datetime, commit: str) -> dict[str, str]:
         """The payloads a page reads."""

@@ -12,6 +12,8 @@ from tidemark.functions.metrics import pinball_loss
 from tidemark.functions.scalar import horizon_group
 from tidemark.operators.joins import scored_rows, unscored
 from tidemark.operators.ordering import TIME
+from tidemark.session import written
+from tidemark.sources.tables import within
 
 GRAIN = ("model_version", "run_at_utc", "target_utc")
 
@@ -56,8 +58,31 @@ def pending_scores(points, facts, scores=None, keys=("series_key",)) -> DataFram
     return waiting.join(ready, [*keys, "target_utc"])
 
 
-def score(points, facts, scale, scores=None, keys=("series_key",)) -> DataFrame:
-    """a score per matured forecast, once ever.
+#: The columns of a score.
+SCORE = (
+    "forecast_id string, actual double, abs_error double, sq_error double, pinball_10 double, "
+    "pinball_90 double, in_80_interval boolean, in_95_interval boolean, scale double"
+)
+
+
+def waiting_months(points, scores, facts, keys=("series_key",), month="issue_month") -> DataFrame:
+    """The issue months that hold a forecast which has no score and may get one.
+
+    Counts per month come first, which read no other column; ids are compared
+    only in months whose counts differ. A forecast whose target can never be
+    scored is not waited for.
+    """
+    forecasts = points.groupBy(month).agg(F.count(F.lit(1)).alias("__n"))
+    scored = scores.groupBy(month).agg(F.count(F.lit(1)).alias("__s"))
+    unequal = forecasts.join(scored, month, "left").where("__n > coalesce(__s, 0)").select(month)
+    never = facts.where("is_permanently_unscoreable").select(*keys, F.col(TIME).alias("target_utc"))
+    here = within(points, unequal, month).select(*keys, "target_utc", "forecast_id", month)
+    waiting = here.join(within(scores, unequal, month).select("forecast_id"), "forecast_id", "left_anti")
+    return waiting.join(never, [*keys, "target_utc"], "left_anti").select(month).distinct()
+
+
+def score(points, facts, scale, scores=None, keys=("series_key",), carry=()) -> DataFrame:
+    """a score per matured forecast, once ever, with columns to ``carry`` from the forecast.
 
     Null intervals give null flags and null pinball losses. ``scale`` has one
     MASE denominator per key.
@@ -77,6 +102,7 @@ def score(points, facts, scale, scores=None, keys=("series_key",)) -> DataFrame:
         a.between(F.col("q10"), F.col("q90")).alias("in_80_interval"),
         a.between(F.col("q025"), F.col("q975")).alias("in_95_interval"),
         F.round("scale", 4).alias("scale"),
+        *carry,
     )
 
 
@@ -234,6 +260,109 @@ def month_seals(
     return seals.withColumn("algorithm", F.lit(algorithm))
 
 
+# ---- the stored tree (A25, F25) ----------------------------------------------
+def tree_rows(points: DataFrame, period: Column | None = None) -> DataFrame:
+    """The rows of a seal, each with the part of its day it belongs to."""
+    period = period if period is not None else F.date_trunc("month", "run_at_utc")
+    return points.select(
+        F.to_date(period).alias("period_month"),
+        F.to_date("run_at_utc").alias("day"),
+        F.substring(F.sha2("forecast_id", 256), 1, 4).alias("part"),
+        "forecast_id",
+        F.lower("row_hash").alias("h"),
+    )
+
+
+def _in_order(hashes: str, order: str) -> Column:
+    return F.expr(f"sha2(listagg({hashes}, '') within group (order by {order}), 256)")
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """What shows cheaply that a part moved: its count, its newest id and a sum free of order."""
+    return rows.groupBy("period_month", "day", "part").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.max("forecast_id").alias("newest_id"),
+        F.bit_xor(F.xxhash64("forecast_id", "h")).alias("mark"),
+    )
+
+
+def seal_tree(points: DataFrame, period: Column | None = None) -> DataFrame:
+    """The seal of every period as a table of its levels.
+
+    A row a part (level ``part``), a day and a period (``month``), each with its
+    hash, count and, for parts, newest id and mark. The periods' hashes are those
+    of ``month_seals`` by "tree". An audit reads it to hash again only what moved.
+    """
+    rows = tree_rows(points, period)
+    hashed = rows.groupBy("period_month", "day", "part").agg(_in_order("h", "forecast_id").alias("hash"))
+    parts = hashed.join(_marks(rows), ["period_month", "day", "part"])
+    return _levels(written(parts, "parts"))
+
+
+def _levels(parts: DataFrame) -> DataFrame:
+    """Days and periods above hashed parts, and the parts."""
+    total = F.sum("row_count").alias("row_count")
+    days = parts.groupBy("period_month", "day").agg(total, _in_order("hash", "part").alias("hash"))
+    months = days.groupBy("period_month").agg(total, _in_order("hash", "day").alias("hash"))
+    out = parts.withColumn("level", F.lit("part"))
+    for level, rows in (("day", days), ("month", months)):
+        out = out.unionByName(rows.withColumn("level", F.lit(level)), allowMissingColumns=True)
+    return out.select(
+        "period_month", "level", "day", "part", "row_count", "newest_id", "mark", "hash"
+    )
+
+
+def changed_parts(points: DataFrame, tree: DataFrame, period: Column | None = None) -> DataFrame:
+    """the parts of sealed periods that are no longer as sealed, with what was and what is.
+
+    Parts are compared by count, newest id and mark, one hash aggregate without
+    a sort; only the rows of parts where one of them moved are put in order and
+    hashed. A part that was lost, or that is new in a sealed period, counts too.
+    """
+    grain = ["period_month", "day", "part"]
+    sealed = tree.where("level = 'part'")
+    periods = sealed.select("period_month").distinct()
+    rows = tree_rows(points, period).join(periods, "period_month", "left_semi")
+    was = sealed.select(*grain, *[F.col(c).alias(f"sealed_{c}") for c in ("row_count", "newest_id", "mark", "hash")])
+    both = _marks(rows).join(was, grain, "full")
+    same = [F.col(c).eqNullSafe(F.col(f"sealed_{c}")) for c in ("row_count", "newest_id", "mark")]
+    moved = written(both.where(~(same[0] & same[1] & same[2])), "moved")
+    again = (
+        rows.join(moved.select(*grain), grain, "left_semi")
+        .groupBy(*grain).agg(_in_order("h", "forecast_id").alias("hash"))
+    )
+    return (
+        moved.join(again, grain, "left")
+        .where(~F.col("hash").eqNullSafe(F.col("sealed_hash")))
+        .select(
+            *grain,
+            F.coalesce("sealed_row_count", F.lit(0).cast("long")).alias("sealed_count"),
+            F.coalesce("row_count", F.lit(0).cast("long")).alias("observed_count"),
+            "sealed_hash",
+            F.col("hash").alias("observed_hash"),
+        )
+    )
+
+
+def audit_tree(points: DataFrame, tree: DataFrame, period: Column | None = None) -> DataFrame:
+    """the outcome for every sealed period, and how many of its parts differ."""
+    changed = changed_parts(points, tree, period).groupBy("period_month").agg(
+        F.count(F.lit(1)).alias("changed_parts"),
+        F.sum(F.col("observed_count") - F.col("sealed_count")).alias("more_rows"),
+    )
+    sealed = tree.where("level = 'month'").select(
+        "period_month", F.col("hash").alias("seal_hash"), F.col("row_count").alias("expected_count")
+    )
+    none = F.lit(0).cast("long")
+    return (
+        sealed.join(changed, "period_month", "left")
+        .withColumn("changed_parts", F.coalesce("changed_parts", none))
+        .withColumn("observed_count", F.col("expected_count") + F.coalesce("more_rows", none))
+        .withColumn("passed", F.col("changed_parts") == 0)
+        .drop("more_rows")
+    )
+
+
 def seal_new_months(
     points: DataFrame, seals: DataFrame | None, as_of: Column, algorithm: str = "tree"
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from tidemark.operators import asof, joins as J, ordering as O
 from tidemark.plans import backtest as B
 from tidemark.plans import calibrate as CAL
 from tidemark.plans import features as FT
+from tidemark.plans import quantile as QB
 from tidemark.plans import train as TR
 from tidemark.queries.common import AS_OF, GROUP, query
 from tidemark.session import scratch_dir
@@ -629,6 +630,71 @@ def f16(t):
     return TR.issue_model(model, held.withColumn("run_at_utc", F.col("origin_utc")), KEYS)
 
 
+_GRADIENTS = """WITH r AS (SELECT CAST(actual AS DOUBLE) AS y, CAST(benchmark AS DOUBLE) AS b,
+      CAST(hour(sp_start_utc) * 2 + minute(sp_start_utc) // 30 AS INTEGER) AS slot,
+      CAST(isodow(sp_start_utc) AS INTEGER) AS dow FROM panel
+      WHERE actual IS NOT NULL AND benchmark IS NOT NULL),
+    e AS (SELECT level, slot, dow, q - CAST(y <= (CASE level WHEN 0 THEN b ELSE b * 1.5 END) AS INTEGER) AS g
+      FROM r, (VALUES (0, CAST(0.1 AS DOUBLE)), (1, CAST(0.9 AS DOUBLE))) l(level, q)),
+    h AS (SELECT level, 0 AS node, feature, bin, count(*) AS n, sum(g) AS gradient FROM (
+      SELECT level, 0 AS feature, slot AS bin, g FROM e UNION ALL SELECT level, 1, dow, g FROM e)
+      GROUP BY ALL)"""
+
+
+def gradients(t):
+    """The first histogram of two levels over the panel, predicted by its benchmark and by half more."""
+    b, at = F.col("benchmark").cast("double"), "sp_start_utc"
+    rows = t.panel().where("actual is not null and benchmark is not null").select(
+        F.col("actual").cast("double").alias("y"),
+        F.array(b, b * 1.5).alias("preds"),
+        F.array(F.lit(0), F.lit(0)).alias("nodes"),
+        F.array(
+            (F.hour(at) * 2 + F.floor(F.minute(at) / 30)).cast("int"), (F.weekday(at) + 1).cast("int")
+        ).alias("bins"),
+    )
+    return QB.gradient_histogram(rows, {"q10": 0.1, "q90": 0.9})
+
+
+@query(
+    "f12_gradient_histogram",
+    "panel",
+    f"{_GRADIENTS} SELECT level, node, feature, bin, n, round(gradient, 6) AS gradient FROM h",
+)
+def f12_histogram(t):
+    return gradients(t).withColumn("gradient", F.round("gradient", 6))
+
+
+@query(
+    "f12_best_splits",
+    "panel",
+    f"""{_GRADIENTS}, c AS (SELECT *, sum(n) OVER up AS nl, sum(gradient) OVER up AS gl,
+        sum(n) OVER (PARTITION BY level, feature) AS nt,
+        sum(gradient) OVER (PARTITION BY level, feature) AS gt FROM h
+      WINDOW up AS (PARTITION BY level, feature ORDER BY bin)),
+    s AS (SELECT level, node, feature, bin,
+      round(gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt, 6) AS gain
+      FROM c WHERE nl >= 5 AND nt - nl >= 5)
+    SELECT level, node, feature, bin, round(gain, 4) AS gain FROM s WHERE gain > 0
+    QUALIFY row_number() OVER (PARTITION BY level, node ORDER BY gain DESC, feature, bin) = 1""",
+)
+def f12_splits(t):
+    return QB.best_splits(gradients(t), 5).withColumn("gain", F.round("gain", 4))
+
+
+@query("f12_quantile_boosting")
+def f12_quantiles(t):
+    """Pinball loss and coverage on unseen issue times, of boosted quantiles and of residual bands."""
+    bands, held = trained(t)
+    rows = t.stored("features", lambda: dataset(t)).where(
+        F.col("origin_utc") < F.lit("2024-01-20").cast("timestamp")
+    )
+    model = QB.fit_quantiles(rows, FT.feature_columns(rows), rounds=4, bins=8, min_leaf=5, rate=0.4)
+    named = lambda df, name: TR.interval_report(df.where("y is not null")).withColumn("method", F.lit(name))
+    return named(model.predict(held), "boosted_quantiles").unionByName(
+        named(bands.forecast(held), "residual_bands")
+    )
+
+
 @query("s15_model_artefact")
 def s15(t):
     """The model stored and read back, and its holdout accuracy from the stored copy."""

@@ -11,7 +11,7 @@ from tidemark.plans import planner as P
 from tidemark.plans import register as R
 from tidemark.plans import status as ST
 from tidemark.queries.common import AS_OF, GROUP, query
-from tidemark.session import scratch_dir
+from tidemark.session import scratch_dir, written
 from tidemark.sources import payloads, runlog
 
 _ID = """series_key || '|' || model_version || '|' || strftime(run_at_utc, '%Y-%m-%d %H:%M:%S')
@@ -286,6 +286,47 @@ def f25_audit(t):
     return R.audit_seals(rows.where(~lost), seals, day).drop("expected_hash", "observed_hash")
 
 
+@query(
+    "a25_seal_tree",
+    "landing",
+    f"""WITH p AS (SELECT CAST(run_at AS DATE) AS period_month, CAST(run_at AS DATE) AS day,
+        substring(sha256(id), 1, 4) AS part, count(*) AS row_count, max(id) AS newest_id,
+        sha256(string_agg(h, '' ORDER BY id)) AS hash FROM ({_LANDED}) GROUP BY 1, 2, 3),
+      d AS (SELECT period_month, day, sum(row_count) AS row_count,
+        sha256(string_agg(hash, '' ORDER BY part)) AS hash FROM p GROUP BY 1, 2)
+    SELECT period_month, 'part' AS level, day, part, row_count, newest_id, hash FROM p
+    UNION ALL SELECT period_month, 'day', day, NULL, CAST(row_count AS BIGINT), NULL, hash FROM d
+    UNION ALL SELECT period_month, 'month', NULL, NULL, CAST(sum(row_count) AS BIGINT), NULL,
+      sha256(string_agg(hash, '' ORDER BY day)) FROM d GROUP BY 1""",
+)
+def a25_levels(t):
+    """The levels of the day seals; the mark is a sum that SQL elsewhere has not."""
+    return R.seal_tree(sealed_rows(t), F.date_trunc("day", "run_at_utc")).drop("mark")
+
+
+@query(
+    "f25_changed_parts",
+    "landing",
+    """SELECT period_month, day, part, sealed_count, observed_count FROM (
+      SELECT CAST(fetched_at_utc AS DATE) AS period_month, CAST(fetched_at_utc AS DATE) AS day,
+      substring(sha256(lpad(CAST(landing_id AS VARCHAR), 12, '0')), 1, 4) AS part,
+      count(*) AS sealed_count,
+      count(*) FILTER (WHERE NOT (day(fetched_at_utc) % 5 = 0 AND landing_id % 7 = 0)) AS observed_count,
+      count(*) FILTER (WHERE day(fetched_at_utc) % 3 = 0 AND landing_id % 11 = 0
+        AND NOT (day(fetched_at_utc) % 5 = 0 AND landing_id % 7 = 0)) AS rewritten
+    FROM landing GROUP BY ALL) WHERE observed_count < sealed_count OR rewritten > 0""",
+)
+def f25_parts(t):
+    """Of sealed rows some were lost and the hashes of others rewritten, counts and ids unmoved."""
+    rows, day = sealed_rows(t), F.date_trunc("day", "run_at_utc")
+    tree = written(R.seal_tree(rows, day), "tree")
+    at, number = F.dayofmonth("run_at_utc"), F.col("forecast_id").cast("long")
+    left = rows.where(~((at % 5 == 0) & (number % 7 == 0)))
+    forged = F.when((at % 3 == 0) & (number % 11 == 0), F.sha2("row_hash", 256)).otherwise(F.col("row_hash"))
+    found = R.changed_parts(left.withColumn("row_hash", forged), tree, day)
+    return found.drop("sealed_hash", "observed_hash")
+
+
 # ---- planner ----------------------------------------------------------------
 def champion_now(t):
     return R.current_forecast(t.points(), t.registry())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None if there is none or it holds no data file yet."""
+    if not exists(spark, path):
+        return None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise
+
+
 def one_per_grain(df: DataFrame, grain: Sequence[str]) -> DataFrame:
     """The least row of each grain, by all other columns in order."""
     rest = [c for c in df.columns if c not in grain]
@@ -90,12 +103,13 @@ def append_counted(
     """Append a summary, and refuse one with an unexpected row count.
 
     The rows are computed once, beside the table, counted there and then appended.
+    No rows leave the table as it is, or absent.
     """
     ready = written(df, "counted")
     rows = ready.count()
     if expected is not None and rows != expected:
         raise ValueError(f"{rows} rows to store, expected {expected}")
-    if rows or not exists(df.sparkSession, path):
+    if rows:  # an empty partitioned table would have no schema to be read by
         ready.write.mode("append").partitionBy(*partition_by).parquet(path)
     return rows
 
@@ -119,7 +133,7 @@ def upsert(
         updates.write.mode("overwrite").partitionBy(partition).parquet(path)
         return
     updates = written(updates, "updates")  # read three times below
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(updates.schema).parquet(path)
     touched = within(stored, updates, partition)
     result = merged(touched.select(*updates.columns), updates, keys)
     (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.versions import insert_if_changed, with_landing_ids
@@ -32,9 +32,12 @@ def land_batch(
     if "landing_id" not in batch.columns:
         shape = shape.withColumn("landing_id", F.lit(0).cast("long"))
     stored = None
-    if exists(spark, path) and any(i < batch_id for i in _batch_ids(spark, path)):
-        held = spark.read.schema(shape.schema).option("basePath", path).parquet(path)
-        stored = held.where(F.col("batch_id") < batch_id).drop("batch_id")
+    if exists(spark, path):
+        span = batch.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+        earlier = [f for f in live_folders(spark, path, F.lit(span["lo"]), F.lit(span["hi"])) if _number(f) < batch_id]
+        if earlier:
+            held = spark.read.schema(shape.schema).option("basePath", path).parquet(*earlier)
+            stored = held.drop("batch_id")
     fresh = batch if stored is None else insert_if_changed(stored, batch, keys, time)
     if "landing_id" not in batch.columns:
         fresh = with_landing_ids(fresh, F.lit(batch_id << ID_BITS), keys)
@@ -44,15 +47,128 @@ def land_batch(
     dated.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
         "day"
     ).parquet(target)
+    _zone(spark, path, batch_id, shape, time)
     return seen.get["n"]
 
 
-def _batch_ids(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+# ---- zone map -----------------------------------------------------------------
+_ZONE = "batch_id long, day date, least timestamp, greatest timestamp, rows long, replaces array<long>"
+
+
+def _zone(
+    spark: SparkSession, path: str, batch_id: int, shape: DataFrame, time: str, replaces: Sequence[int] = ()
+) -> None:
+    """Write what a stored batch holds: the least and greatest period of each of its days.
+
+    The map has a folder a batch, so a replay rewrites its own; a batch without
+    rows has one row without a day. A compacted batch names those it replaces.
+    """
+    folder = f"{path}/batch_id={batch_id}"
+    held = spark.read.schema(shape.schema).option("basePath", path).parquet(folder)
+    gone = F.array(*[F.lit(i).cast("long") for i in replaces]).cast("array<long>")
+    zones = held.groupBy("day").agg(
+        F.min(time).alias("least"), F.max(time).alias("greatest"), F.count(F.lit(1)).alias("rows")
+    )
+    one = spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"), gone.alias("replaces"))
+    one.join(zones, how="left").select(
+        "batch_id", "day", "least", "greatest", "rows", "replaces"
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/_zones/zone-{batch_id}")  # a row a day
+
+
+def _zones(spark: SparkSession, path: str) -> DataFrame | None:
+    folder = f"{path}/_zones"
+    return spark.read.schema(_ZONE).parquet(f"{folder}/*") if exists(spark, folder) else None
+
+
+def live_folders(
+    spark: SparkSession, path: str, since: Column | None = None, until: Column | None = None
+) -> list[str]:
+    """The folders of days to read for periods from ``since`` until ``until``, by the zone map.
+
+    Batches that a compaction replaced are left out; a batch without zones, of
+    which nothing is known, is read whole. Only names come to the driver: those
+    of the days in the bounds.
+    """
+    zones, batches = _zones(spark, path), _batch_ids(spark, path)
+    own, gone = _known(zones)
+    begun = _begun(spark, path) - own  # of a compaction that never ended
+    whole = [f"{path}/batch_id={i}" for i in batches if i not in own | gone | begun]
+    if zones is None:
+        return whole
+    inside = F.col("day").isNotNull()
+    inside = inside & (F.col("greatest") >= since) if since is not None else inside
+    inside = inside & (F.col("least") <= until) if until is not None else inside
+    days = zones.where(inside).select("batch_id", F.col("day").cast("string").alias("day")).distinct().collect()
+    return sorted(f"{path}/batch_id={r['batch_id']}/day={r['day']}" for r in days if r["batch_id"] not in gone) + whole
+
+
+def _known(zones: DataFrame | None) -> tuple[set[int], set[int]]:
+    """The batches that have zones, and those that a compaction replaced."""
+    if zones is None:
+        return set(), set()
+    rows = zones.select("batch_id", "replaces").distinct().collect()  # a row a batch
+    return {r["batch_id"] for r in rows}, {i for r in rows for i in r["replaces"]}
+
+
+def _number(folder: str) -> int:
+    return int(folder.split("batch_id=")[1].split("/")[0])
+
+
+def compact(spark: SparkSession, path: str, time: str = "sp_start_utc") -> int:
+    """All live batches as one new batch, landing ids kept; returns how many it replaced.
+
+    A mark is set first, and a marked batch counts only once its zones are
+    written, which name those it replaces; from then on nothing reads them, and
+    they are deleted. What a failure leaves before or after that is deleted by
+    the next compaction.
+    """
+    own, gone = _known(_zones(spark, path))
+    stale = gone | (_begun(spark, path) - own)
+    _delete(spark, [f"{path}/batch_id={i}" for i in _batch_ids(spark, path) if i in stale])
+    live = [i for i in _batch_ids(spark, path) if i not in stale]
+    if len(live) < 2:
+        return 0
+    number = max([*live, *own, *stale]) + 1
+    _mark(spark, f"{path}/{_BEGUN}{number}")
+    folders = [f"{path}/batch_id={i}" for i in live]
+    rows = spark.read.option("basePath", path).parquet(*folders).drop("batch_id")
+    (
+        rows.repartition("day").write.mode("overwrite")
+        .option("partitionOverwriteMode", "static").partitionBy("day").parquet(f"{path}/batch_id={number}")
+    )
+    _zone(spark, path, number, rows.withColumn("batch_id", F.lit(0).cast("long")), time, live)
+    _delete(spark, [*folders, f"{path}/{_BEGUN}{number}"])
+    return len(live)
+
+
+_BEGUN = "_compacting-"
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def _begun(spark: SparkSession, path: str) -> set[int]:
+    """The batches of compactions that have begun and not ended."""
+    return {int(n[len(_BEGUN):]) for n in _names(spark, path) if n.startswith(_BEGUN)}
+
+
+def _delete(spark: SparkSession, folders: Sequence[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(p)]
-    return [int(n.split("=")[1]) for n in names if n.startswith("batch_id=")]
+    return [f.getPath().getName() for f in fs.listStatus(p)]
+
+
+def _batch_ids(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in _names(spark, path) if n.startswith("batch_id="))
 
 
 def next_batch_id(spark: SparkSession, path: str) -> int:
@@ -80,5 +196,10 @@ def land_stream(
     query.awaitTermination()
 
 
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).drop("batch_id", "day")
+def read_landing(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
+    """The landed rows; with ``since`` those of days whose greatest period reaches it."""
+    folders = live_folders(spark, path, since)
+    whole = spark.read.option("basePath", path)
+    if folders:
+        return whole.parquet(*folders).drop("batch_id", "day")
+    return whole.parquet(path).drop("batch_id", "day").limit(0)
