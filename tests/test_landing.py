@@ -240,3 +240,61 @@ def test_a_batch_without_zones_is_read_whole(spark):
     land._delete(spark, [f"{out}/_zones/zone-0"])
     assert kept(land.read_landing(spark, out)) == [(1, "A"), (2, "B")]
     assert land.compact(spark, out) == 2 and kept(land.read_landing(spark, out)) == [(1, "A"), (2, "B")]
+
+
+# ---- retention by folder --------------------------------------------------------
+def days_landed(spark, path, batches=2):
+    """Ten days of two periods in each batch; the second batch changes every value."""
+    for b in range(batches):
+        items = [(b * 100 + i, i * 24, f"{b}-{i}", b + 1) for i in range(20)]
+        land.land_batch(spark, path, rows(spark, items), KEYS, b)
+    return land.read_landing(spark, path)
+
+
+def test_old_days_go_whole_and_are_listed(spark):
+    path = scratch_dir(spark, "retain")
+    df = days_landed(spark, path)
+    cutoff, now = instant(START + timedelta(days=4, hours=6)), instant(START + timedelta(days=9))
+    went = land.prune_days(spark, path, cutoff, now, df, KEYS)
+    # day 4 has a period after the cutoff, so all of it stays
+    assert sorted((r["batch_id"], r["rows"]) for r in went.collect()) == [(0, 2)] * 4 + [(1, 2)] * 4
+    left = land.read_landing(spark, path)
+    assert left.count() == 24 and left.agg(F.min("sp_start_utc")).first()[0] == at(8 * 24).replace(tzinfo=None)
+    assert not S.exists(spark, f"{path}/batch_id=0/day={START.date()}")
+    assert land.prune_days(spark, path, cutoff, instant(START + timedelta(days=9, hours=1)), df, KEYS).count() == 0
+
+
+def test_nothing_goes_unless_the_mart_holds_it_all(spark):
+    path = scratch_dir(spark, "refuse")
+    df = days_landed(spark, path, 1)
+    cutoff = now = instant(START + timedelta(days=5))
+    with pytest.raises(land.RetentionError, match="lacks 1 "):
+        land.prune_days(spark, path, cutoff, now, df.where(F.col("landing_id") != 3), KEYS)
+    assert land.read_landing(spark, path).count() == 20 and land.pruned(spark, path).count() == 0
+
+
+def test_a_prune_that_dies_before_deleting_is_heeded_and_finished(spark, monkeypatch):
+    path = scratch_dir(spark, "died")
+    df = days_landed(spark, path)
+    cutoff = now = instant(START + timedelta(days=5))
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(land, "_delete", dies)
+        with pytest.raises(OSError):
+            land.prune_days(spark, path, cutoff, now, df, KEYS)
+    first = f"{path}/batch_id=0/day={START.date()}"
+    assert S.exists(spark, first) and land.read_landing(spark, path).count() == 20
+    assert land.compact(spark, path) == 2  # drops what the failure left
+    assert not S.exists(spark, first) and land.read_landing(spark, path).count() == 20
+
+
+def test_a_period_that_went_may_land_again(spark):
+    path = scratch_dir(spark, "again")
+    df = days_landed(spark, path)
+    cutoff = now = instant(START + timedelta(days=5))
+    land.prune_days(spark, path, cutoff, now, df, KEYS)
+    land.land_batch(spark, path, rows(spark, [(900, 0, "1-0", 9)]), KEYS, 2)
+    assert kept(land.read_landing(spark, path).where("landing_id = 900")) == [(900, "1-0")]

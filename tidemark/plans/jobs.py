@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.functions.scalar import floor_to, instant
 from tidemark.operators import audits
+from tidemark.operators import versions as V
 from tidemark.operators.ordering import TIME, naive_scale_positional, naive_scale_time
 from tidemark.operators.versions import current_benchmark
 from tidemark.plans import backtest as B
@@ -239,6 +240,31 @@ class Warehouse:
         """The batches of a source's landing as one, ids kept; returns how many there were."""
         return land.compact(self.spark, self.path("landing", C.SOURCES[source].table))
 
+    def prune(self, source: str, as_of: datetime, execute: bool = True) -> dict:
+        """The retention of one source: the report first, then the day folders that went.
+
+        A source without a retention keeps all. Where the source names a mart,
+        that mart must exist and hold every period that goes.
+        """
+        spec = C.SOURCES[source]
+        path = self.path("landing", spec.table)
+        if spec.keep_days is None or not S.exists(self.spark, path):
+            return {"report": None, "folders": 0, "rows": 0}
+        now, time = instant(as_of), spec.time_column
+        report = V.retention_report(self.landing(source), time, spec.keep_days, now).first().asDict()
+        if not execute:
+            return {"report": report, "folders": 0, "rows": 0}
+        mart = None
+        if spec.required_mart is not None:
+            mart = self.table("marts", spec.required_mart)
+            if mart is None or mart.isEmpty():
+                raise land.RetentionError(f"{spec.required_mart} is absent or empty; nothing is pruned")
+        cutoff = now - F.expr(f"interval {spec.keep_days} days")
+        keys = [c for c in spec.keys if mart is None or c in mart.columns]
+        went = land.prune_days(self.spark, path, cutoff, now, mart, keys)
+        total = went.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("r")).first()
+        return {"report": report, "folders": total["n"], "rows": total["r"]}
+
     def finish(self) -> int:
         """Delete what the jobs so far left in scratch folders; results lie elsewhere."""
         return clear_scratch(self.spark)

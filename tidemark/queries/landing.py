@@ -142,6 +142,46 @@ def l8(t):
     )
 
 
+def landed(t, name: str) -> str:
+    """A fresh landing folder that holds all landing rows as one batch."""
+    path = scratch_dir(t.spark, name)
+    land.land_batch(t.spark, path, t.landing(), LAND_KEYS, 0)
+    return path
+
+
+# A day goes whole or not at all.
+_OLD_DAY = f"""max(sp_start_utc) OVER (PARTITION BY CAST(sp_start_utc AS DATE))
+    < {AS_OF} - INTERVAL '7 days 9 hours'"""
+
+
+@query(
+    "l8_pruned_folder",
+    "landing",
+    f"SELECT landing_id, sp_start_utc FROM landing QUALIFY NOT ({_OLD_DAY})",
+)
+def l8_folder(t):
+    """What a reader finds after the old days were dropped from the folder."""
+    path = landed(t, "retained")
+    cutoff = t.as_of - F.expr("interval 7 days 9 hours")
+    land.prune_days(t.spark, path, cutoff, t.as_of, V.resolve(t.landing(), LAND_KEYS), LAND_KEYS)
+    return land.read_landing(t.spark, path).select("landing_id", "sp_start_utc")
+
+
+@query(
+    "l8_prune_manifest",
+    "landing",
+    f"""SELECT CAST(sp_start_utc AS DATE) AS day, count(*) AS rows, min(sp_start_utc) AS least,
+    max(sp_start_utc) AS greatest FROM (SELECT sp_start_utc FROM landing QUALIFY {_OLD_DAY})
+    GROUP BY 1""",
+)
+def l8_manifest(t):
+    """What went, a row a folder."""
+    path = landed(t, "manifest")
+    cutoff = t.as_of - F.expr("interval 7 days 9 hours")
+    went = land.prune_days(t.spark, path, cutoff, t.as_of, V.resolve(t.landing(), LAND_KEYS), LAND_KEYS)
+    return went.select("day", "rows", "least", "greatest")
+
+
 @query(
     "a31_retention_report",
     "landing",
@@ -285,10 +325,10 @@ def t3(t):
     WHERE landing_id < {_HALF_ID.replace("landing)", "busy)")} UNION ALL ({_CHANGED})""",
 )
 def t4(t):
-    """Two files that arrive one after the other; the second repeats keys of the first."""
+    """Two arrivals one after the other, each of many files; the second repeats keys of the first."""
     out, mark, source = (scratch_dir(t.spark, n) for n in ("landing", "marks", "arrivals"))
     for part in halves(t, t.busy()):
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.write.mode("append").parquet(source)
         land.land_stream(
             t.spark, t.spark.readStream.schema(part.schema).parquet(source), out, mark, LAND_KEYS
         )

@@ -95,6 +95,7 @@ def live_folders(
     whole = [f"{path}/batch_id={i}" for i in batches if i not in own | gone | begun]
     if zones is None:
         return whole
+    zones = _unpruned(spark, path, zones)
     inside = F.col("day").isNotNull()
     inside = inside & (F.col("greatest") >= since) if since is not None else inside
     inside = inside & (F.col("least") <= until) if until is not None else inside
@@ -124,14 +125,16 @@ def compact(spark: SparkSession, path: str, time: str = "sp_start_utc") -> int:
     """
     own, gone = _known(_zones(spark, path))
     stale = gone | (_begun(spark, path) - own)
+    _delete_pruned(spark, path)
     _delete(spark, [f"{path}/batch_id={i}" for i in _batch_ids(spark, path) if i in stale])
     live = [i for i in _batch_ids(spark, path) if i not in stale]
-    if len(live) < 2:
+    days = live_folders(spark, path)
+    if len(live) < 2 or not days:
         return 0
     number = max([*live, *own, *stale]) + 1
     _mark(spark, f"{path}/{_BEGUN}{number}")
     folders = [f"{path}/batch_id={i}" for i in live]
-    rows = spark.read.option("basePath", path).parquet(*folders).drop("batch_id")
+    rows = spark.read.option("basePath", path).parquet(*days).drop("batch_id")
     (
         rows.repartition("day").write.mode("overwrite")
         .option("partitionOverwriteMode", "static").partitionBy("day").parquet(f"{path}/batch_id={number}")
@@ -141,6 +144,85 @@ def compact(spark: SparkSession, path: str, time: str = "sp_start_utc") -> int:
     return len(live)
 
 
+# ---- retention ----------------------------------------------------------------
+_PRUNED = "batch_id long, day date, rows long, least timestamp, greatest timestamp, cutoff timestamp, pruned_at_utc timestamp"
+
+
+class RetentionError(RuntimeError):
+    """Rows may not go, since nothing else holds what they say."""
+
+
+def expired_days(spark: SparkSession, path: str, cutoff: Column) -> DataFrame:
+    """The day folders all of whose periods lie before the cutoff, one row each, by the zone map.
+
+    A batch without zones is not known to be old, so none of it is named.
+    """
+    zones = _zones(spark, path)
+    if zones is None:
+        return spark.createDataFrame([], _PRUNED).select("batch_id", "day", "rows", "least", "greatest")
+    _, gone = _known(zones)
+    old = _unpruned(spark, path, zones).where(F.col("day").isNotNull() & (F.col("greatest") < cutoff))
+    return old.where(~F.col("batch_id").isin(list(gone))).select("batch_id", "day", "rows", "least", "greatest")
+
+
+def prune_days(
+    spark: SparkSession,
+    path: str,
+    cutoff: Column,
+    as_of: Column,
+    mart: DataFrame | None = None,
+    keys: Sequence[str] = ("sp_start_utc",),
+) -> DataFrame:
+    """Drop the expired day folders; returns a row for each that went.
+
+    With a ``mart`` nothing goes unless it holds every key of the rows to go.
+    The manifest of what goes is stored before a folder is deleted, and readers
+    heed it from then on, so a failure between leaves folders that nobody reads
+    and the next run deletes. A day with one period from the cutoff on stays
+    whole. Old periods that land again stand in a new batch.
+    """
+    going = expired_days(spark, path, cutoff)
+    # names of folders, as everywhere in the zone map
+    days = [f"{path}/batch_id={r['batch_id']}/day={r['day']}" for r in going.select("batch_id", "day").collect()]
+    if days and mart is not None:
+        rows = spark.read.option("basePath", path).parquet(*days).select(*keys).distinct()
+        bare = rows.join(mart.select(*keys), list(keys), "left_anti").count()
+        if bare:
+            raise RetentionError(f"the mart lacks {bare} of the keys to delete; nothing is pruned")
+    if days:
+        manifest = going.select(*going.columns, cutoff.alias("cutoff"), as_of.alias("pruned_at_utc"))
+        manifest.coalesce(1).write.mode("append").parquet(f"{path}/_pruned")  # a row a folder
+    _delete_pruned(spark, path)
+    return pruned(spark, path).where(F.col("pruned_at_utc") == as_of)
+
+
+def pruned(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of every day folder that retention has dropped."""
+    folder = f"{path}/_pruned"
+    if not exists(spark, folder):
+        return spark.createDataFrame([], _PRUNED)
+    return spark.read.schema(_PRUNED).parquet(folder)
+
+
+def _unpruned(spark: SparkSession, path: str, zones: DataFrame) -> DataFrame:
+    if not exists(spark, f"{path}/_pruned"):
+        return zones
+    return zones.join(pruned(spark, path).select("batch_id", "day"), ["batch_id", "day"], "left_anti")
+
+
+def _delete_pruned(spark: SparkSession, path: str) -> None:
+    """Delete the folders of the manifest that still stand, those of a failed run too."""
+    if not exists(spark, f"{path}/_pruned"):
+        return
+    held = [(i, n[len("day="):]) for i in _batch_ids(spark, path)
+            for n in _names(spark, f"{path}/batch_id={i}") if n.startswith("day=")]
+    if not held:
+        return
+    named = pruned(spark, path).select("batch_id", F.col("day").cast("string").alias("day")).distinct()
+    standing = named.join(spark.createDataFrame(held, "batch_id long, day string"), ["batch_id", "day"]).collect()
+    _delete(spark, [f"{path}/batch_id={r['batch_id']}/day={r['day']}" for r in standing])
+
+
 _BEGUN = "_compacting-"
 
 
