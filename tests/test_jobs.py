@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.operators.audits import run_audit
 from tidemark.plans import register as R
+from tidemark.plans import registry as G
 from tidemark.plans.jobs import RegisterError, Warehouse
 from tidemark.session import scratch_dir
+from tidemark.sources import payloads
+from tidemark.streaming.land import RetentionError
 
 START = datetime(2024, 5, 10, tzinfo=UTC)
 HALF = timedelta(minutes=30)
@@ -93,7 +96,11 @@ def test_scores_seals_and_payloads(spark, built):
     house.audit_register(later)
     out = scratch_dir(spark, "pages")
     assert set(house.publish(out, later, "abc").values()) == {"ok"}
-    assert spark.read.json(f"{out}/leaderboard").count() == 12
+    assert payloads.read_payload(spark, out, "leaderboard").count() == 12
+    assert len(payloads.current(spark, out)["files"]) == 7
+    plan = payloads.read_payload(spark, out, "plan").select("snapshot.params", "payload.*").first()
+    assert json.loads(plan["params"]) == C.PLAN_DEFAULTS and plan["best_start_utc"]
+    assert payloads.read_payload(spark, out, "forecast_current").count() == 96
     summary = house.backtest(C.Grid(START + timedelta(days=9), START + timedelta(days=18), 24), "bt1")
     assert {r[0] for r in summary.select("model").distinct().collect()} >= {"B0_persistence", "B2_weekly_naive"}
 
@@ -198,3 +205,132 @@ def test_the_build_opens_only_files_of_its_look_back(spark, tmp_path):
     assert again.rows_written == 0
     house.build(later, absent)
     assert sorted(house.facts().drop("day").collect(), key=str) == facts
+
+
+def windowed(tmp, spec=None):
+    """A capture that answers every window of the intensity feed with what ``feed`` holds of it."""
+    whole = json.loads((tmp / "all" / "f.json").read_text())["data"]
+    asked = []
+
+    def capture(source, start, end):
+        asked.append((source, start, end))
+        if source == "ci_genmix":
+            raise ConnectionError("no answer")
+        if source != "ci_intensity":
+            return None
+        rows = [r for r in whole if start <= datetime.strptime(r["from"], "%Y-%m-%dT%H:%MZ").replace(tzinfo=UTC) < end]
+        folder = tmp / f"w{len(asked)}"
+        folder.mkdir()
+        (folder / "f.json").write_text(json.dumps({"data": rows}))
+        return str(folder)
+
+    return capture, asked
+
+
+def test_one_source_fails_and_the_others_land(spark, tmp_path):
+    feed(tmp_path / "all", NOW)
+    house = Warehouse(spark, scratch_dir(spark, "loop"), START)
+    capture, asked = windowed(tmp_path)
+    found = house.ingest_scheduled(NOW, capture, "r1", back_days=2, ahead_days=2, whole=True)
+    assert found["ci_genmix"].startswith("failed: ConnectionError")
+    assert found["ci_intensity"].startswith("read 19") and found["ex_demand"] == "read 0, written 0"
+    # the weather feed takes three days at most
+    assert [(b - a).days for s, a, b in asked if s == "om_forecast"] == [3, 1]
+    log = {r["source"]: r["status"] for r in house.table("landing", "run_log").collect()}
+    assert log == {"ci_intensity": "success", "ci_genmix": "failed", "ex_demand": "success", "om_forecast": "success"}
+    again = house.ingest_scheduled(NOW + timedelta(minutes=1), capture, "r2", ["ci_intensity"], 2, 2, True)
+    assert again["ci_intensity"].endswith("written 0")
+
+
+def test_a_gap_heals_as_far_as_the_feed_goes(spark, tmp_path):
+    feed(tmp_path / "all", NOW)  # three periods are missing upstream too
+    house = Warehouse(spark, scratch_dir(spark, "heal"), START)
+    capture, asked = windowed(tmp_path)
+    house.ingest_scheduled(START + timedelta(days=1), capture, "r1", ["ci_intensity"], 1, 0, True)
+    house.ingest_scheduled(START + timedelta(days=4), capture, "r2", ["ci_intensity"], 1, 0, True)
+    absent = spark.createDataFrame([], ABSENT)
+    before = len(asked)
+    found = house.heal(START + timedelta(days=4), absent, capture, "r3", whole=True)
+    assert found == {"missing": 96, "healed": 93, "is_partial": True} and len(asked) == before + 1
+    left = house.heal(START + timedelta(days=4), absent, capture, "r4", whole=True)
+    assert left == {"missing": 3, "healed": 0, "is_partial": True}
+    runs = house.table("landing", "run_log").where("job = 'gapfill'").collect()
+    assert {r["status"] for r in runs} == {"partial"}
+    with pytest.raises(ValueError):
+        house.missing(NOW, absent, "om_forecast")
+
+
+def test_retention_needs_the_mart_and_reports_first(spark, tmp_path):
+    house = Warehouse(spark, scratch_dir(spark, "keep"), START)
+    house.ingest("ci_genmix", feed(tmp_path / "mix", NOW), NOW, "r1", whole=True)
+    later = NOW + timedelta(days=20)
+    assert house.prune("ci_intensity", later) == {"report": None, "folders": 0, "rows": 0}
+    with pytest.raises(RetentionError, match="absent or empty"):
+        house.prune("ci_genmix", later)
+    dry = house.prune("ci_genmix", later, execute=False)
+    assert dry["rows"] == 0 and dry["report"]["delete_count"] > 0
+    house.landing("ci_genmix").select("sp_start_utc").withColumn("day", F.to_date("sp_start_utc")).write.partitionBy(
+        "day").parquet(house.path("marts", "fct_mix_wide"))
+    went = house.prune("ci_genmix", later)
+    # the day of the cutoff stays whole
+    assert went["folders"] == 10 and went["rows"] == 10 * 48 - 3
+    assert house.landing("ci_genmix").count() == dry["report"]["total_count"] - went["rows"]
+    assert house.prune("ci_genmix", later + timedelta(minutes=1))["folders"] == 0
+
+
+def models(spark, *names):
+    return spark.createDataFrame(
+        [(n, "f", START, "c", None, None, False, None) for n in names], G.MODEL
+    )
+
+
+def events(spark, *rows):
+    return spark.createDataFrame(
+        [(i, START + timedelta(days=d), was, new, out, None) for i, d, was, new, out in rows], G.EVENT
+    )
+
+
+def test_promotions_change_who_is_served(spark):
+    house = Warehouse(spark, scratch_dir(spark, "roles"), START)
+    assert house.register_model(models(spark, "a", "b", "c")) == 3
+    assert house.register_model(models(spark, "a")) == 0
+    house.record_promotion(events(spark, ("p1", 1, None, "a", "promoted"), ("p2", 3, "a", "b", "inconclusive")))
+    house.record_promotion(events(spark, ("p3", 5, "a", "b", "promoted")))
+    at = lambda d: {r["model_version"]: r["role"] for r in house.models(START + timedelta(days=d)).collect()}
+    assert at(4) == {"a": "champion", "b": "challenger", "c": "challenger"}
+    assert at(5) == {"a": "retired", "b": "champion", "c": "challenger"}
+    assert set(at(0.5).values()) == {"challenger"}
+    points = spark.createDataFrame(
+        [(m, START + timedelta(days=d)) for m in "abc" for d in (0, 2, 5, 6)], "model_version string, run_at_utc timestamp"
+    )
+    served = G.served_points(points, house.table("register", "reg_promotion_event"))
+    day = F.datediff("run_at_utc", F.lit(START.date()))
+    assert sorted((r["d"], r["model_version"]) for r in served.withColumn("d", day).collect()) == [
+        (2, "a"), (5, "b"), (6, "b")]
+
+
+@pytest.mark.parametrize("row, rule", [
+    (("p9", 7, "a", "b", "maybe"), "unknown_outcome"),
+    (("p9", 7, "a", "x", "promoted"), "challenger_not_registered"),
+    (("p9", 7, "x", "b", "promoted"), "champion_not_registered"),
+    (("p9", 7, "b", "a", "promoted"), "not_the_champion"),
+])
+def test_an_event_that_breaks_the_contract_is_refused(spark, row, rule):
+    house = Warehouse(spark, scratch_dir(spark, "events"), START)
+    house.register_model(models(spark, "a", "b"))
+    house.record_promotion(events(spark, ("p1", 1, None, "a", "promoted")))
+    with pytest.raises(RegisterError, match=rule):
+        house.record_promotion(events(spark, row))
+    assert house.table("register", "reg_promotion_event").count() == 1
+
+
+def test_work_that_can_wait_stands_down_when_the_budget_is_spent(spark):
+    house = Warehouse(spark, scratch_dir(spark, "ledger"), START)
+    assert not house.stands_down(NOW)
+    house.record_usage("ingest", NOW, 5, 80)
+    house.record_usage("idle", NOW, 0, 0, queries=0)
+    assert not house.stands_down(NOW, budget=100)
+    house.record_usage("build", NOW, 5, 15)
+    assert house.stands_down(NOW, budget=100)
+    row = house.status(NOW, budget=100).first()
+    assert row["transfer_state"] == "over" and row["warnings"] == ["transfer over", "no runs recorded"]

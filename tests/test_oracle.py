@@ -19,6 +19,7 @@ MAY_BE_EMPTY = {
     "a19_error_quantiles", "f18_calibrate", "k1_newest_calibration", "f19_load_calibration",
     "s13_calibration_sink", "a22_interval_report", "n35_conformal_intervals",
     "j5_missing_unexcused", "q3_physical_range", "g2_heal_plan", "a9_conflicting_versions",
+    "j7_expand_windows",
 }
 
 

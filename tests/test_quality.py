@@ -212,5 +212,61 @@ def test_a_failed_payload_leaves_the_previous_one(spark):
     payloads.publish_payloads(spark, {"a": lambda: spark.range(2)}, out, now)
     result = payloads.publish_payloads(spark, {"a": broken, "b": lambda: spark.range(1)}, out, now)
     assert result == {"a": "ValueError: no", "b": "ok"}
-    assert spark.read.json(f"{out}/a").count() == 2
-    assert {r["outcome"] for r in spark.read.json(f"{out}/manifest").collect()} == {"ValueError: no", "ok"}
+    assert payloads.read_payload(spark, out, "a").count() == 2
+    held = payloads.current(spark, out)
+    assert held["failed"] == {"a": "ValueError: no"} and set(held["files"]) == {"a", "b"}
+    with pytest.raises(KeyError):
+        payloads.payload_path(spark, out, "c")
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_a_run_that_dies_at_any_step_changes_nothing_for_readers(spark, monkeypatch, step):
+    out, now = scratch_dir(spark, "dies"), datetime(2024, 1, 1, tzinfo=UTC)
+    build = lambda n: {"a": lambda: spark.range(n), "b": lambda: spark.range(n)}
+    payloads.publish_payloads(spark, build(2), out, now)
+    put, calls = payloads._put, []
+
+    def dying(spark, path, text):
+        # before or after a document, or before the pointer
+        calls.append(path)
+        if len(calls) == step // 2 + 1 and step % 2 == 0 or "pointers" in path:
+            raise KeyboardInterrupt
+        put(spark, path, text)
+        if len(calls) == step // 2 + 1 and step % 2 == 1:
+            raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(payloads, "_put", dying)
+        with pytest.raises(KeyboardInterrupt):
+            payloads.publish_payloads(spark, build(5), out, now)
+    assert [payloads.read_payload(spark, out, n).count() for n in "ab"] == [2, 2]
+    payloads.publish_payloads(spark, build(3), out, now)
+    assert payloads.read_payload(spark, out, "a").count() == 3
+    assert payloads.expire(spark, out, keep=1) >= 1
+    assert payloads.read_payload(spark, out, "b").count() == 3
+
+
+def test_a_payload_is_one_document_or_fails(spark, monkeypatch):
+    out, now = scratch_dir(spark, "rows"), datetime(2024, 1, 1, tzinfo=UTC)
+    monkeypatch.setattr(payloads, "MAX_ROWS", 3)
+    result = payloads.publish_payloads(
+        spark, {"few": lambda: spark.range(3), "many": lambda: spark.range(4), "none": lambda: spark.range(0)}, out, now)
+    assert result["few"] == result["none"] == "ok" and "more than 3 rows" in result["many"]
+    text = spark.read.text(payloads.payload_path(spark, out, "few")).collect()
+    assert len(text) == 1 and '"payload":[{"id":0},{"id":1},{"id":2}]' in text[0]["value"]
+
+
+def test_lineage_is_read_from_the_plan(spark):
+    """Subqueries and unions are walked, and no file is listed."""
+    path = scratch_dir(spark, "deep")
+    spark.range(3).write.parquet(f"{path}/fct_demand_current")
+    spark.range(3).write.parquet(f"{path}/clean")
+    banned = spark.read.parquet(f"{path}/fct_demand_current")
+    clean = spark.read.parquet(f"{path}/clean")
+    names = ["fct_demand_current"]
+    hidden = clean.where(F.col("id") < banned.agg(F.max("id")).scalar())
+    for frame in (hidden, clean.union(banned), clean.join(banned, "id", "left_semi"), hidden.groupBy("id").count()):
+        with pytest.raises(Q.LineageError):
+            Q.check_lineage(frame, names)
+    assert Q.check_lineage(clean, names).count() == 3
+    assert any(s.endswith("/clean") for s in Q.sources_of(clean))

@@ -132,3 +132,6 @@ SOURCES = {
 }
 SCHEDULED = ("ci_intensity", "ci_genmix", "ex_demand", "om_forecast")
 DAILY = ("om_archive",)
+
+# The request that the published plan answers.
+PLAN_DEFAULTS = {"duration_hours": 2.0, "within_hours": 24.0, "appliance_kwh": 1.4}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,9 @@ from tidemark.plans import backtest as B
 from tidemark.plans import calibrate as CAL
 from tidemark.plans import issue as I
 from tidemark.plans import marts as M
+from tidemark.plans import planner as P
 from tidemark.plans import register as R
+from tidemark.plans import registry as G
 from tidemark.plans import staging as ST
 from tidemark.plans import status
 from tidemark.sources import feeds, payloads, runlog
@@ -28,6 +30,8 @@ from tidemark.session import clear_scratch, written
 from tidemark.streaming import land
 
 KEYS = ["series_key"]
+LEDGER = "recorded_at_utc timestamp, job string, queries long, rows_returned long, bytes_estimated long"
+Capture = Callable[[str, datetime, datetime], str | None]
 READERS: dict[str, Callable] = {
     "ci_intensity": feeds.read_intensity,
     "ci_genmix": feeds.read_genmix,
@@ -93,6 +97,77 @@ class Warehouse:
             now=lambda: fetched_at,
         )
 
+    def _capture(self, source: str, windows, capture: Capture, fetched_at: datetime, run: runlog.Run, whole: bool):
+        """Land what was captured for each window, one batch a window; a window without a response is empty."""
+        spec = C.SOURCES[source]
+        target = self.path("landing", spec.table)
+        for start, end in windows:
+            path = capture(source, start, end)
+            if path is None:  # the spine tells whether something should have been there
+                continue
+            batch = written(
+                READERS[source](self.spark, path, whole=whole).withColumn("fetched_at_utc", instant(fetched_at)),
+                "captured",
+            )
+            run.rows_read += batch.count()
+            number = land.next_batch_id(self.spark, target)
+            run.rows_written += land.land_batch(self.spark, target, batch, spec.keys, number, spec.time_column)
+
+    def ingest_scheduled(
+        self, as_of: datetime, capture: Capture, run_id: str, names=C.SCHEDULED,
+        back_days: float = 2, ahead_days: float = 2, whole: bool = False,
+    ) -> dict[str, str]:
+        """Every planned source as a step of its own; returns what became of each.
+
+        ``capture(source, from, to)`` names the stored response of a window, or
+        None. A source that fails keeps the windows that landed before, its run
+        is logged as failed, and the others go on.
+        """
+        outcome: dict[str, str] = {}
+        log = self.path("landing", "run_log")
+        for name, windows in status.ingest_plan(as_of, names, back_days, ahead_days):
+            span = (windows[0][0], windows[-1][1]) if windows else (None, None)
+            try:
+                run = runlog.run_logged(
+                    self.spark, log, run_id, name, "ingest",
+                    lambda run, name=name, windows=windows: self._capture(name, windows, capture, as_of, run, whole),
+                    span, now=lambda: as_of,
+                )
+                outcome[name] = f"read {run.rows_read}, written {run.rows_written}"
+            except Exception as exc:  # noqa: BLE001 - one source must not stop the others
+                outcome[name] = f"failed: {type(exc).__name__}: {str(exc)[:300]}"
+        return outcome
+
+    def heal(
+        self, as_of: datetime, absent: DataFrame, capture: Capture, run_id: str,
+        source: str = "ci_intensity", lookback_days: int = 14, whole: bool = False,
+    ) -> dict:
+        """Refetch the windows of what is missing; partial while some of it still is."""
+        missing = written(self.missing(as_of, absent, source, lookback_days), "missing")
+        plan = status.heal_plan(missing, C.SOURCES[source]).orderBy("chunk_from_utc")
+        # no more windows than periods in the look-back
+        windows = [
+            (r["lo"], r["hi"])
+            for r in plan.select(
+                F.unix_timestamp("chunk_from_utc").alias("lo"), F.unix_timestamp("chunk_to_utc").alias("hi")
+            ).collect()
+        ]
+        windows = [tuple(datetime.fromtimestamp(x, timezone.utc) for x in w) for w in windows]
+        found: dict = {"missing": 0, "healed": 0, "is_partial": False}
+        if not windows:
+            return found
+
+        def work(run: runlog.Run) -> None:
+            self._capture(source, windows, capture, as_of, run, whole)
+            found.update(status.heal_outcome(missing, self.landing(source)).first().asDict())
+            run.partial = found["is_partial"]
+
+        runlog.run_logged(
+            self.spark, self.path("landing", "run_log"), run_id, source, "gapfill", work,
+            (windows[0][0], windows[-1][1]), now=lambda: as_of,
+        )
+        return found
+
     def build(self, as_of: datetime, absent: DataFrame) -> None:
         """T-1, T-2: the marts, rebuilt over their look-back window only."""
         now = instant(as_of)
@@ -124,13 +199,21 @@ class Warehouse:
             [TIME], "day",
         )
 
-    def gaps(self, as_of: datetime, absent: DataFrame, lookback_days: int = 14) -> DataFrame:
-        """The windows of the intensity feed to refetch."""
-        found = status.find_gaps(
-            self.spine(as_of), self.landing("ci_intensity"), absent, "ci_intensity",
-            instant(as_of), lookback_days,
+    def missing(
+        self, as_of: datetime, absent: DataFrame, source: str = "ci_intensity", lookback_days: int = 14
+    ) -> DataFrame:
+        """G1: the periods of a source that should have landed by now."""
+        if not C.SOURCES[source].gap_checkable:
+            raise ValueError(f"{source} has no period of its own for each of the spine's")
+        return status.find_gaps(
+            self.spine(as_of), self.landing(source), absent, source, instant(as_of), lookback_days
         )
-        return status.heal_plan(found, C.SOURCES["ci_intensity"])
+
+    def gaps(
+        self, as_of: datetime, absent: DataFrame, lookback_days: int = 14, source: str = "ci_intensity"
+    ) -> DataFrame:
+        """The windows of a feed to refetch."""
+        return status.heal_plan(self.missing(as_of, absent, source, lookback_days), C.SOURCES[source])
 
     # ---- forecast, score, seal ----------------------------------------------
     def calibrate(self, as_of: datetime, run_id: str) -> int:
@@ -277,18 +360,81 @@ class Warehouse:
         return R.live_accuracy(self.points(), scores.drop("issue_month"), KEYS)
 
     def publish(self, out: str, as_of: datetime, commit: str) -> dict[str, str]:
-        """The payloads a page reads."""
+        """The seven payloads a page reads; the status comes first."""
         return payloads.publish_payloads(
             self.spark,
             {
+                "status": lambda: self.status(as_of),
+                "forecast_current": lambda: self.current(as_of),
                 "accuracy": lambda: R.accuracy_report(self.accuracy()),
                 "leaderboard": lambda: R.leaderboard(self.accuracy()),
+                "models": lambda: self.models(as_of),
                 "integrity": lambda: R.register_size(self.points()),
-                "runs": lambda: status.recent_runs(self.table("landing", "run_log")),
+                "plan": lambda: P.plan(self.current(as_of), self._request(C.PLAN_DEFAULTS), KEYS),
             },
-            out, as_of, commit,
+            out, as_of, commit, {"plan": C.PLAN_DEFAULTS},
         )
 
+    def current(self, as_of: datetime) -> DataFrame:
+        """The latest run of whoever is champion."""
+        return R.current_forecast(self.points(), self.models(as_of), KEYS)
+
+    def _request(self, wish: dict[str, float]) -> DataFrame:
+        cells = [F.lit(float(v)).alias(k) for k, v in wish.items()]
+        return self.spark.range(1).select(
+            F.lit("default").alias("request_id"), F.lit("national").alias("series_key"), *cells
+        )
+
+    # ---- registry and ledger ------------------------------------------------
+    def _rows(self, layer: str, name: str, schema: str) -> DataFrame:
+        stored = self.table(layer, name)
+        return self.spark.createDataFrame([], schema) if stored is None else stored
+
+    def register_model(self, rows: DataFrame) -> int:
+        """Add models to the registry; one that is known stays as it is."""
+        return S.append_new(
+            self.spark, rows, self.path("register", "reg_model_version"), ["model_version"]
+        )
+
+    def record_promotion(self, events: DataFrame) -> int:
+        """Append evaluations of challengers, promoting or not; refuse those that break the contract."""
+        models = self._rows("register", "reg_model_version", G.MODEL)
+        broken = G.event_violation(events, models, self.table("register", "reg_promotion_event"))
+        first = broken.select("promotion_id", "violation").first()
+        if first is not None:
+            raise RegisterError(f"promotion {first['promotion_id']}: {first['violation']}")
+        return S.append_new(
+            self.spark, events, self.path("register", "reg_promotion_event"), ["promotion_id"]
+        )
+
+    def models(self, as_of: datetime) -> DataFrame:
+        """The models with their roles at an instant; without a registry the seasonal model is champion."""
+        models = self._rows("register", "reg_model_version", G.MODEL)
+        if models.isEmpty():
+            issued = self.points().groupBy("model_version").agg(F.min("run_at_utc").alias("created_at_utc"))
+            role = F.when(F.col("model_version") == I.CHAMPION, "champion").otherwise("challenger")
+            return issued.withColumn("role", role).withColumn("role_since_utc", F.col("created_at_utc"))
+        return G.roles(models, self._rows("register", "reg_promotion_event", G.EVENT), instant(as_of))
+
+    def record_usage(self, job: str, at: datetime, rows: int, size: int, queries: int = 1) -> None:
+        """One row a run in the transfer ledger; a run that asked nothing leaves none."""
+        if queries:
+            row = [(at, job, queries, rows, size)]
+            self.spark.createDataFrame(row, LEDGER).coalesce(1).write.mode("append").parquet(
+                self.path("landing", "db_transfer")
+            )
+
+    def stands_down(self, as_of: datetime, **usage) -> bool:
+        """Whether work that can wait a day should: the transfer budget is spent. Issuing and scoring never ask."""
+        ledger = self._rows("landing", "db_transfer", LEDGER)
+        return status.usage_state(ledger, as_of, **usage).first()["state"] == "over"
+
+    def status(self, as_of: datetime, **usage) -> DataFrame:
+        """G3."""
+        ledger = self._rows("landing", "db_transfer", LEDGER)
+        runs = self._rows("landing", "run_log", runlog.SCHEMA)
+        return status.status(self.spine(as_of), runs, ledger, as_of, **usage)
+
     def backtest(self, grid: C.Grid, run_id: str) -> DataFrame:
         """The summary of one backtest, stored apart from live results."""
         facts = self.facts()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,12 +55,26 @@ def heal_outcome(gaps: DataFrame, landing: DataFrame) -> DataFrame:
     )
 
 
+def source_windows(
+    source: C.Source, start: datetime, end: datetime, as_of: datetime
+) -> list[tuple[datetime, datetime]]:
+    """S8 for one source: adjoining windows that its feed accepts; a feed that only looks back ends at ``as_of``."""
+    end = min(end, as_of) if source.backward_only else end
+    out = []
+    while start < end:
+        stop = min(start + source.max_window, end)
+        out.append((start, stop))
+        start = stop
+    return out
+
+
 def ingest_plan(
-    as_of: datetime, names=C.SCHEDULED, back_days: int = 2, ahead_days: int = 2
-) -> list[tuple[str, int]]:
-    """The sources of a run, deferred ones left out, with their window span in seconds."""
+    as_of: datetime, names=C.SCHEDULED, back_days: float = 2, ahead_days: float = 2
+) -> list[tuple[str, list[tuple[datetime, datetime]]]]:
+    """The sources of a run, deferred ones left out, each with the windows to request."""
+    start, end = as_of - timedelta(days=back_days), as_of + timedelta(days=ahead_days)
     return [
-        (n, int(C.SOURCES[n].max_window.total_seconds()))
+        (n, source_windows(C.SOURCES[n], start, end, as_of))
         for n in names
         if not C.SOURCES[n].deferred
     ]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import config as C
 from tidemark.fixtures.adapters import AS_OF as AS_OF_TIME, KEYS
 from tidemark.operators import joins as J
 from tidemark.plans import issue as I
 from tidemark.plans import planner as P
 from tidemark.plans import register as R
+from tidemark.plans import registry as G
 from tidemark.plans import status as ST
 from tidemark.queries.common import AS_OF, GROUP, query
 from tidemark.session import scratch_dir, written
@@ -189,6 +191,47 @@ def j17(t):
     )
 
 
+# The promotions of the check; the second evaluation promotes nobody.
+PROMOTED = "2024-01-18 12:00:00"
+EVENTS = (
+    ("p1", "2024-01-01 00:00:00", None, "B1_seasonal_naive_q_v1", "promoted"),
+    ("p2", "2024-01-12 00:00:00", "B1_seasonal_naive_q_v1", "published_benchmark", "not_promoted"),
+    ("p3", PROMOTED, "B1_seasonal_naive_q_v1", "B0_persistence_v1", "promoted"),
+)
+
+
+def promotion_events(t):
+    rows = t.spark.createDataFrame(EVENTS, "promotion_id string, at string, champion_version string, "
+                                   "challenger_version string, outcome string")
+    return rows.withColumn("decided_at_utc", F.col("at").cast("timestamp")).drop("at")
+
+
+@query(
+    "j17_served_points",
+    "points",
+    f"""SELECT series_key, run_at_utc, target_utc, model_version, point FROM points
+    WHERE model_version = CASE WHEN run_at_utc < TIMESTAMP '{PROMOTED}'
+      THEN 'B1_seasonal_naive_q_v1' ELSE 'B0_persistence_v1' END""",
+)
+def j17_served(t):
+    """Forecasts as they were served; the champion changes in mid-history."""
+    return G.served_points(t.points(), promotion_events(t)).select(
+        "series_key", "run_at_utc", "target_utc", "model_version", "point"
+    )
+
+
+@query(
+    "a24_latest_promoted",
+    "points",
+    """SELECT series_key, model_version, max(run_at_utc) AS run_at_utc FROM points
+    WHERE model_version = 'B0_persistence_v1' GROUP BY 1, 2""",
+)
+def a24_promoted(t):
+    """The latest run of the champion of the day, from stored promotions."""
+    models = t.points().groupBy("model_version").agg(F.min("run_at_utc").alias("created_at_utc"))
+    return R.latest_runs(t.points(), G.roles(models, promotion_events(t), t.as_of))
+
+
 _LATEST = f"""(SELECT * FROM points WHERE {CHAMPION}
     QUALIFY run_at_utc = max(run_at_utc) OVER (PARTITION BY series_key, model_version))"""
 
@@ -547,30 +590,68 @@ def g3(t):
     return out.drop("warnings")
 
 
-@query(
-    "s14_published_payloads",
-    "accuracy",
-    """SELECT 'accuracy' AS name, '2024-01-31T00:00:00Z' AS captured_at_utc, model_version,
-    horizon_group, n, mae FROM accuracy""",
-)
-def s14(t):
+def published(t):
+    """The seven payloads of one series, and one that fails, in a folder."""
     out = scratch_dir(t.spark, "payloads")
 
     def broken():
         raise ValueError("this payload cannot be built")
 
-    rows = R.live_accuracy(t.points(), t.scores()).select(
-        "model_version", "horizon_group", "n", "mae"
+    one = F.col("series_key") == "view"
+    accuracy = R.live_accuracy(t.points(), t.scores())
+    current = R.current_forecast(t.points().where(one), t.registry())
+    wish = [F.lit(v).alias(k) for k, v in C.PLAN_DEFAULTS.items()]
+    request = t.spark.range(1).select(
+        F.lit("default").alias("request_id"), F.lit("view").alias("series_key"), *wish
     )
     payloads.publish_payloads(
-        t.spark, {"accuracy": lambda: rows, "broken": broken}, out, AS_OF_TIME
+        t.spark,
+        {
+            "status": lambda: ST.status(t.spine(), t.run_log(), t.ledger(), AS_OF_TIME, reset_day=12, budget=70000),
+            "forecast_current": lambda: current,
+            "accuracy": lambda: accuracy.select("model_version", "horizon_group", "n", "mae"),
+            "leaderboard": lambda: R.leaderboard(accuracy),
+            "models": lambda: t.registry(),
+            "integrity": lambda: R.register_size(t.points()),
+            "plan": lambda: P.plan(current, request),
+            "broken": broken,
+        },
+        out, AS_OF_TIME, params={"plan": C.PLAN_DEFAULTS},
     )
+    return out
+
+
+@query(
+    "s14_published_payloads",
+    "accuracy",
+    """SELECT 'accuracy' AS name, '2024-01-31T00:00:00Z' AS captured_at_utc, model_version,
+    horizon_group, n, mae FROM accuracy""",
+)
+def s14(t):
     schema = (
         "snapshot struct<name:string,captured_at_utc:string>, "
-        "payload struct<model_version:string,horizon_group:string,n:long,mae:double>"
+        "payload array<struct<model_version:string,horizon_group:string,n:long,mae:double>>"
     )
-    return t.spark.read.schema(schema).json(f"{out}/accuracy").select(
-        "snapshot.name", "snapshot.captured_at_utc", "payload.*"
+    rows = payloads.read_payload(t.spark, published(t), "accuracy", schema)
+    return rows.select("snapshot.name", "snapshot.captured_at_utc", "payload.*")
+
+
+@query(
+    "s14_payload_list",
+    "accuracy",
+    f"""SELECT 'status' AS name, 1 AS n UNION ALL SELECT 'models', 3 UNION ALL SELECT 'integrity', 1
+    UNION ALL SELECT 'plan', 1 UNION ALL SELECT 'accuracy', count(*) FROM accuracy
+    UNION ALL SELECT 'leaderboard', count(*) FROM accuracy
+    UNION ALL SELECT 'forecast_current', count(*) FROM {_LATEST} WHERE series_key = 'view'""",
+)
+def s14_list(t):
+    """The documents that count, and the rows of each."""
+    out = published(t)
+    paths = [payloads.payload_path(t.spark, out, n) for n in payloads.current(t.spark, out)["files"]]
+    docs = t.spark.read.text(paths, wholetext=True)
+    return docs.select(
+        F.get_json_object("value", "$.snapshot.name").alias("name"),
+        F.json_array_length(F.get_json_object("value", "$.payload")).alias("n"),
     )
 
 

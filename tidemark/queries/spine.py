@@ -279,9 +279,15 @@ def u4(t):
     return J.missing(t.spine(), t.hh())
 
 
-@query("j7_expand_windows", "absent", "SELECT * FROM absent")
+@query(
+    "j7_expand_windows",
+    "panel",
+    f"SELECT series_key, sp_start_utc FROM ({_GAPS})",
+)
 def j7(t):
-    return t.absent()
+    """The windows of every gap, expanded to the periods that are missing."""
+    windows = O.coalesce_periods(gaps_of_panel(t), KEYS)
+    return J.expand_windows(windows, t.spine()).select(*KEYS, "sp_start_utc")
 
 
 @query(
@@ -322,18 +328,17 @@ def p7(t):
 
 @query(
     "p13_horizon_group",
-    "grid96",
-    """SELECT origin_utc, horizon, CASE WHEN horizon <= 6 THEN 'H1' WHEN horizon <= 24 THEN 'H2'
-    WHEN horizon <= 48 THEN 'H3' ELSE 'H4' END AS horizon_group
-    FROM grid96 SEMI JOIN (SELECT DISTINCT CAST(date_trunc('day', ts) AS TIMESTAMP) AS d
-      FROM events) ON d = origin_utc""",
+    "points",
+    """SELECT series_key, model_version, run_at_utc, horizon, CASE WHEN horizon <= 6 THEN 'H1'
+    WHEN horizon <= 24 THEN 'H2' WHEN horizon <= 48 THEN 'H3' ELSE 'H4' END AS horizon_group
+    FROM points""",
 )
 def p13(t):
-    from tidemark.fixtures.adapters import GRID
-
-    days = t.events().select(F.date_trunc("day", "ts").alias("origin_utc")).distinct()
-    grid = O.origins(t.spark, GRID).join(days, "origin_utc", "left_semi")
-    return grid.select("origin_utc", "horizon", X.horizon_group("horizon").alias("horizon_group"))
+    """Every issued forecast in its group."""
+    return t.points().select(
+        "series_key", "model_version", "run_at_utc", "horizon",
+        X.horizon_group("horizon").alias("horizon_group"),
+    )
 
 
 @query(
