@@ -40,6 +40,40 @@ def test_text_behind_odd_markup_stays():
     assert texts("<p title=a=\"b>one</p><p>two</p><a title='x > y' href=z>three</a>") == ["one", "two", "three"]
 
 
+def test_comments_and_templates_end_where_html_says():
+    assert texts("a<!-->b<p>c") == ["ab", "c"]
+    assert texts("a<!--->b") == texts("a<!--x--!>b") == texts("a<!--x-->b") == ["ab"]
+    assert texts("a<!--x->y-->b") == ["ab"]
+    assert texts("a<template><template>x</template>y</template>b") == ["a", "b"]
+    assert texts("<div>a<template><p>x</div></p>y</template>b</div>c") == ["a", "b", "c"]
+    assert texts("a<template>x") == ["a"]
+
+
+def test_end_tags_without_elements_take_no_time():
+    import time
+
+    page = "<div><li>" * 20_000 + "one" + "</section></b></template>" * 20_000 + "two"
+    begun = time.perf_counter()
+    assert texts(page) == ["one", "two"] and time.perf_counter() - begun < 3
+
+
+def test_a_long_page_in_slices_and_groups_of_bounded_cells(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = H.Labeller.fresh(rng)
+    long = blocks("".join(f"<p class=x{i % 7}>word{i % 13} {i}." for i in range(500)))
+    x, mask = H._stacked([H.features(long)])
+    whole = model.scores(x, mask)[:, 0]
+    assert np.allclose(model.long_scores(long, 64), whole, atol=1e-4)
+    assert np.allclose(model.long_scores(long, 500), whole, atol=1e-4)
+    pages = [blocks(f"<p>page {i}<div>b") for i in range(300)] + [long]
+    want = model.label(pages)
+    seen, stacked = [], H._stacked
+    monkeypatch.setattr(H, "CELLS", 256)
+    monkeypatch.setattr(H, "_stacked", lambda rows: seen.append(len(rows) * max(map(len, rows))) or stacked(rows))
+    got = model.label(pages)
+    assert max(seen) <= 256 and all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
 def test_paths_and_links():
     (b,) = blocks('<div id=mainMenu class="top nav-bar"><p>x <a href=y>four</a></p></div>')
     assert b.path == ("div", ".main", ".menu", ".top", ".nav", ".bar", "p") and b.linked == 4

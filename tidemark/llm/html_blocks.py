@@ -18,7 +18,7 @@ HIDDEN = frozenset(
     "script style noscript template head title svg math iframe object canvas audio video "
     "textarea select option button datalist".split()
 )
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
+RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
 SIBLINGS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
@@ -32,7 +32,7 @@ SCOPES = frozenset("ul ol table tbody thead dl div article section body html".sp
 _VALUE = r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 _ATTRS = rf"(?:[^>=]|{_VALUE}|=)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?P<raw_attrs>{_ATTRS})>(?P<inside>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<[!?][^>]*>"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>"
@@ -72,12 +72,14 @@ def blocks(page: str | None) -> list[Block]:
 
     Comments, scripts, styles and controls of forms are no text. Elements that
     are not closed end where HTML says, or with the element around them; an end
-    tag without element only ends the block; an unfinished tag at the end is no text.
+    tag without element only ends the block, and one in a template ends nothing
+    outside it; an unfinished tag at the end is no text.
     The head ends at the first element or text that cannot stand in it; within
     svg and math, and for both, a tag that ends in a slash opens nothing.
     """
     out: list[Block] = []
     names: list[str] = []  # open elements
+    where: dict[str, list[int]] = {}  # and their places, by name
     parts: list[tuple[str, ...]] = []
     pieces: list[str] = []
     state = {"linked": 0, "links": 0, "hidden": 0}
@@ -93,6 +95,7 @@ def blocks(page: str | None) -> list[Block]:
 
     def close(to: int) -> None:
         for name in names[to:]:
+            where[name].pop()
             state["links"] -= name == "a"
             state["hidden"] -= name in HIDDEN
         del names[to:], parts[to:]
@@ -116,7 +119,7 @@ def blocks(page: str | None) -> list[Block]:
                     state["linked"] += len(text)
             continue
         if m["tag"] is None:
-            if m["raw"] and _closed(m["raw_attrs"]) and not FOREIGN.isdisjoint(names):
+            if m["raw"] and _closed(m["raw_attrs"]) and any(where.get(n) for n in FOREIGN):
                 at = m.start("inside")
             continue
         tag = m["tag"].lower()
@@ -126,16 +129,15 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in INLINE:
             flush()
         if m["end"]:
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] == tag:
-                    close(i)
-                    break
+            last = (where.get(tag) or [-1])[-1]
+            if last >= 0 and last >= (where.get("template") or [-1])[-1]:
+                close(last)
             continue
         if names[-1:] == ["head"] and tag not in IN_HEAD:
             close(len(names) - 1)
         if tag in VOID:
             continue
-        if _closed(m["attrs"]) and (tag in FOREIGN or not FOREIGN.isdisjoint(names)):
+        if _closed(m["attrs"]) and (tag in FOREIGN or any(where.get(n) for n in FOREIGN)):
             continue
         if tag in SIBLINGS:
             for i in range(len(names) - 1, -1, -1):
@@ -146,6 +148,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if tag not in INLINE and "p" in names[-6:]:
             close(len(names) - 1 - names[::-1].index("p"))
+        where.setdefault(tag, []).append(len(names))
         names.append(tag)
         parts.append((tag, *_words(m["attrs"])) if m["attrs"] else (tag,))
         state["links"] += tag == "a"

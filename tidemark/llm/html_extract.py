@@ -34,6 +34,7 @@ EPOCHS = 6
 BATCH = 32
 LONGEST = 80  # blocks of a training page
 INFER = 128  # pages labelled together
+CELLS = 32_768  # blocks of such pages, padded to the longest: about 80 MB
 RATE = 0.01
 
 MAIN, OTHER = "\ue000", "\ue001"  # private characters that mark a laid-out block's label
@@ -54,9 +55,10 @@ def _path_slots(path: tuple[str, ...]) -> np.ndarray:
     return np.unique([_slot(p, PATH) for p in (*path, *joined, "last " + (tags[-1] if tags else ""))])
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """One row a block."""
+def features(page: list[Block], at: int = 0, blocks: int | None = None) -> np.ndarray:
+    """One row a block; a slice of a page says where it begins and how many blocks the page has."""
     n = len(page)
+    blocks = n if blocks is None else blocks
     out = np.zeros((n, PATH + WORDS + MEASURES), np.float32)
     texts = [b.text for b in page]
     hashes, first = textkit.word_hashes(*textkit.flat(pa.array(texts, pa.string())))
@@ -78,9 +80,9 @@ def features(page: list[Block]) -> np.ndarray:
             np.array([t[-1] in ".!?…。:;\"”»" for t in texts], float),
             np.array([t.count(". ") + t.count(", ") for t in texts]) / length * 20,
             np.array([len(_DIGIT.findall(t)) for t in texts]) / length,
-            np.arange(n) / n,
-            1 - np.arange(n) / n,
-            np.full(n, np.log1p(n) / 6),
+            np.arange(at, at + n) / blocks,
+            1 - np.arange(at, at + n) / blocks,
+            np.full(n, np.log1p(blocks) / 6),
         ],
         axis=1,
     )
@@ -108,12 +110,17 @@ class Labeller:
         w["y"], w["c"], w["skip"] = rng.normal(0, 0.1, 2 * h), np.zeros(1), np.zeros(d)
         return cls({k: v.astype(np.float32) for k, v in w.items()})
 
-    def _direction(self, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
-        """States over time; x is (time, pages, features), and mask says which blocks exist."""
+    def _direction(self, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None, carry: list | None = None) -> np.ndarray:
+        """States over time; x is (time, pages, features), and mask says which blocks exist.
+
+        ``carry`` holds state and cell from one slice of a page to the next.
+        """
         w, h = self.weights, HIDDEN
         steps = range(len(x)) if side == "f" else range(len(x) - 1, -1, -1)
         inputs = x @ w[side + "x"] + w[side + "o"]
         state = cell = np.zeros((x.shape[1], h), np.float32)
+        if carry:
+            state, cell = carry
         out = np.zeros((*x.shape[:2], h), np.float32)
         for t in steps:
             gates = inputs[t] + state @ w[side + "h"]
@@ -127,6 +134,8 @@ class Labeller:
             cell = np.where(m, after, cell)
             state = np.where(m, o * tanh, state)
             out[t] = state
+        if carry is not None:
+            carry[:] = state, cell
         return out
 
     def scores(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -180,17 +189,43 @@ class Labeller:
         return out
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Whether each block of each page is main text; pages of like length go together."""
+        """Whether each block of each page is main text; pages of like length go together.
+
+        A group is bounded by its cells once padded to its longest page; a page
+        beyond that bound goes alone, in slices.
+        """
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), INFER):
-            some = order[at : at + INFER]
+        while order:
+            if len(pages[order[-1]]) > CELLS:
+                i = order.pop()
+                out[i] = self.long_scores(pages[i]) > 0
+                continue
+            some = order[-max(1, min(INFER, CELLS // len(pages[order[-1]]))) :]
+            del order[-len(some) :]
             x, mask = _stacked([features(pages[i]) for i in some])
             found = self.scores(x, mask) > 0
             for n, i in enumerate(some):
                 out[i] = found[: len(pages[i]), n]
         return out
 
+    def long_scores(self, page: list[Block], size: int | None = None) -> np.ndarray:
+        """The scores of one page, of which a slice of blocks is held at a time in each direction."""
+        size = size or CELLS
+        w, h, n = self.weights, HIDDEN, len(page)
+        out = np.full(n, w["c"][0], np.float32)
+        starts = range(0, n, size)
+        for at, side in enumerate("fb"):
+            carry: list = []
+            for lo in starts if side == "f" else reversed(starts):
+                some = page[lo : lo + size]
+                x = features(some, lo, n)[:, None]
+                states = self._direction(side, x, np.ones((len(some), 1), bool), None, carry)
+                out[lo : lo + size] += states[:, 0] @ w["y"][at * h : (at + 1) * h]
+                if side == "f":
+                    out[lo : lo + size] += x[:, 0] @ w["skip"]
+        return out
+
     def extract(self, pages: list[str | None]) -> list[str]:
         """The main text of each page: its main blocks, one a line."""
         parsed = [blocks(p) for p in pages]
