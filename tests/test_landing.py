@@ -1,5 +1,6 @@
 """Landing keeps what changed, in order, once."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -92,6 +93,31 @@ def test_scd2_in_two_steps_equals_one(spark):
     assert sorted(whole.collect()) == sorted(both.collect()) and whole.count() > 6
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_scd2_is_what_a_plain_walk_finds(spark, seed):
+    """Runs over many chunks, chunks without a change, ties in time and nulls."""
+    rng = random.Random(seed)
+    data = []
+    for i in range(400):
+        held = rng.choice(["A", "A", "A", "B", None])
+        data.append((i, at(rng.randrange(3)), held, "h", START + timedelta(hours=rng.choice([0, 1, 1, 2, 9, 30]) + i // 4)))
+    want = []
+    for key in {d[1] for d in data}:
+        last, runs = object(), []
+        for i, _, held, _, when in sorted((d for d in data if d[1] == key), key=lambda d: (d[4], d[0])):
+            if held != last:
+                runs.append((key, held, when, i))
+            last = held
+        want += [(*r[:3], n[2] if n else None, r[3]) for r, n in zip(runs, [*runs[1:], None])]
+    df = spark.createDataFrame(data, SCHEMA).repartition(4)
+    for chunk in (3600, 6 * 3600, 10**7):
+        got = [
+            tuple(x.replace(tzinfo=UTC) if isinstance(x, datetime) else x for x in r)
+            for r in V.scd2(df, KEYS, ["payload"], chunk).collect()
+        ]
+        assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 60
+
+
 def test_scd2_treats_null_as_a_value(spark):
     data = [(1, at(0), None, "h", at(0)), (2, at(0), None, "h", at(2)), (3, at(0), "x", "h", at(4))]
     df = spark.createDataFrame(data, SCHEMA)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import next_row, ordinal, previous_row
+from tidemark.operators.ordering import _CH, _chunk, ordinal
 from tidemark.session import written
 
 FETCHED = "fetched_at_utc"
@@ -126,14 +126,11 @@ def current_benchmark(landing: DataFrame, keys, value: str, anchor: Column, time
     return latest_row(ahead, keys)
 
 
-def _changed(df, keys, check, chunk_seconds) -> DataFrame:
-    seen = previous_row(
-        df, keys, [*check], "__prev", FETCHED, ["landing_id"], chunk_seconds
-    )
+def _same(a: str, b: str, check: Sequence[str]) -> Column:
     same = F.lit(True)
     for c in check:
-        same = same & F.col(c).eqNullSafe(F.col(f"__prev.{c}"))
-    return seen.where(F.col("__prev").isNull() | ~same).drop("__prev")
+        same = same & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return same
 
 
 def scd2(
@@ -142,19 +139,58 @@ def scd2(
     """Validity intervals of each distinct run of the checked columns.
 
     ``valid_to`` is null on the open row. Versions of one key are compared in
-    chunks of a few hours with a carried neighbour, so a key with many versions
-    is not sorted by one task.
+    chunks of a few hours, so a key with many versions is not sorted by one task.
+    One pass over a chunk, newest first, finds its changes and the change after
+    each; only those and the chunk's oldest row go on. One row a chunk then
+    carries both neighbours across borders: what was held before, which decides
+    whether the oldest row is a change, and when the next change comes.
     """
-    changes = _changed(df, keys, check, chunk_seconds)
-    closed = next_row(
-        changes, keys, [FETCHED], "__next", FETCHED, ["landing_id"], chunk_seconds
+    keys, since = list(keys), "__since"
+    held = F.struct(*check)
+    chunk = Window.partitionBy(*keys, _CH).orderBy(F.col(FETCHED).desc(), F.col("landing_id").desc())
+    newer = chunk.rowsBetween(Window.unboundedPreceding, -1)
+    changed = F.col("__was").isNotNull() & ~_same("__held", "__was", check)
+    rows = (
+        df.select(*keys, held.alias("__held"), FETCHED, "landing_id")
+        .withColumn(_CH, _chunk(FETCHED, chunk_seconds))
+        .withColumn("__was", F.lead("__held").over(chunk))
+        .withColumn("__oldest", F.col("__was").isNull())
+        .withColumn("__changed", changed)
+        .withColumn("__next", F.last(F.when(F.col("__changed"), F.col(FETCHED)), ignorenulls=True).over(newer))
+        .where(F.col("__changed") | F.col("__oldest"))
+        .drop("__was")
+    )
+    oldest = F.when(F.col("__oldest"), F.struct("__held", FETCHED, "__next"))
+    edges = (
+        rows.groupBy(*keys, _CH)
+        .agg(
+            F.max_by("__held", F.struct(FETCHED, "landing_id")).alias("__newest"),
+            F.first(oldest, ignorenulls=True).alias("__first"),
+        )
+        .select(*keys, _CH, "__newest", F.col("__first.__held").alias("__edge"),
+                F.col(f"__first.{FETCHED}").alias(since), F.col("__first.__next").alias("__after"))
+    )
+    chunks = Window.partitionBy(*keys).orderBy(F.col(_CH).desc())
+    carried = (
+        edges.withColumn("__before", F.lead("__newest").over(chunks))
+        .withColumn("__opens", F.col("__before").isNull() | ~_same("__edge", "__before", check))
+        .withColumn("__at", F.when(F.col("__opens"), F.col(since)).otherwise(F.col("__after")))
+        .withColumn(
+            "__later",
+            F.last("__at", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)),
+        )
+        .select(*keys, _CH, "__opens", "__later")
     )
-    return closed.select(
-        *keys,
-        *check,
-        F.col(FETCHED).alias("valid_from"),
-        F.col(f"__next.{FETCHED}").alias("valid_to"),
-        "landing_id",
+    return (
+        rows.join(carried, [*keys, _CH])
+        .where(F.col("__changed") | F.col("__opens"))
+        .select(
+            *keys,
+            *[F.col(f"__held.{c}").alias(c) for c in check],
+            F.col(FETCHED).alias("valid_from"),
+            F.coalesce("__next", "__later").alias("valid_to"),
+            "landing_id",
+        )
     )
 
 
