@@ -82,3 +82,9 @@ def test_checks_of_landing_can_fail(spark):
     assert QUERIES["t4_land_stream"](spark, SF).count() == first.count() + n
     before = t.weather_hour().agg({"wind_speed_100m_kmh": "sum"}).first()[0]
     assert QUERIES["t2_accumulate_upsert"](spark, SF).agg({"wind_speed_100m_kmh": "sum"}).first()[0] != before
+
+
+@pytest.mark.parametrize("name", ["q4_matured_have_actual", "q11_x22_mart_is_current"])
+def test_assertions_can_fail(spark, name):
+    row = QUERIES[name](spark, SF).first()
+    assert 0 < row["violations"] < row["rows_checked"] and not row["passed"]

@@ -674,12 +674,15 @@ def q3(t):
     "q4_matured_have_actual",
     "facts",
     """SELECT 'matured_have_actual' AS assertion, count(*) AS rows_checked,
-    count(*) FILTER (WHERE is_matured AND actual IS NULL AND NOT is_permanently_unscoreable
-      AND NOT is_known_absent_upstream) AS violations,
-    count(*) > 0 AS passed FROM facts""",
+    count(*) FILTER (WHERE is_matured AND (actual IS NULL OR hour(sp_start_utc) = 5)
+      AND NOT is_permanently_unscoreable AND NOT is_known_absent_upstream) AS violations,
+    count(*) > 0 AND count(*) FILTER (WHERE is_matured AND (actual IS NULL OR hour(sp_start_utc) = 5)
+      AND NOT is_permanently_unscoreable AND NOT is_known_absent_upstream) = 0 AS passed FROM facts""",
 )
 def q4(t):
-    facts = t.facts()
+    """A mart that lost the actuals of one hour of the day."""
+    lost = F.when(F.hour("sp_start_utc") != 5, F.col("actual"))
+    facts = t.facts().withColumn("actual", lost)
     return Q.status_of("matured_have_actual", Q.check_matured_have_actual(facts), facts)
 
 
@@ -748,11 +751,16 @@ def q10(t):
 @query(
     "q11_x22_mart_is_current",
     "panel",
-    """SELECT 'mart_is_current' AS assertion, count(*) AS rows_checked, 0 AS violations,
-    true AS passed FROM panel""",
+    """SELECT 'mart_is_current' AS assertion, count(*) AS rows_checked,
+    count(*) FILTER (WHERE revision_count > 1 AND actual IS NOT NULL) AS violations,
+    count(*) > 0 AND count(*) FILTER (WHERE revision_count > 1 AND actual IS NOT NULL) = 0 AS passed
+    FROM panel""",
 )
 def x22(t):
+    """A mart that froze before the last revision of what was revised."""
+    older = F.when(F.col("revision_count") > 1, F.col("actual") - 1).otherwise(F.col("actual"))
     facts = t.facts()
+    facts = facts.withColumn("actual", older.cast(facts.schema["actual"].dataType))
     stale = Q.check_mart_is_current(facts, t.panel(), FACT)
     return Q.status_of("mart_is_current", stale, facts)
 
