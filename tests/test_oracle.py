@@ -88,3 +88,8 @@ def test_checks_of_landing_can_fail(spark):
 def test_assertions_can_fail(spark, name):
     row = QUERIES[name](spark, SF).first()
     assert 0 < row["violations"] < row["rows_checked"] and not row["passed"]
+
+
+def test_every_state_of_the_lifecycle_occurs(spark):
+    states = QUERIES["t3_lifecycle"](spark, SF).select("state").distinct().collect()
+    assert {r["state"] for r in states} == {"unscoreable", "matured", "pending"}

@@ -308,14 +308,26 @@ def t2(t):
     return t.spark.read.parquet(path).drop("day")
 
 
+_MID = "TIMESTAMP '2024-01-20 00:00:00'"
+
+
 @query(
     "t3_lifecycle",
-    "facts",
-    """SELECT series_key, sp_start_utc, CASE WHEN is_permanently_unscoreable THEN 'unscoreable'
-    WHEN is_matured THEN 'matured' ELSE 'pending' END AS state FROM facts""",
+    "panel",
+    f"""SELECT series_key, sp_start_utc, CASE
+    WHEN (actual IS NULL OR hour(sp_start_utc) = 5) AND {_MID} - sp_start_utc > INTERVAL '24 hours'
+      THEN 'unscoreable'
+    WHEN {_MID} - sp_start_utc > INTERVAL '24 hours'
+      AND (revision_count = 1 OR {_MID} - knowable_at_utc > INTERVAL '6 hours') THEN 'matured'
+    ELSE 'pending' END AS state FROM panel""",
 )
 def t3(t):
-    return V.lifecycle(t.built_facts()).select("series_key", "sp_start_utc", "state")
+    """The states in mid-history, of a panel without the actuals of one hour: each state occurs."""
+    lost = F.when(F.hour("sp_start_utc") != 5, F.col("actual"))
+    facts = marts.fct_intensity_period(
+        t.panel().withColumn("actual", lost), t.absent(), F.lit("2024-01-20").cast("timestamp")
+    )
+    return V.lifecycle(facts).select("series_key", "sp_start_utc", "state")
 
 
 @query(
