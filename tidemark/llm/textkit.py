@@ -102,6 +102,13 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of one text start and end."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_SPACE[data]
+    return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word in order, and the first word of each row (one more than rows)."""
     begun, hashed = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]

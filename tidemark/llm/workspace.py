@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import scratch_dir
 
+# the files of a query's shuffles go when it has ended, not when the driver next collects garbage
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BROADCAST_ROWS = 1_000_000  # keys of a few bytes that every executor may hold
 
 
@@ -22,8 +24,9 @@ class Workspace:
     """Tables written once and read by several later steps.
 
     They lie under ``spark.checkpoint.dir``, so what follows does not depend on
-    the executors that computed them, and the lineage ends there. ``drop``
-    deletes a table that nothing will read again.
+    the executors that computed them, and the lineage ends there. The shuffles
+    of a table are deleted as soon as it is stored; a task that misses one makes
+    it again. ``drop`` deletes a table that nothing will read again.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -35,7 +38,12 @@ class Workspace:
         """The frame as a stored table."""
         self._count += 1
         path = f"{self.base}/{self._count:03d}-{step}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._workspace_path = path
         return table
