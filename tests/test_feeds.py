@@ -98,6 +98,13 @@ def test_weather_positions_and_empty_hours(spark, tmp_path, bare):
     assert float(got[0]["temperature_2m_c"]) == 1.5 and got[0]["shortwave_radiation_wm2"] is None
 
 
+def test_weather_sums_beyond_four_digits(spark, tmp_path):
+    block = {"hourly": {"time": ["2024-01-01T00:00"], "temperature_2m": [1.5], "wind_speed_100m": [10752.78],
+                        "shortwave_radiation": [None], "cloud_cover": [None]}}
+    row = staging.stg_weather(with_ids(feeds.read_weather(spark, captured(tmp_path, block), ["x"], whole=True))).first()
+    assert str(row["wind_speed_100m_kmh"]) == "10752.78"
+
+
 def test_seed_csv(spark, tmp_path):
     (tmp_path / "s.csv").write_text(
         "window_from_utc,window_to_utc,periods,source,reason,verified_on\n"

@@ -105,7 +105,7 @@ def stg_weather(landing: DataFrame) -> DataFrame:
     return latest_row(landing, keys).select(
         *keys,
         json_text("payload", "temperature_2m", "decimal(6,2)").alias("temperature_2m_c"),
-        json_text("payload", "wind_speed_100m", "decimal(6,2)").alias("wind_speed_100m_kmh"),
+        json_text("payload", "wind_speed_100m", "decimal(12,2)").alias("wind_speed_100m_kmh"),
         json_text("payload", "shortwave_radiation", "decimal(8,2)").alias(
             "shortwave_radiation_wm2"
         ),
