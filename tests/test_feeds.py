@@ -67,6 +67,13 @@ def test_regional_has_no_actual(spark, tmp_path):
     assert dim_region(rows).count() == 2
 
 
+def test_region_ids_beyond_a_short(spark, tmp_path):
+    region = {"regionid": 40235, "shortname": "R", "dnoregion": "D", "intensity": {"forecast": 1}}
+    path = captured(tmp_path, {"data": [{"from": "2024-01-01T00:00Z", "regions": [region]}]})
+    rows = staging.stg_regional(with_ids(feeds.read_regional(spark, path, True)))
+    assert [r["region_id"] for r in rows.collect()] == [40235]
+
+
 def test_demand_keeps_every_vintage(spark, tmp_path):
     base = {"startTime": "2024-01-01T00:00:00Z", "settlementDate": "2024-01-01",
             "settlementPeriod": 1, "initialDemandOutturn": "20001",

@@ -65,7 +65,7 @@ def read_regional(spark: SparkSession, path: str, whole: bool = False) -> DataFr
         regions,
         {
             "sp_start_utc": F.col("at"),
-            "region_id": F.variant_get("r", "$.regionid", "smallint"),
+            "region_id": F.variant_get("r", "$.regionid", "long"),
         },
         "r",
     )
